@@ -15,6 +15,27 @@ BUCKETS = 4096
 _local_dir: dict[str, str] = {}
 
 
+class Recent:
+    """A worker's memory of computed values in bounded space: when full, what wasn't used since it last was full is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that must be computed and put; the others ``now`` has."""
+        new = keys.difference(self.now)
+        if len(self.now) + len(new) > self.limit:
+            self.now, self.old = {}, self.now
+            new = keys
+        out = []
+        for k in new:
+            if (value := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.now[k] = value
+        return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, which only a local master may use."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallywright.llm import curriculum, exact_dedup, sharding, simhash
-from tallywright.llm.common import documents
+import public_tokenizers
+from tallywright.llm import bpe, curriculum, exact_dedup, langid, licenses, sharding, simhash, token_files
+from tallywright.llm.common import documents, fresh_path
+
+
+def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(documents(spark, sf_dir), fresh_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +23,11 @@ def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -25,16 +36,38 @@ def op6_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs.select("doc_id", "text"), langid.learn(docs)).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = curriculum.plan(documents(spark, sf_dir))
     return curriculum.in_order(plan, F.get("positions", F.lit(0))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = documents(spark, sf_dir).select("doc_id", licenses.scan(F.col("text")).alias("found")).select("doc_id", "found.*")
+    base = F.filter("detections", lambda d: d["base"])
+
+    def labels(of: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda d: d["label"]))), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(F.transform(base, lambda d: d["first"])).alias("first_word"), F.array_max(F.transform(base, lambda d: d["first"])).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("detections")).alias("labels"), F.coalesce(F.array_max(F.transform("detections", lambda d: d["priority"] / 100)), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_frames": op1_token_frames,
     "op2_label_propagation_shards": op2_label_propagation_shards,
+    "op3_segment_tree_bpe": op3_segment_tree_bpe,
     "op5_block_naming_dedup": op5_block_naming_dedup,
     "op6_simhash_pigeonhole": op6_simhash_pigeonhole,
+    "op7_word_backoff_langid": op7_word_backoff_langid,
     "op9_curriculum_mix": op9_curriculum_mix,
+    "op10_license_rules": op10_license_rules,
     "pipeline": corpus_pipeline.run,
 }
 
