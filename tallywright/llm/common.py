@@ -127,3 +127,8 @@ def components(links: DataFrame, name: str = "components", rounds: int = 40) ->
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def held_out(doc_id: Column | str = "doc_id") -> Column:
+    """Whether a document is kept from learning: the CRC-32 of its id as text leaves no remainder by 5; so does a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywright.llm.common import Recent
+from tallywright.llm.common import Recent, held_out
 
 #: The model is fitted on so many labelled documents of each language at most (on average; a hash picks them), and keeps so many
 #: words, and n-grams of each length, of each language. Bounds both what is collected and what is broadcast.
@@ -78,11 +78,6 @@ class Model:
         return self.languages[best], float(odds[best] / odds.sum())
 
 
-def held_out(doc_id: Column | str = "doc_id") -> Column:
-    """Whether a document is kept from learning: the CRC-32 of its id as text leaves no remainder by 5; a null id is never learned from."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
-
-
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, kept: int = KEPT) -> Model:
     """Fits on text and lang of docs that aren't held out; null text or lang teach nothing. Counting is done by Spark."""
     rows = docs.where(~held_out()).where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("draw"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from tallywright.llm import bpe, curriculum, exact_dedup, langid, licenses, sharding, simhash, token_files
-from tallywright.llm.common import documents, fresh_path
+from tallywright.llm import attention_quality, bpe, curriculum, exact_dedup, langid, licenses, sharding, simhash, token_files, vector_graph
+from tallywright.llm.common import documents, fresh_path, held_out
 
 
 def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = attention_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = attention_quality.scored(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -38,7 +45,11 @@ def op6_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return langid.identify(docs.select("doc_id", "text"), langid.learn(docs)).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", "text"), langid.learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_pruned_graph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_label_propagation_shards": op2_label_propagation_shards,
     "op3_segment_tree_bpe": op3_segment_tree_bpe,
+    "op4_attention_quality": op4_attention_quality,
     "op5_block_naming_dedup": op5_block_naming_dedup,
     "op6_simhash_pigeonhole": op6_simhash_pigeonhole,
     "op7_word_backoff_langid": op7_word_backoff_langid,
+    "op8_pruned_graph_vectors": op8_pruned_graph_vectors,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_license_rules": op10_license_rules,
     "pipeline": corpus_pipeline.run,
