@@ -151,7 +151,7 @@ def encode(text: Column, tokenizer: str) -> Column:
     @F.arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
         model = _model(tokenizer)
-        parts = [model.encode(t or "") for t in texts.to_pylist()]
+        parts = [model.encode(t.as_py() or "") for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
 
@@ -164,7 +164,7 @@ def decode(ids: Column, tokenizer: str) -> Column:
     @F.arrow_udf("string")
     def of(lists: pa.Array) -> pa.Array:
         model = _model(tokenizer)
-        return pa.array([None if x is None else model.decode(x) for x in lists.to_pylist()], pa.string())
+        return pa.array([None if x.values is None else model.decode(x.values.to_numpy().tolist()) for x in lists], pa.string())
 
     return of(ids)
 

@@ -35,7 +35,7 @@ LEVEL = 3
 SKIPPABLE, SEEKABLE, HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 #: Chunks and pieces of text that a worker remembers the ids of, each kind.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def _checksum(data: bytes) -> int:
@@ -143,7 +143,7 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.chunks, self.pieces = Recent(REMEMBERED), Recent(REMEMBERED)
 
     def _ask(self, text: str) -> bytes:
@@ -159,21 +159,38 @@ class Encoder:
             self.pieces.now.update(zip(some, (data[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)) if whole else map(self._ask, some), strict=True))
 
     def _learn(self, new: list[str]) -> None:
-        plain = {c: self.PIECE.findall(c.lower()) for c in new if self.PLAIN.fullmatch(c) and not any(s in c for s in self.special)}
+        plain = {}
+        for c in new:
+            if c.isascii() and c.isalpha():
+                plain[c] = (c.lower(),)
+            elif (c.isascii() and c.isprintable() or self.PLAIN.fullmatch(c)) and not self.special.search(c):
+                plain[c] = self.PIECE.findall(c.lower())
         self._learn_pieces(self.pieces.missing(set().union(*plain.values())))
         self.chunks.now.update({c: b"".join(map(self.pieces.now.__getitem__, ps)) for c, ps in plain.items()})
-        self.chunks.now.update({c: self._ask(c) for c in new if c not in plain})
+        if len(plain) < len(new):
+            self.chunks.now.update({c: self._ask(c) for c in new if c not in plain})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 64):
-            cut = [self.CHUNK.findall(t) if self.ODD.search(t) else t.split() for t in texts[i : i + 64]]
-            if new := self.chunks.missing(set().union(*cut)):
+        for i in range(0, len(texts), 16):
+            cut = [self.CHUNK.findall(t) if self.ODD.search(t) else t.split() for t in texts[i : i + 16]]
+            ids = [list(map(self.chunks.now.get, c)) for c in cut]
+            holes = [(c, found, at) for c, found in zip(cut, ids, strict=True) for at in _holes(found)]
+            if holes and (new := self.chunks.missing({c[at] for c, _, at in holes})):
                 self._learn(new)
-            out += [b"".join(map(self.chunks.now.__getitem__, c)) + self.end for c in cut]
+            for c, found, at in holes:
+                found[at] = self.chunks.now[c[at]]
+            out += [b"".join(found) + self.end for found in ids]
         return out
 
 
+def _holes(found: list[bytes | None]) -> Iterator[int]:
+    at, n = -1, found.count(None)
+    for _ in range(n):
+        at = found.index(None, at + 1)
+        yield at
+
+
 @cache
 def _encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
