@@ -88,18 +88,19 @@ def plan(docs: DataFrame, weight: Column | None = None, schedules: dict[int, lis
     return placed.select("doc_id", "key", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions")
 
 
-def in_order(df: DataFrame, at: Column) -> DataFrame:
+def in_order(df: DataFrame, at: Column, tie: str = "doc_id") -> DataFrame:
     """Sorts by ranges of training position; rows without one come first."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.withColumn("_at", at).repartitionByRange(n, "_at", "doc_id").sortWithinPartitions("_at", "doc_id").drop("_at")
+    return df.withColumn("_at", at).repartitionByRange(n, "_at", tie).sortWithinPartitions("_at", tie).drop("_at")
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, in training order, with all their columns."""
     copies = plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "positions")
-    copies = copies.groupBy("_id", "_key").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.count("*").alias("_rows"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(copies, keyed.doc_id.eqNullSafe(copies._id) & (keyed._hash == copies._key))
+    copies = copies.groupBy("_id", "_key").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_hash"))
+    joined = keyed.join(copies, keyed._own.eqNullSafe(copies._id) & (keyed._hash == copies._key))
     # of repeated rows the first carries the copies of all
     once = joined.dropDuplicates(["_id", "_key"])
-    return in_order(once.withColumn("_position", F.explode("positions")), F.col("_position")).drop("_id", "_key", "_hash", "_rows", "positions", "_position")
+    placed = once.select("_row", "_own", F.explode("positions").alias("_position"))
+    return in_order(placed, F.col("_position"), "_own").select("_row.*")

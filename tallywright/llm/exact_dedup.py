@@ -85,5 +85,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     verdict = exact_dedup(docs, id_col, text_col, block_bytes).where("kept").select(F.struct(F.col("doc_id"), F.col("text_sha256")).alias("_doc"))
-    keyed = docs.withColumn("_doc", F.struct(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("text_sha256")))
-    return keyed.join(verdict, "_doc", "left_semi").dropDuplicates(["_doc"]).drop("_doc")
+    keyed = docs.select(F.struct("*").alias("_row"), F.struct(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("text_sha256")).alias("_doc"))
+    return keyed.join(verdict, "_doc", "left_semi").dropDuplicates(["_doc"]).select("_row.*")

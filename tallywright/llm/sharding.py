@@ -2,7 +2,7 @@
 
 Documents that share a group are linked. Those of one group and shard are alike, so the state is a table of cells (group, shard,
 n). Each round joins every cell with its group's largest open cell, the neighbours' shard it would move to; counts the wishes
-from shard to shard; grants swaps and what a shard has room for; and lets the moves with most neighbours go first. Documents
+from shard to shard; grants those that go around in cycles or that a shard has room for; and lets the moves with most neighbours go first. Documents
 without links then fill every shard to its exact quota of rows.
 """
 
@@ -18,23 +18,46 @@ SHARDS = 8
 ROUNDS = 12
 
 
+def _cycle(left: dict[tuple[int, int], int], shards: int) -> list[tuple[int, int]]:
+    """Wishes that lead around from a shard to itself, the shortest such way; none if there is none."""
+    for start in range(shards):
+        ways = {start: [start]}
+        todo = [start]
+        for i in todo:
+            for j in range(shards):
+                if left.get((i, j), 0) and j == start:
+                    return list(zip(ways[i], [*ways[i][1:], start], strict=True))
+                if left.get((i, j), 0) and j not in ways:
+                    ways[j] = [*ways[i], j]
+                    todo.append(j)
+    return []
+
+
 def _quotas(wishes: dict[tuple[int, int], int], held: list[int], caps: list[int]) -> dict[tuple[int, int], int]:
-    """How many may go from shard to shard: as many as come the other way, and then what a shard has room for."""
-    grant = {(i, j): min(w, wishes.get((j, i), 0)) for (i, j), w in wishes.items()}
-    room = [cap - h for cap, h in zip(caps, held, strict=True)]
-    for (i, j), w in sorted(wishes.items()):
-        more = min(w - grant[i, j], room[j])
-        grant[i, j] += more
-        room[j] -= more
+    """How many may go from shard to shard: around cycles of wishes, which leave sizes as they are, and into what room there is."""
+    left, grant = dict(wishes), dict.fromkeys(wishes, 0)
+    while way := _cycle(left, len(caps)):
+        n = min(left[step] for step in way)
+        for step in way:
+            left[step] -= n
+            grant[step] += n
+    room, moved = [cap - h for cap, h in zip(caps, held, strict=True)], True
+    while moved:
+        moved = False
+        for i, j in sorted(left):
+            if n := min(left[i, j], max(0, room[j])):
+                left[i, j] -= n
+                grant[i, j] += n
+                room[i], room[j], moved = room[i] + n, room[j] - n, True
     return grant
 
 
-def _round(cells: DataFrame, caps: list[int], shards: int) -> tuple[DataFrame, int]:
-    """The cells after one round, and how many documents moved."""
+def _round(cells: DataFrame, caps: list[int], shards: int, turn: int) -> tuple[DataFrame, int]:
+    """The cells after one round, and how many documents moved. Of equally large cells another one attracts in each turn."""
     held = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
     held = [held.get(j, 0) for j in range(shards)]
     open_to = [j for j in range(shards) if held[j] < caps[j]] or list(range(shards))
-    weigh = F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")
+    weigh = F.struct("n", F.xxhash64("grp", "shard", F.lit(turn)).alias("tie"), "shard")
     best = cells.where(F.col("shard").isin(open_to)).groupBy("grp").agg(F.max(weigh).alias("best"))
     wish = cells.join(best, "grp").where(weigh < F.col("best")).select("grp", "n", F.col("shard").alias("i"), F.col("best.shard").alias("j"), F.col("best.n").alias("gain"))
     wish = settle(wish, "shard-wishes")
@@ -71,9 +94,11 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
 
     first = running(linked, [], "_part", order, one, "rank").select("grp", F.pmod("rank", F.lit(shards)).cast("int").alias("shard"))
     cells = settle(first.groupBy("grp", "shard").agg(F.count("*").alias("n")), "shard-cells")
-    for _ in range(rounds):
-        cells, moved = _round(cells, caps, shards)
-        if not moved:
+    stuck = 0
+    for turn in range(rounds):
+        cells, moved = _round(cells, caps, shards, turn)
+        stuck = 0 if moved else stuck + 1
+        if stuck == 2:
             break
 
     upto = F.sum("n").over(Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))

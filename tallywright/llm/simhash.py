@@ -21,6 +21,10 @@ from tallywright.llm.common import components, settle
 
 BITS, WORDS, LINK_BITS, SEED = 64, 4, 4, 42
 
+#: What drop_near_copies() takes for near: fingerprints of five-word shingles within so many bits find the candidates, and a
+#: Jaccard similarity of the sets of shingles verifies them.
+NEAR_WORDS, NEAR_BITS, NEAR_JACCARD = 5, 6, 0.8
+
 #: Fingerprints that the grouping of bits and the cost estimates are fitted on; results don't depend on them.
 SAMPLE = 2048
 
@@ -41,6 +45,21 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
+    tokens = (text or "").encode().lower().split()
+    count = max(1, len(tokens) - words + 1) if tokens else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(count)], dtype="<u8")).view("<i8")
+
+
+def shingle_sets(text: Column, words: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingles(t, words))
+
+    return of(text)
+
+
 def fingerprints(text: Column, words: int = WORDS) -> Column:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -69,7 +88,8 @@ def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
 def allocate(sample: np.ndarray, n: int, limit: int = LINK_BITS) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each probed group: the cheapest by estimate over all numbers of groups, for n fingerprints."""
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
-    for m in range(2, limit + 2):
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
+    for m in range(1, limit + 2):
         groups = group_bits(sample, m)
         costs = []
         for g in groups:
@@ -96,7 +116,10 @@ def _masks(bits: list[int], t: int) -> list[int]:
 
 
 def near_pairs(prints: DataFrame, limit: int = LINK_BITS, sample: int = SAMPLE) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct values of prints (fp) that differ in 1 to ``limit`` bits, all of them; a pair may repeat."""
+    """(a, b), a < b: the pairs of distinct values of prints (fp) that differ in 1 to ``limit`` bits: all of them, each once.
+
+    A pair can be near in several groups of bits; it counts where the first of them finds it.
+    """
     n = prints.count()
     some = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp")).limit(sample).collect()], dtype=np.int64).view(np.uint64)
     groups = allocate(some, n, limit)
@@ -105,7 +128,10 @@ def near_pairs(prints: DataFrame, limit: int = LINK_BITS, sample: int = SAMPLE)
     flips = [F.transform(F.array(*[F.lit(m) for m in _masks(g, t)]), lambda m: value(F.col("fp").bitwiseXOR(m))) for value, (g, t) in zip(values, groups, strict=True)]  # noqa: B023
     index = prints.select(F.col("fp").alias("b"), F.explode(F.array(*own)).alias("key")).select("b", "key.*")
     probe = prints.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*flips))).alias("key")).select("a", "key.*")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    close = F.bit_count(apart) <= limit
+    for i, (g, t) in enumerate(groups[:-1]):
+        close = close & ((F.col("part") <= i) | (F.bit_count(apart.bitwiseAND(F.lit(_all(g)))) > t))
     return probe.join(index, ["part", "value"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
@@ -114,24 +140,44 @@ def _all(bits: list[int]) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = LINK_BITS) -> DataFrame:
+def similar_pairs(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of fingerprints whose first documents' sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    rows (doc_id, key, fp) says which document of docs (doc_id, text) has a fingerprint; only documents of pairs are looked at.
+    """
+    pairs = settle(pairs, "simhash-pairs")
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    first = rows.join(linked, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("of")).select("fp", F.col("of.doc_id").alias("_id"), F.col("of.key").alias("_key"))
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    texts = keyed.join(first, keyed.doc_id.eqNullSafe(first._id) & (keyed._hash == first._key)).dropDuplicates(["fp"])
+    sets = settle(texts.select("fp", shingle_sets(F.col("text"), words).alias("s")), "simhash-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = LINK_BITS, least: float | None = None) -> DataFrame:
     """One row per document: doc_id, key (hash of its text), fp, fingerprint, component_id.
 
-    Documents link when their fingerprints differ in ``limit`` bits or fewer; component_id is the smallest doc_id that links lead
-    to. Null, empty and blank texts have fingerprint zero and link like others. A null id never is a component's id unless all of
-    them are null. Repeated rows stay as they are; an empty table gives an empty result; other columns are ignored.
+    Documents link when their fingerprints differ in ``limit`` bits or fewer and, if ``least`` is given, their sets of shingles
+    have a Jaccard similarity of that or more (equal fingerprints link in any case). component_id is the smallest doc_id that
+    links lead to. Null, empty and blank texts have fingerprint zero and link like others. A null id never is a component's id
+    unless all of them are null. Repeated rows stay as they are; an empty table gives an empty result; other columns are ignored.
     """
-    rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), fingerprints(F.col(text_col), words).alias("fp")), "simhash-prints")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = settle(docs.select("doc_id", F.xxhash64("text").alias("key"), fingerprints(F.col("text"), words).alias("fp")), "simhash-prints")
     kinds = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-kinds")
-    classes = components(near_pairs(kinds.select("fp"), limit), "simhash")
+    pairs = near_pairs(kinds.select("fp"), limit)
+    classes = components(pairs if least is None else similar_pairs(pairs, rows, docs, words, least), "simhash")
     of = kinds.join(classes, kinds.fp == classes.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("class"))
     lows = of.groupBy("class").agg(F.min("low").alias("component_id"))
     of = of.join(lows, "class").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, limit: int = NEAR_BITS, least: float = NEAR_JACCARD) -> DataFrame:
     """The rows of docs that stay, the one with the smallest id of each group, with all their columns; of repeated rows, one."""
-    stay = simhash_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("_key")).withColumnRenamed("component_id", "_id")
-    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
-    return keyed.join(stay, keyed[id_col].eqNullSafe(stay._id) & (keyed._hash == stay._key), "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
+    groups = simhash_groups(docs, id_col, text_col, words, limit, least)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("_key")).withColumnRenamed("component_id", "_id")
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"))
+    return keyed.join(stay, keyed._own.eqNullSafe(stay._id) & (keyed._hash == stay._key), "left_semi").dropDuplicates(["_own", "_hash"]).select("_row.*")
