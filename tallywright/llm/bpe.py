@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallywright.llm.common import Recent
 
 #: Words, and chunks between white space, that a worker remembers the ids of, each kind.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 # The white space of the tokenizer's patterns; letters and numbers that are newer than its tables (Unicode 17),
 # which it takes for signs.

@@ -26,7 +26,7 @@ LONGEST = 5
 UNKNOWN = "und"
 
 #: Chunks of text that a worker remembers the scores of.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 #: Least score that identified() keeps.
 LEAST_SCORE = 0.5
