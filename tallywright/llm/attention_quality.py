@@ -22,7 +22,7 @@ PAIR_BUCKETS = 256
 SMOOTH = 64
 HIDDEN, ATTENTION = 24, 12
 
-#: Learning looks at so many documents of each label at most (on average; a hash picks them) of at most so many bytes each.
+#: Learning looks at so many documents of each label at most (a hash picks them), those of at most so many bytes each.
 SAMPLE_DOCS, SAMPLE_BYTES = 1200, 16_384
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 64, 0.004, 1e-4, 7
 
@@ -134,16 +134,17 @@ def _gradient(x: np.ndarray, n: np.ndarray, labels: np.ndarray, importance: np.n
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Fits on docs (doc_id, text) joined to labels (doc_id, label_col 0 or 1) that aren't held out; null ids and labels teach nothing.
 
-    A label's documents weigh as its share of all of them. With one label only, or none, there is no model (None).
+    A label's documents weigh as its share of all of them; of rows with one id the smallest text counts. With one label only, or
+    none, there is no model (None).
     """
     known = labels.where(~held_out()).where(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("label")).distinct()
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    quota = F.when(F.col("label") == 1, F.lit(sample_docs / sizes[1])).otherwise(F.lit(sample_docs / sizes[0]))
-    some = known.where(draw < quota)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(some, "doc_id").select("doc_id", "label", "text").orderBy("doc_id", "label").collect()
+    drawn = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for k in (0, 1)]
+    some = F.broadcast(drawn[0].union(drawn[1]))  # sample_docs rows a label at most, so no text is shuffled but theirs
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = texts.join(some, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id", "label").collect()
     y = np.array([r.label for r in rows])
     if len(set(y.tolist())) < 2:
         return None
