@@ -9,11 +9,12 @@ join that finds them verifies all 64 bits.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,35 +22,42 @@ from tallywright.llm.common import components, settle
 
 BITS, WORDS, LINK_BITS, SEED = 64, 4, 4, 42
 
-#: What drop_near_copies() takes for near: fingerprints of five-word shingles within so many bits find the candidates, and a
-#: Jaccard similarity of the sets of shingles verifies them.
+#: What drop_near_copies() takes for near: a Jaccard similarity of the sets of five-word shingles. Pairs of fingerprints within so
+#: many bits are looked at first; shared rare shingles find the others.
 NEAR_WORDS, NEAR_BITS, NEAR_JACCARD = 5, 6, 0.8
 
 #: Fingerprints that the grouping of bits and the cost estimates are fitted on; results don't depend on them.
 SAMPLE = 2048
 
+#: Documents in which common shingles are counted, and how many of those are told to all workers; results don't depend on them.
+SAMPLE_DOCS, SAMPLE_COMMON = 16_384, 1 << 16
+
 #: Costs in units of a probe's row: comparing a candidate.
 CANDIDATE_COST = 0.05
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit fingerprint as a signed integer; 0 for a text without words. Counts bits in blocks, however long the text."""
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's word shingles in order; a text of fewer words is one shingle, a text without words has none."""
     tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return 0
-    shingles = map(b" ".join, zip(*[tokens[i:] for i in range(words)], strict=False)) if len(tokens) > words else [b" ".join(tokens)]
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+    shingles = map(b" ".join, zip(*[tokens[i:] for i in range(words)], strict=False)) if len(tokens) > words else [b" ".join(tokens)] if tokens else []
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit fingerprint as a signed integer; 0 for a text without words. Counts bits in blocks, however long the text."""
+    return _majority(_hashes(text, words))
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct hashes of a text's word shingles, sorted."""
-    tokens = (text or "").encode().lower().split()
-    count = max(1, len(tokens) - words + 1) if tokens else 0
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(count)], dtype="<u8")).view("<i8")
+    return np.unique(_hashes(text, words)).view("<i8")
 
 
 def shingle_sets(text: Column, words: int) -> Column:
@@ -60,6 +68,45 @@ def shingle_sets(text: Column, words: int) -> Column:
     return of(text)
 
 
+def common_shingles(docs: DataFrame, words: int, sample: int = SAMPLE_DOCS, most: int = SAMPLE_COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the shingles that come most often in a sample of docs (text): they go last in prefixes."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) * n < 1_000_000 * sample)
+    counts = some.select(F.explode(shingle_sets(F.col("text"), words)).alias("s")).groupBy("s").count().where("count > 2")
+    rows = sorted((r.s, r["count"]) for r in counts.orderBy(F.desc("count"), "s").limit(most).collect())
+    return np.array([s for s, _ in rows], np.int64), np.array([k for _, k in rows], np.int64)
+
+
+def prefixes(text: Column, words: int, least: float, common: Broadcast) -> Column:
+    """struct of fp, node (hash of the set of shingles), n (its size) and prefix.
+
+    The prefix is the set's first shingles in an order that all texts share. Two sets of a Jaccard similarity of ``least`` have
+    ``least`` * n shingles in common at least, so one of them is in both prefixes, whatever the order.
+    """
+
+    @F.pandas_udf("fp long, node long, n int, prefix array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        often, counts = common.value
+        rows = []
+        for t in texts:
+            hashes = _hashes(t, words)
+            s = np.unique(hashes).view("<i8")
+            count = np.zeros(len(s), np.int64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                count = np.where(often[at] == s, counts[at], 0)
+            prefix = s[np.lexsort((s, count))[: len(s) - _least_common(len(s), least) + 1]]
+            rows.append((_majority(hashes), xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63), len(s), prefix))
+        return pd.DataFrame(rows, columns=["fp", "node", "n", "prefix"])
+
+    return of(text)
+
+
+def _least_common(n: int, least: float) -> int:
+    """How many shingles a set of n must have in common with any other to be similar; never more than what floating point admits."""
+    return ceil(least * n - 1e-6)
+
+
 def fingerprints(text: Column, words: int = WORDS) -> Column:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -141,38 +188,81 @@ def _all(bits: list[int]) -> int:
 
 
 def similar_pairs(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of fingerprints whose first documents' sets of shingles have a Jaccard similarity of ``least`` or more.
+    """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of ``least`` or more.
 
-    rows (doc_id, key, fp) says which document of docs (doc_id, text) has a fingerprint; only documents of pairs are looked at.
+    rows (doc_id, key, node) says which documents of docs (doc_id, text) have a node's set; only documents of pairs are looked at.
     """
     pairs = settle(pairs, "simhash-pairs")
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    first = rows.join(linked, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("of")).select("fp", F.col("of.doc_id").alias("_id"), F.col("of.key").alias("_key"))
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = rows.join(linked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("of")).select("node", F.col("of.doc_id").alias("_id"), F.col("of.key").alias("_key"))
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    texts = keyed.join(first, keyed.doc_id.eqNullSafe(first._id) & (keyed._hash == first._key)).dropDuplicates(["fp"])
-    sets = settle(texts.select("fp", shingle_sets(F.col("text"), words).alias("s")), "simhash-sets")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    texts = keyed.join(first, keyed.doc_id.eqNullSafe(first._id) & (keyed._hash == first._key)).dropDuplicates(["node"])
+    sets = settle(texts.select("node", shingle_sets(F.col("text"), words).alias("s")), "simhash-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def prefix_pairs(nodes: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: of nodes (node, n, prefix) all pairs that can have a Jaccard similarity of ``least`` and aren't in one of
+    the classes (node, component) already; each once.
+
+    A pair shares a shingle of both prefixes. From the first that it shares on, at places i and j, it has 1 + min(n_a - 1 - i,
+    n_b - 1 - j) shingles in common at most. Shingles of one node, or of nodes of one class only, are left out before the join.
+    """
+    entries = nodes.select("node", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    spread = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    shared = settle(entries.join(spread, "token", "left_semi"), "simhash-shared")
+    known = nodes.select("node", "n").join(classes, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class"))
+    placed = settle(shared.join(known, "node"), "simhash-placed")
+    spread = placed.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
+    placed = settle(placed.join(spread, "token", "left_semi"), "simhash-spread")
+    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("class").alias("ca"))
+    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("class").alias("cb"))
+    most = 1 + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j"))
+    enough = most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
+    return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = LINK_BITS, least: float | None = None) -> DataFrame:
     """One row per document: doc_id, key (hash of its text), fp, fingerprint, component_id.
 
-    Documents link when their fingerprints differ in ``limit`` bits or fewer and, if ``least`` is given, their sets of shingles
-    have a Jaccard similarity of that or more (equal fingerprints link in any case). component_id is the smallest doc_id that
-    links lead to. Null, empty and blank texts have fingerprint zero and link like others. A null id never is a component's id
-    unless all of them are null. Repeated rows stay as they are; an empty table gives an empty result; other columns are ignored.
+    Documents link when their fingerprints differ in ``limit`` bits or fewer. If ``least`` is given, they link when their sets of
+    shingles have a Jaccard similarity of that or more, however far apart their fingerprints are; ``limit`` then only says which
+    pairs are looked at first. component_id is the smallest doc_id that links lead to. Null, empty and blank texts have fingerprint
+    zero and link like others. A null id never is a component's id unless all of them are null. Repeated rows stay as they are;
+    an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = settle(docs.select("doc_id", F.xxhash64("text").alias("key"), fingerprints(F.col("text"), words).alias("fp")), "simhash-prints")
-    kinds = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-kinds")
-    pairs = near_pairs(kinds.select("fp"), limit)
-    classes = components(pairs if least is None else similar_pairs(pairs, rows, docs, words, least), "simhash")
-    of = kinds.join(classes, kinds.fp == classes.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("class"))
-    lows = of.groupBy("class").agg(F.min("low").alias("component_id"))
-    of = of.join(lows, "class").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    if least is None:
+        rows = settle(docs.select("doc_id", F.xxhash64("text").alias("key"), fingerprints(F.col("text"), words).alias("fp")).withColumn("node", F.col("fp")), "simhash-prints")
+        classes = components(near_pairs(settle(rows.select("fp").distinct(), "simhash-fps"), limit), "simhash")
+    else:
+        common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+        rows = settle(docs.select("doc_id", F.xxhash64("text").alias("key"), prefixes(F.col("text"), words, least, common).alias("_of")).select("doc_id", "key", "_of.*"), "simhash-prints")
+        classes = similar_classes(rows, docs, words, limit, least)
+    kinds = rows.groupBy("node").agg(F.min("doc_id").alias("low")).join(classes, "node", "left").select("node", "low", F.coalesce("component", "node").alias("class"))
+    kinds = settle(kinds, "simhash-kinds")
+    of = kinds.join(kinds.groupBy("class").agg(F.min("low").alias("component_id")), "class").select("node", "component_id")
+    return rows.join(of, "node").select("doc_id", "key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, least: float) -> DataFrame:
+    """(node, component) of the nodes of rows (doc_id, key, fp, node, n, prefix) that are linked with others.
+
+    Pairs of near fingerprints come first, one node of each; they join most near copies at little cost. The prefixes then give
+    every other pair that can be similar but is not in one class already.
+    """
+    firsts = settle(rows.groupBy("fp").agg(F.min("node").alias("node")), "simhash-firsts")
+    near = near_pairs(firsts.select("fp"), limit)
+    near = near.join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    close = settle(similar_pairs(near, rows, docs, words, least), "simhash-close")
+    equal = rows.select("fp", "node").distinct().join(firsts.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    close = close.union(equal)
+    classes = components(close, "simhash-close")
+    nodes = rows.dropDuplicates(["node"]).select("node", "n", "prefix")
+    rest = similar_pairs(prefix_pairs(nodes, classes, least), rows, docs, words, least)
+    return components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "simhash")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, limit: int = NEAR_BITS, least: float = NEAR_JACCARD) -> DataFrame:

@@ -318,6 +318,27 @@ def test_similarity_verifies_candidates(spark):
     assert got == {0: 0, 1: 0, 2: 2}
 
 
+def jaccard_groups(docs, least):
+    sets = [{b" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in ((x or "").encode().lower().split() for _, x in docs)]
+    return smallest([d for d, _ in docs], [(docs[i][0], docs[j][0]) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])])
+
+
+def test_similar_texts_of_far_fingerprints_link(spark):
+    r, docs = random.Random(4), []
+    for k in range(60):
+        base = words(r.randint(40, 160), 1000 + k).split()
+        docs.append((2 * k, " ".join(base)))
+        for i in r.sample(range(len(base)), max(1, len(base) // 55)):
+            base[i] = f"other{i}"
+        docs.append((2 * k + 1, " ".join(base)))
+    line = words(30, 77)
+    docs += [(200 + k, f"{line} {words(20, 2000 + k)}") for k in range(40)] + [(300, None), (301, " "), (302, "a"), (303, "A")]
+    want = jaccard_groups(docs, 0.8)
+    far = sum(want[2 * k] == want[2 * k + 1] and (brute_fingerprint(docs[2 * k][1], 5) ^ brute_fingerprint(docs[2 * k + 1][1], 5)).bit_count() > 6 for k in range(60))
+    got = {x.doc_id: x.component_id for x in simhash.simhash_groups(spark.createDataFrame(docs, "doc_id long, text string"), words=5, limit=6, least=0.8).collect()}
+    assert far > 5 and got == want
+
+
 # 8: vectors
 
 def test_vectors(spark):
