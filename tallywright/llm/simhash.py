@@ -229,7 +229,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents link when their fingerprints differ in ``limit`` bits or fewer. If ``least`` is given, they link when their sets of
     shingles have a Jaccard similarity of that or more, however far apart their fingerprints are; ``limit`` then only says which
-    pairs are looked at first. component_id is the smallest doc_id that links lead to. Null, empty and blank texts have fingerprint
+    pairs are looked at first, and equal fingerprints alone link nothing. component_id is the smallest doc_id that links lead to. Null, empty and blank texts have fingerprint
     zero and link like others. A null id never is a component's id unless all of them are null. Repeated rows stay as they are;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -257,8 +257,6 @@ def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, le
     near = near_pairs(firsts.select("fp"), limit)
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     close = settle(similar_pairs(near, rows, docs, words, least), "simhash-close")
-    equal = rows.select("fp", "node").distinct().join(firsts.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    close = close.union(equal)
     classes = components(close, "simhash-close")
     nodes = rows.dropDuplicates(["node"]).select("node", "n", "prefix")
     rest = similar_pairs(prefix_pairs(nodes, classes, least), rows, docs, words, least)

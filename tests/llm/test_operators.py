@@ -339,6 +339,15 @@ def test_similar_texts_of_far_fingerprints_link(spark):
     assert far > 5 and got == want
 
 
+def test_equal_fingerprints_alone_do_not_link(spark):
+    padding, prose = "pad " * 400, [words(60, 3000), words(60, 3001), words(60, 3002)]
+    changed = prose[2].split()
+    docs = [(0, padding + prose[0]), (1, padding + prose[1]), (2, padding + prose[2]), (3, padding + " ".join([*changed[:-1], "changed"]))]
+    assert len({brute_fingerprint(t, 5) for _, t in docs}) == 1
+    got = {x.doc_id: x.component_id for x in simhash.simhash_groups(spark.createDataFrame(docs, "doc_id long, text string"), words=5, limit=6, least=0.8).collect()}
+    assert got == jaccard_groups(docs, 0.8) == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 # 8: vectors
 
 def test_vectors(spark):

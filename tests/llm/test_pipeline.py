@@ -34,6 +34,13 @@ def test_each_stage(spark, sf_dir):
     assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
 
 
+def test_near_dedup_is_jaccard_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, sf_dir).collect()} == set(smallest(sorted(sets), linked).values())
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert out and all(r.exact and r.n_tokens == len(r.ids) for r in out)
