@@ -1,15 +1,12 @@
-"""Near-duplicate vectors by a robust-pruned flat graph.
+"""Near-duplicate vectors, block against block.
 
-Vectors are clustered into shards that overlap; each shard builds a pruned neighbour graph of its own; a vector's lists from all
-its shards are united. Each vector then searches from the medoid of the shard that it is closest to: a greedy search that, once
-it comes upon vectors within the range, expands all of those, so that its range may be as large as it is. Cosines in double
-precision decide, and recall is audited against brute force for a sample of queries.
+Distinct vectors are dealt into blocks, and each pair of blocks is one task that compares all of theirs: no link is lost, whatever
+the data. Cosines in double precision decide. A task returns each vector's number of links and as many links as join its
+components, so the rows stay few however large a group is. Time grows with the square of the number of distinct vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,23 +16,8 @@ from tallywright.llm.common import components, settle
 
 LINK_COSINE = 0.95
 
-#: A shard is split while it has more members than MOST, into parts of about PART (64 at a time at most); centroids are fitted
-#: on about FITTED of its members, whatever its size.
-MOST, PART, FITTED = 3000, 700, 4096
-DEPTH = 16
-
-#: A vector is also put into further shards, OVERLAP in all at most, if their centroids' cosine is at most MARGIN less.
-OVERLAP, MARGIN = 3, 0.15
-
-#: Candidates of a vector (the nearest, and some by chance for long ways), its neighbours after pruning, the slack of pruning, and
-#: how many of its nearest vectors are made to lead to it.
-NEAREST, CHANCE, DEGREE, SLACK, WAYS_IN = 40, 16, 20, 1.2, 4
-
-#: Best vectors that a search keeps until none is left to expand, and how many it expands at a time.
-BEAM, STEP = 24, 4
-
-#: Queries of the audit, and the recall that a build must reach; else it is done again with more overlap.
-AUDITED, LEAST_RECALL = 512, 0.95
+#: Vectors of a block at most (about), blocks at least, and rows of a block that are compared at a time.
+BLOCK, LEAST_BLOCKS, ROWS = 12_000, 4, 512
 
 
 def unit(embedding: Column | str) -> Column:
@@ -46,202 +28,67 @@ def unit(embedding: Column | str) -> Column:
     return F.when(~odd & (norm > 0) & (norm < float("inf")), F.transform(x, lambda v: v / norm))
 
 
-def _centroids(x: np.ndarray, k: int) -> np.ndarray:
-    """k-means on the sphere, from rows far apart by chance; the same rows give the same centroids."""
-    rng = np.random.default_rng(len(x))
-    c = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
-    for _ in range(8):
-        near = np.argmax(x @ c.T, axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), c)
-    return c
-
-
-def shards(points: DataFrame, overlap: int) -> DataFrame:
-    """(vec_id, x, shard, main) of points (vec_id, x): every point in the shard it is closest to (main) and in others nearby."""
-    done, todo = None, points.select("vec_id", "x", F.lit("").alias("shard"), F.lit(True).alias("main"))
-    for depth in range(DEPTH + 1):
-        todo = settle(todo, "vector-shards")
-        sizes = todo.groupBy("shard").agg(F.count("*").alias("n"))
-        sized = todo.join(sizes, "shard")
-        small = sized.where(F.col("n") <= (MOST if depth < DEPTH else 1 << 62)).select("vec_id", "x", "shard", "main")
-        done = small if done is None else done.union(small)
-        large = sized.where(F.col("n") > MOST)
-        if depth == DEPTH or large.isEmpty():
-            return done
-        some = large.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * FITTED))
-
-        def fit(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("vec_id")
-            k = int(min(64, max(2, -(-rows.n.iloc[0] // PART))))
-            return pd.DataFrame({"shard": [rows.shard.iloc[0]], "centroids": [_centroids(np.stack(rows.x), k).ravel().tolist()]})
-
-        fitted = settle(some.groupBy("shard").applyInPandas(fit, "shard string, centroids array<double>"), "vector-centroids")
-
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                for _, part in rows.groupby("shard", sort=False):
-                    x = np.stack(part.x)
-                    c = np.asarray(part.centroids.iloc[0]).reshape(-1, x.shape[1])
-                    cosine = x @ c.T
-                    order = np.argsort(-cosine, axis=1, kind="stable")[:, :overlap]
-                    near = np.take_along_axis(cosine, order, axis=1)
-                    row, rank = np.nonzero(near >= near[:, :1] - MARGIN)
-                    out = part.iloc[row]
-                    yield pd.DataFrame({"vec_id": out.vec_id, "x": out.x, "shard": out.shard + "/" + pd.Series(order[row, rank].astype(str), index=out.index), "main": out.main & (rank == 0)})
-
-        # a part's parts: a point may have come here more than once by way of its neighbours
-        todo = large.join(fitted, "shard").select("vec_id", "x", "main", "shard", "centroids").mapInPandas(place, "vec_id long, x array<double>, shard string, main boolean")
-    raise AssertionError("unreachable")
-
-
-def pruned(x: np.ndarray) -> list[np.ndarray]:
-    """Each row's neighbours: of its candidates, nearest first, those that no neighbour chosen before is much closer to.
-
-    In a dense group many rows are nobody's choice, and the few central ones are everybody's. So that every row can be reached,
-    WAYS_IN of its nearest rows, those with the fewest such duties so far, name it among their neighbours.
+def compared(x: np.ndarray, ids: np.ndarray, times: np.ndarray, first: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(near, links) of the vectors x: those of ``first`` are compared with all others, or, if all are first, all with each other.
+
+    near counts, for each vector, the others within ``least``, each as often as ``times`` says. links (a, b) of ids join what
+    such pairs join: a pair of vectors that earlier links join already is left out.
     """
-    n = len(x)
-    if n < 2:
-        return [np.zeros(0, int)] * n
-    rng = np.random.default_rng(n)
-    lists: list[np.ndarray] = []
-    duties, back = np.zeros(n, int), [[] for _ in range(n)]
-    for i in range(0, n, 1024):
-        cosine = x[i : i + 1024] @ x.T
-        cosine[np.arange(len(cosine)), np.arange(i, i + len(cosine))] = -2
-        k = min(NEAREST, n - 1)
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        for r in range(len(cosine)):
-            far = rng.integers(0, n, CHANCE)
-            pool = np.unique(np.concatenate([near[r], far[far != i + r]]))
-            lists.append(_prune(x, pool, cosine[r, pool]))
-            for j in near[r, np.lexsort((-cosine[r, near[r]], duties[near[r]]))[:WAYS_IN]].tolist():
-                back[j].append(i + r)
-                duties[j] += 1
-    return [np.unique(np.concatenate([mine, np.array(more, dtype=int)])) for mine, more in zip(lists, back, strict=True)]
-
-
-def _prune(x: np.ndarray, pool: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-    order = np.argsort(-cosine, kind="stable")
-    pool, away = pool[order], 1 - cosine[order]
-    between = 1 - x[pool] @ x[pool].T
-    alive, out = np.ones(len(pool), bool), []
-    while len(out) < DEGREE and alive.any():
-        p = int(np.argmax(alive))
-        out.append(pool[p])
-        alive &= SLACK * between[p] > away
-        alive[p] = False
-    return np.array(out, dtype=int)
-
-
-def found_by_search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """For each query row the other rows of cosine ``least`` or more that the search comes upon."""
-    n = len(x)
-    width = max([1, *(len(m) for m in lists)])
-    graph = np.full((n, width), -1)
-    for i, mine in enumerate(lists):
-        graph[i, : len(mine)] = mine
-    middle = int(np.argmax(x @ x.mean(axis=0)))
-    seen, expanded = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for turn, q in enumerate(queries.tolist(), 1):
-        nodes = np.unique(np.append(graph[q][graph[q] >= 0], middle))
-        cosine = x[nodes] @ x[q]
-        seen[nodes] = turn
-        while True:
-            open_ = expanded[nodes] != turn
-            best = np.zeros(len(nodes), bool)
-            top = np.argpartition(-cosine, BEAM)[:BEAM] if len(nodes) > BEAM else np.arange(len(nodes))
-            top = top[open_[top]]
-            best[top[np.argsort(-cosine[top], kind="stable")[:STEP]]] = True
-            go = open_ & (best | (cosine >= least))
-            if not go.any():
-                break
-            expanded[nodes[go]] = turn
-            new = graph[nodes[go]].ravel()
-            new = np.unique(new[new >= 0])
-            new = new[seen[new] != turn]
-            seen[new] = turn
-            nodes, cosine = np.concatenate([nodes, new]), np.concatenate([cosine, x[new] @ x[q]])
-        yield nodes[(cosine >= least) & (nodes != q)]
-
-
-def links(points: DataFrame, least: float = LINK_COSINE, overlap: int = OVERLAP) -> DataFrame:
-    """(a, b), a < b: the linked pairs of distinct points (vec_id, x of length 1) that the search finds."""
-    members = settle(shards(points, overlap).groupBy("shard", "vec_id").agg(F.first("x").alias("x"), F.max("main").alias("main")), "vector-members")
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id")
+    rows, cols = np.flatnonzero(first), np.flatnonzero(~first)
+    within = not len(cols)
+    cols = rows if within else cols
+    near, label, links = np.zeros(len(x), np.int64), np.arange(len(x)), []
+    for i in range(0, len(rows), ROWS):
+        some = rows[i : i + ROWS]
+        close = x[some] @ x[cols].T >= least
+        if within:
+            close[np.arange(len(some)), np.arange(i, i + len(some))] = False
+        hit = np.flatnonzero(close.any(axis=1))
+        near[some[hit]] += np.where(close[hit], times[cols], 0).sum(axis=1)
+        if not within:
+            near[cols] += np.where(close[hit], times[some[hit], None], 0).sum(axis=0)
+        for k in hit.tolist():
+            mine, other = some[k], cols[close[k]]
+            labels = label[other]
+            if (labels == label[mine]).all():
+                continue
+            new, at = np.unique(labels, return_index=True)
+            links += [(int(ids[mine]), int(ids[other[j]])) for m, j in zip(new, at, strict=True) if m != label[mine]]
+            label[np.isin(label, np.append(new, label[mine]))] = mine
+    return near, links
+
+
+def links(points: DataFrame, least: float = LINK_COSINE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(a, near) and (a, b) of distinct points (vec_id, x of length 1, n): the sum of n of the others in range, and links that join all that pairs in range join."""
+    blocks = max(LEAST_BLOCKS, -(-points.count() // block))
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    cells = dealt.select("vec_id", "x", "n", "block", other).select("vec_id", "x", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows.vec_id.to_numpy()
-        return pd.DataFrame({"vec_id": ids, "near": [ids[m].tolist() for m in pruned(np.stack(rows.x))]})
+        near, joined = compared(np.stack(rows.x), ids, rows.n.to_numpy(), (rows.block == rows.i).to_numpy(), least) if rows.i.iloc[0] == rows.j.iloc[0] or rows.block.nunique() == 2 else (np.zeros(len(ids), np.int64), [])
+        hit = np.flatnonzero(near)
+        a, b = [p[0] for p in joined], [p[1] for p in joined]
+        return pd.DataFrame({"a": np.append(ids[hit], a).astype("int64"), "b": np.append(np.full(len(hit), -1), b).astype("int64"), "near": np.append(near[hit], np.full(len(a), -1)).astype("int64")})
 
-    lists = members.groupBy("shard").applyInPandas(build, "vec_id long, near array<long>")
-    graph = settle(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector-graph")  # OVERLAP lists a level at most
+    found = settle(cells.groupBy("i", "j").applyInPandas(compare, "a long, b long, near long"), "vector-links")  # near is -1 in a link's row
+    return found.where("near >= 0").groupBy("a").agg(F.sum("near").alias("near")), found.where("near < 0").select("a", "b")
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id")
-        ids = rows.vec_id.to_numpy()
-        lists = []
-        for near in rows.near:
-            at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
-            lists.append(at[ids[at] == near])
-        queries = np.flatnonzero(rows.main.to_numpy())
-        found = [ids[f].tolist() for f in found_by_search(np.stack(rows.x), lists, queries, least)]
-        return pd.DataFrame({"a": ids[queries], "b": found})
-
-    found = members.join(graph, "vec_id").groupBy("shard").applyInPandas(search, "a long, b array<long>").where(F.size("b") > 0)
-    pairs = found.select("a", F.explode("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return settle(pairs.distinct(), "vector-links")
-
-
-def audit(points: DataFrame, found: DataFrame, least: float = LINK_COSINE, queries: int = AUDITED) -> float:
-    """The share of a sample of queries' links, by brute force over all points, that were found; 1 if there are none."""
-    some = points.orderBy(F.xxhash64("vec_id")).limit(queries).collect()
-    if not some:
-        return 1.0
-    ids, x = np.array([r.vec_id for r in some]), np.array([r.x for r in some])
-    shared = points.sparkSession.sparkContext.broadcast((ids, x))  # bounded by ``queries``
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = shared.value
-        for rows in batches:
-            if len(rows):
-                other = rows.vec_id.to_numpy()
-                i, j = np.nonzero(np.stack(rows.x) @ x.T >= least)
-                i, j = i[other[i] != ids[j]], j[other[i] != ids[j]]
-                yield pd.DataFrame({"a": np.minimum(other[i], ids[j]), "b": np.maximum(other[i], ids[j])})
-
-    true = points.mapInPandas(compare, "a long, b long").distinct().withColumn("true", F.lit(1))
-    hit = true.join(found.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("true").alias("n"), F.count("hit").alias("k")).first()
-    return hit.k / hit.n if hit.n else 1.0
-
-
-def near_vectors(vectors: DataFrame, least: float = LINK_COSINE, overlap: int = OVERLAP, least_recall: float = LEAST_RECALL) -> DataFrame:
+
+def near_vectors(vectors: DataFrame, least: float = LINK_COSINE, block: int = BLOCK) -> DataFrame:
     """One row per vector of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors that are null or zero or hold null or non-finite components, or whose number of components isn't the commonest (of
     ties the larger), link with nothing; so do vectors with a null id, and component_id is their own id. Equal vectors are
-    searched for once and count as often as they come; so do repeated rows. An empty table gives an empty result. If the audit
-    finds too little, all is built again with twice the overlap; after three builds the operator gives up with an error.
+    compared once and count as often as they come; so do repeated rows. An empty table gives an empty result.
     """
     rows = vectors.select("vec_id", unit("embedding").alias("x"))
     rows = settle(rows.withColumn("x", F.when(F.col("vec_id").isNotNull(), F.col("x"))), "vector-rows")
     dims = rows.where("x is not null").groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     known = rows.where("x is not null").where(F.size("x") == (dims.d if dims else 0))
     kinds = settle(known.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "vector-kinds")
-    for _ in range(3):
-        found = links(kinds.select("vec_id", "x"), least, overlap)
-        recall = audit(kinds, found, least)
-        if recall >= least_recall:
-            break
-        overlap *= 2
-    else:
-        raise RuntimeError(f"the audit found a recall of {recall:.3f}")
-    both = found.union(found.select("b", "a"))
-    times = kinds.select(F.col("vec_id").alias("b"), "n")
-    near = both.join(times, "b").groupBy("a").agg(F.sum("n").alias("near"))
+    near, found = links(kinds, least, block)
     classes = components(found, "vector")
     of = kinds.join(near, kinds.vec_id == near.a, "left").join(classes, kinds.vec_id == classes.node, "left")
     of = of.select(F.col("x").alias("_x"), (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

@@ -381,6 +381,20 @@ def test_vector_recall(spark, sf_dir):
     assert want * 0.9 <= got <= want
 
 
+def test_links_across_blocks_are_all_found(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=64)
+    x = np.concatenate([hot + rng.normal(size=(3600, 64)) * 0.2, rng.normal(size=(300, 64)).repeat(2, axis=0) + rng.normal(size=(600, 64)) * 0.1])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    x = x.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    root = smallest(range(len(x)), np.argwhere(np.triu(near)).tolist())
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=500).collect()}
+    assert got == {i: (int(near[i].sum()), root[i]) for i in range(len(x))}
+
+
 # 9: mixing
 
 def test_mixing(odd, empty):
