@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywright.operators.datasets import draw
+from tallywright.operators.ranking import positioned
+
+#: Buckets that rows are dealt into to be numbered.
+BUCKETS = 4096
 
 
 def number_of(digits: int, *parts: Column) -> Column:
@@ -43,11 +47,23 @@ def chains(spark: SparkSession, n: int, num_chains: int = 2, hops: int = 4, seed
     return rows.select("sample_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("input"), F.transform("names", lambda x: x["name"]).alias("outputs"))
 
 
+def numbered(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds ``position``: the rows' places, from 0, in an order drawn by the seed."""
+    return positioned(rows, [], F.pmod(F.xxhash64(F.lit(seed), key), F.lit(BUCKETS)), [F.xxhash64(F.lit(seed + 1), key), key])
+
+
 def common_words(words: DataFrame, n: int, common: int = 10, uncommon: int = 40, often: int = 30, seldom: int = 3, seed: int = 0) -> DataFrame:
     """(sample_id, input, outputs): of a vocabulary (word), so many words come often and others seldom, in drawn order, numbered."""
     rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("code"))
     ids = words.sparkSession.range(n).select(F.col("id").alias("sample_id"))
-    chosen = ids.join(F.broadcast(words.select("word").distinct().orderBy("word").limit(10_000))).withColumn("code", draw(seed, "sample_id", "word")).withColumn("rank", rank).where(F.col("rank") <= common + uncommon)
+    vocabulary = numbered(words.select("word").where("word is not null").distinct(), "word", seed)
+    total = vocabulary.count()
+    n_drawn = min(total, common + uncommon)
+    # Floyd's draw without repeats: of 0..j a place by hash, or j itself if that one is taken
+    last = lambda i: F.lit(total - n_drawn) + i
+    place = lambda i: F.pmod(F.xxhash64(F.lit(seed), "sample_id", i), last(i) + 1)
+    places = F.aggregate(F.sequence(F.lit(0), F.lit(n_drawn - 1)).cast("array<long>"), F.array().cast("array<long>"), lambda taken, i: F.array_append(taken, F.when(F.array_contains(taken, place(i)), last(i)).otherwise(place(i)))) if n_drawn else F.array().cast("array<long>")
+    chosen = ids.withColumn("position", F.explode(places)).join(vocabulary, "position").withColumn("code", draw(seed, "sample_id", "word")).withColumn("rank", rank)
     copies = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("rank") <= common, F.lit(often)).otherwise(F.lit(seldom))))).withColumn("at", draw(seed, "sample_id", "word", "copy"))
     rows = copies.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("list"), F.array_sort(F.collect_set(F.when(F.col("rank") <= common, F.col("word")))).alias("outputs"))
     return rows.select("sample_id", F.array_join(F.transform("list", lambda x, i: F.concat(i + 1, F.lit(". "), x["word"])), " ").alias("input"), "outputs")

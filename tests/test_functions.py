@@ -150,6 +150,12 @@ def test_generators(spark):
         assert r.gold in r.context and len(r.context) == len(set(r.context)) == 6
 
 
+def test_common_words_come_from_the_whole_vocabulary(spark):
+    words = spark.range(25_000).select(F.format_string("w%05d", "id").alias("word"))
+    said = [{w for w in r.input.split() if not w.endswith(".")} for r in generators.common_words(words, 8).collect()]
+    assert len(said) == 8 and all(len(s) == 50 for s in said) and 150 < sum(w >= "w10000" for s in said for w in s) < 330
+
+
 def test_sources(spark, tmp_path):
     for name, n in (("a", 3), ("b", 2)):
         (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"q": "{name}{i}"}}\n' for i in range(n)))
