@@ -84,11 +84,17 @@ def frequent_words(spark: SparkSession, n: int, tokens: int = 600, vocabulary: i
 def with_distractors(questions: DataFrame, documents: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """questions (sample_id, gold) with k drawn documents (doc_id) beside the gold one, in drawn order, as ``context`` of ids.
 
-    Documents are dealt into as many lots as there are questions; a question takes from its own lot on, so nothing is crossed.
+    Documents are numbered in a drawn order; a question takes k + 1 that follow each other from a drawn place on, round the end,
+    and leaves out the gold one or the last. It has fewer than k only where there are no more documents.
     """
-    n = questions.count()
-    lots = documents.withColumn("lot", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(max(1, n)))).groupBy("lot").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, k + 1).alias("some"))
-    dealt = questions.withColumn("lot", F.pmod(F.xxhash64(F.lit(seed + 1), "sample_id"), F.lit(max(1, n)))).join(lots, "lot", "left")
-    others = F.slice(F.filter(F.coalesce("some", F.array().cast("array<long>")), lambda d: d != F.col("gold")), 1, k)
+    pool = numbered(documents.select("doc_id").where("doc_id is not null").distinct(), "doc_id", seed)
+    total = pool.count()
+    asked = questions.groupBy("sample_id", "gold").agg(F.count("*").alias("times")).withColumn("turns", F.sequence(F.lit(0), F.lit(min(k, total - 1))) if total else F.array().cast("array<int>"))
+    start = F.pmod(F.xxhash64(F.lit(seed + 2), "sample_id"), F.lit(max(1, total)))
+    turned = asked.withColumn("turn", F.explode("turns")).select("sample_id", "gold", "turn", F.pmod(start + F.col("turn"), F.lit(max(1, total))).alias("position"))
+    found = turned.join(pool, "position").where(~F.col("doc_id").eqNullSafe(F.col("gold"))).groupBy("sample_id", "gold").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "doc_id"))), 1, k).alias("some"))
+    found = found.select(F.col("sample_id").alias("_id"), F.col("gold").alias("_gold"), F.transform("some", lambda x: x["doc_id"]).alias("some"))
+    dealt = asked.join(found, asked.sample_id.eqNullSafe(found._id) & asked.gold.eqNullSafe(found._gold), "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    others = F.coalesce("some", F.array().cast("array<long>"))
     order = F.transform(F.array_sort(F.transform(F.concat(F.array("gold"), others), lambda d: F.struct(F.md5(F.concat_ws(":", F.lit(seed), "sample_id", d)).alias("at"), d.alias("d")))), lambda x: x["d"])
     return dealt.select("sample_id", "gold", order.alias("context"))

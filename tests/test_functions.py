@@ -156,6 +156,16 @@ def test_common_words_come_from_the_whole_vocabulary(spark):
     assert len(said) == 8 and all(len(s) == 50 for s in said) and 150 < sum(w >= "w10000" for s in said for w in s) < 330
 
 
+def test_every_question_has_its_distractors(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"))
+    for n in (1, 150):
+        got = generators.with_distractors(spark.range(n).select(F.col("id").alias("sample_id"), F.col("id").alias("gold")), docs, 4).collect()
+        assert len(got) == n and all(r.gold in r.context and len(r.context) == len(set(r.context)) == 5 for r in got)
+    assert n == 150 and len({d for r in got for d in r.context}) > 250
+    few = generators.with_distractors(spark.range(3).select(F.col("id").alias("sample_id"), F.col("id").alias("gold")), docs.limit(3), 4).collect()
+    assert all(sorted(r.context) == [0, 1, 2] for r in few)
+
+
 def test_sources(spark, tmp_path):
     for name, n in (("a", 3), ("b", 2)):
         (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"q": "{name}{i}"}}\n' for i in range(n)))
