@@ -250,11 +250,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, least: float) -> DataFrame:
     """(node, component) of the nodes of rows (doc_id, key, fp, node, n, prefix) that are linked with others.
 
-    Pairs of near fingerprints come first, one node of each; they join most near copies at little cost. The prefixes then give
+    Each fingerprint and the smallest one near it come first, one node of each; they join most near copies at little cost. The prefixes then give
     every other pair that can be similar but is not in one class already.
     """
     firsts = settle(rows.groupBy("fp").agg(F.min("node").alias("node")), "simhash-firsts")
-    near = near_pairs(firsts.select("fp"), limit)
+    near = near_pairs(firsts.select("fp"), limit).groupBy("b").agg(F.min("a").alias("a"))  # one a node: the prefixes find the others
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     close = settle(similar_pairs(near, rows, docs, words, least), "simhash-close")
     classes = components(close, "simhash-close")
