@@ -2,6 +2,7 @@
 
 The leaves hold each adjacent pair's rank (with its place as the lower part), inner nodes the smaller child: the root is the
 leftmost pair of lowest rank. A merge updates three leaves and their ancestors, until the root says that nothing can be merged.
+The trees of many short words stand in one array and take their steps together; a long word has a tree of its own.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import Recent
 
-#: Words, and chunks between white space, that a worker remembers the ids of, each kind.
-REMEMBERED = 400_000
+#: Bytes of chunks between white space that a worker remembers the ids of; bytes of a text that are looked up at a time.
+REMEMBERED, PIECE_CHARS = 40 << 20, 1 << 20
+
+#: Longest word, in bytes, whose tree shares an array with others; words in one array.
+SHORT, TOGETHER = 64, 8192
 
 # The white space of the tokenizer's patterns; letters and numbers that are newer than its tables (Unicode 17),
 # which it takes for signs.
@@ -34,6 +38,9 @@ NEWER = """
 
 NONE = 1 << 62
 
+#: Signs that stand behind a word, and the first character that may be newer than the tokenizer's tables.
+SIGNS, OLD = ".,;:!?)\"", "\u0500"
+
 
 def byte_symbols() -> dict[str, int]:
     """The printable character that stands for each byte in vocabulary files: itself if printable Latin-1, else from U+0100 on."""
@@ -71,7 +78,12 @@ class ByteBpe:
         newer = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in NEWER.split())
         letter, number = rf"[\p{{L}}--[{newer}]]", rf"[\p{{N}}--[{newer}]]"
         self.word = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+")
-        self.chunks, self.words = Recent(REMEMBERED), Recent(REMEMBERED)
+        pairs = np.array(list(self.rank), dtype=np.int64).reshape(-1, 2)
+        keys, ranks = pairs[:, 0] << 32 | pairs[:, 1], np.array(list(self.rank.values()), dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks, self.made_of = keys[order], ranks[order], np.array(self.made, dtype=np.int32)
+        self.byte_id = np.array(self.byte_ids, dtype=np.int32)
+        self.chunks = Recent(REMEMBERED)
 
     def merge(self, ids: list[int]) -> list[int]:
         """The ids of one word, from the ids of its bytes."""
@@ -116,25 +128,103 @@ class ByteBpe:
                 put(p, NONE if r is None else r * n + p)
         return [x for x in ids if x >= 0]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids; NONE where it can't be merged or an id is negative."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NONE >> 8)
+
+    def _merge_together(self, words: list[bytes], leaves: int) -> list[bytes]:
+        """The ids of words of at most ``leaves`` bytes: one row of the arrays is the segment tree of one word."""
+        n = np.array([len(w) for w in words])
+        width, rows = leaves + 1, np.arange(len(words))
+        ids = np.full((len(words), width), -1, dtype=np.int32)
+        ids[np.arange(width)[None, :] < n[:, None]] = self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        after, before = np.tile(np.arange(1, width + 1), (len(words), 1)), np.tile(np.arange(-1, width - 1), (len(words), 1))
+        places = np.arange(leaves)
+        tree = np.full((len(words), 2 * leaves), NONE, dtype=np.int64)
+        tree[:, leaves:] = self._ranks(ids[:, :-1], ids[:, 1:]) << 8 | places
+        level = leaves
+        while level > 1:
+            level >>= 1
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        while len(rows := rows[tree[rows, 1] < NONE >> 8 << 8]):
+            root = tree[rows, 1]
+            i = root & 255
+            gone = after[rows, i]
+            k = np.minimum(after[rows, gone], leaves)
+            ids[rows, i], ids[rows, gone] = self.made_of[root >> 8], -1
+            after[rows, i], before[rows, k] = k, i
+            p = np.maximum(before[rows, i], 0)
+            there = np.where(p < i, self._ranks(ids[rows, p], ids[rows, i]) << 8 | p, NONE)
+            here = self._ranks(ids[rows, i], np.where(k > i, ids[rows, k], -1)) << 8 | i
+            tree[rows, leaves + np.minimum(gone, leaves - 1)] = NONE
+            tree[rows, leaves + i] = here
+            tree[rows, leaves + p] = np.where(p < i, there, here)
+            nodes, three = leaves + np.concatenate([np.minimum(gone, leaves - 1), i, p]), np.concatenate([rows, rows, rows])
+            for _ in range(leaves.bit_length() - 1):
+                nodes >>= 1
+                tree[three, nodes] = np.minimum(tree[three, 2 * nodes], tree[three, 2 * nodes + 1])
+        there = ids >= 0
+        data, ends = ids[there].astype("<i4").tobytes(), (4 * np.cumsum(there.sum(axis=1))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def merge_all(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word, as little-endian 32-bit integers."""
+        kinds: dict[int, list[bytes]] = {}
+        out = {}
+        for w in words:
+            if len(w) > SHORT:
+                out[w] = np.array(self.merge([self.byte_ids[b] for b in w]), dtype="<i4").tobytes()
+            else:
+                kinds.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(w)
+        for leaves, some in kinds.items():
+            for i in range(0, len(some), TOGETHER):
+                out.update(zip(some[i : i + TOGETHER], self._merge_together(some[i : i + TOGETHER], leaves), strict=True))
+        return out
+
+    def _cut(self, chunk: str) -> list[bytes]:
+        """The words of a chunk. Most chunks are one word of letters, perhaps with signs behind it, and need no pattern."""
+        body = chunk.rstrip(SIGNS)
+        letters = body[1:] if body[:1] == " " else body
+        if letters.isalpha() and (letters.isascii() or max(letters) < OLD):
+            return [body.encode()] if len(body) == len(chunk) else [body.encode(), chunk[len(body) :].encode()]
+        return [w.encode() for w in self.word.findall(chunk)]
+
     def _learn(self, new: list[str]) -> None:
-        split = {c: self.word.findall(c) for c in new}
-        for w in self.words.missing(set().union(*split.values())):
-            self.words.now[w] = np.array(self.merge([self.byte_ids[b] for b in w.encode()]), dtype="<i4").tobytes()
-        self.chunks.now.update({c: b"".join(map(self.words.now.__getitem__, ws)) for c, ws in split.items()})
+        split = {c: self._cut(c) for c in new}
+        ids = self.merge_all(list(set().union(*split.values())))
+        self.chunks.learn({c: ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for c, ws in split.items()})
+
+    def _looked_up(self, parts: list[list[str]]) -> list[bytes]:
+        if new := self.chunks.missing(set().union(*parts)):
+            self._learn(new)
+        return [b"".join(map(self.chunks.now.__getitem__, chunks)) for chunks in parts]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts as little-endian 32-bit integers; special tokens in a text are ids of their own."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        some, places, held = [], [], 0
+        for i, text in enumerate(texts):
+            parts = self.special_at.split(text) if self.special_at and any(s in text for s in self.special) else [text]
+            for part in parts:
+                if part in self.special:
+                    out[i].append(np.array([self.special[part]], dtype="<i4").tobytes())
+                    continue
+                some.append(self.chunk.findall(part))
+                places.append((i, len(out[i])))
+                out[i].append(b"")
+                held += len(part)
+                if held > PIECE_CHARS:
+                    for (k, at), ids in zip(places, self._looked_up(some), strict=True):
+                        out[k][at] = ids
+                    some, places, held = [], [], 0
+        for (k, at), ids in zip(places, self._looked_up(some), strict=True):
+            out[k][at] = ids
+        return [b"".join(x) for x in out]
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian 32-bit integers; special tokens in the text are ids of their own."""
-        parts = self.special_at.split(text) if self.special_at and any(s in text for s in self.special) else [text]
-        out = []
-        for part in parts:
-            if part in self.special:
-                out.append(np.array([self.special[part]], dtype="<i4").tobytes())
-                continue
-            chunks = self.chunk.findall(part)
-            if new := self.chunks.missing(set(chunks)):
-                self._learn(new)
-            out.append(b"".join(map(self.chunks.now.__getitem__, chunks)))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.content.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -145,15 +235,17 @@ def _model(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _lists(parts: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+
+
 def encode(text: Column, tokenizer: str) -> Column:
     """array<int>: the ids of a text; of a null text, none."""
 
     @F.arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
-        model = _model(tokenizer)
-        parts = [model.encode(t.as_py() or "") for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+        return _lists(_model(tokenizer).encode_all([t.as_py() or "" for t in texts]))
 
     return of(text)
 
@@ -169,9 +261,25 @@ def decode(ids: Column, tokenizer: str) -> Column:
     return of(ids)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """docs with two columns more: ids (array<int>) and decoded (string). A null or empty text has no ids and decodes to ''.
+def both_ways(text: Column, tokenizer: str) -> Column:
+    """struct of ids (array<int>) and decoded (string, made from those ids alone), in one pass."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def of(texts: pa.Array) -> pa.Array:
+        model = _model(tokenizer)
+        parts = model.encode_all([t.as_py() or "" for t in texts])
+        decoded = pa.array([model.decode(np.frombuffer(p, dtype="<i4").tolist()) for p in parts], pa.string())
+        return pa.StructArray.from_arrays([_lists(parts), decoded], ["ids", "decoded"])
+
+    return of(text)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", out: str = "bpe") -> DataFrame:
+    """docs with one column more, ``out``: a struct of ids (array<int>) and decoded (string).
 
-    A column of docs named ids or decoded is replaced. Rows stay where they are: nothing is shuffled.
+    A null or empty text has no ids and decodes to ''. A column of docs with the name of ``out`` is an error, so none is lost.
+    Rows, repeated ones too, stay where they are: nothing is shuffled. An empty table gives an empty result.
     """
-    return docs.withColumn("ids", encode(F.col(text_col), tokenizer)).withColumn("decoded", decode(F.col("ids"), tokenizer))
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {out} already; choose another name for the ids")
+    return docs.withColumn(out, both_ways(F.col(text_col), tokenizer))

@@ -16,25 +16,38 @@ _local_dir: dict[str, str] = {}
 
 
 class Recent:
-    """A worker's memory of computed values in bounded space: when full, what wasn't used since it last was full is forgotten."""
+    """A worker's memory of computed values (str -> bytes) in bounded space: when full, what wasn't used since it last was full is forgotten.
+
+    ``limit`` is in bytes of keys, values and what Python keeps around them; two generations of that size are held at most, beside
+    what the batch at hand needs.
+    """
+
+    AROUND = 200
 
     def __init__(self, limit: int):
-        self.limit, self.now, self.old = limit, {}, {}
+        self.limit, self.held, self.now, self.old = limit, 0, {}, {}
 
-    def missing(self, keys: set) -> list:
-        """Those of the keys that must be computed and put; the others ``now`` has."""
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that must be computed and learned; the others ``now`` has."""
         new = keys.difference(self.now)
-        if len(self.now) + len(new) > self.limit:
-            self.now, self.old = {}, self.now
+        if not new:
+            return []
+        if self.held > self.limit:
+            self.now, self.old, self.held = {}, self.now, 0
             new = keys
-        out = []
+        out, again = [], {}
         for k in new:
             if (value := self.old.get(k)) is None:
                 out.append(k)
             else:
-                self.now[k] = value
+                again[k] = value
+        self.learn(again)
         return out
 
+    def learn(self, values: dict[str, bytes]) -> None:
+        self.now.update(values)
+        self.held += self.AROUND * len(values) + sum(map(len, values)) + sum(map(len, values.values()))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, which only a local master may use."""
@@ -73,14 +86,6 @@ def bucket_of(*cols: Column | str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality of the keys in which null equals null."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same keys that stand before this one by (bucket, order).
 

@@ -24,8 +24,9 @@ def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "bpe.*")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op6_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return langid.identify(docs.select("doc_id", "text"), langid.learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", "text"), langid.learn(docs)).select("doc_id", held_out().alias("held_out"), "langid.*")
 
 
 def op8_pruned_graph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

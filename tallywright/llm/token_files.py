@@ -34,8 +34,8 @@ LEVEL = 3
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
-#: Chunks and pieces of text that a worker remembers the ids of, each kind.
-REMEMBERED = 600_000
+#: Bytes of chunks and pieces of text that a worker remembers the ids of, each kind.
+REMEMBERED = 64 << 20
 
 
 def _checksum(data: bytes) -> int:
@@ -156,7 +156,8 @@ class Encoder:
             cuts = np.flatnonzero(self.ends[ids]) + 1
             data, cuts = ids.tobytes(), cuts.tolist()
             whole = len(cuts) == len(some) and cuts[-1] == len(ids)
-            self.pieces.now.update(zip(some, (data[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)) if whole else map(self._ask, some), strict=True))
+            ids_of = [data[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)] if whole else map(self._ask, some)
+            self.pieces.learn(dict(zip(some, ids_of, strict=True)))
 
     def _learn(self, new: list[str]) -> None:
         plain = {}
@@ -166,9 +167,9 @@ class Encoder:
             elif (c.isascii() and c.isprintable() or self.PLAIN.fullmatch(c)) and not self.special.search(c):
                 plain[c] = self.PIECE.findall(c.lower())
         self._learn_pieces(self.pieces.missing(set().union(*plain.values())))
-        self.chunks.now.update({c: b"".join(map(self.pieces.now.__getitem__, ps)) for c, ps in plain.items()})
+        self.chunks.learn({c: b"".join(map(self.pieces.now.__getitem__, ps)) for c, ps in plain.items()})
         if len(plain) < len(new):
-            self.chunks.now.update({c: self._ask(c) for c in new if c not in plain})
+            self.chunks.learn({c: self._ask(c) for c in new if c not in plain})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []

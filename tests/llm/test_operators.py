@@ -1,18 +1,21 @@
 """The ten operators against brute force, on a small table of every odd case and on the small documents table."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from tallywright.llm import attention_quality, bpe, curriculum, exact_dedup, langid, licenses, queries, sharding, simhash, token_files, vector_graph
-from tallywright.llm.common import components, running
+from tallywright.llm.common import components, held_out, running
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, name long, ids string, _key string, level int"
 
@@ -142,7 +145,7 @@ def test_bpe(spark, odd, table, sf_dir):
     t.no_truncation()
     t.no_padding()
     for docs, rows in ((odd, pairs_of(odd)), (spark.read.parquet(f"{sf_dir}/documents.parquet"), table)):
-        out = bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+        out = bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "bpe.*").collect()
         want = Counter()
         for doc_id, text in rows:
             ids = t.encode(text or "", add_special_tokens=False).ids
@@ -213,20 +216,77 @@ def test_attention_gradient():
 def test_language(spark, odd, empty, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.learn(docs)
-    out = {r.doc_id: r for r in langid.identify(odd.where("doc_id is not null and doc_id <> 7 and doc_id <> 3"), model).collect()}
+    out = {r.doc_id: r for r in langid.identify(odd.where("doc_id is not null and doc_id <> 7 and doc_id <> 3"), model).select("doc_id", "langid.*").collect()}
     assert {out[i].lang_pred for i in (0, 1, 2)} == {"und"} and out[0].score == 0
     assert all(r.lang_pred in (*model.languages, "und") and 0 <= r.score <= 1 for r in out.values())
     assert langid.identify(empty, model).count() == 0 and langid.learn(empty).languages == []
-    assert {r.lang_pred for r in langid.identify(odd, langid.learn(empty)).collect()} == {"und"}
+    assert {r.langid.lang_pred for r in langid.identify(odd, langid.learn(empty)).collect()} == {"und"}
     assert langid.identified(odd).columns == odd.columns
-    right = langid.identify(docs.where("lang is not null"), model).join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id").select(F.avg((F.col("true") == F.col("lang_pred")).cast("int"))).first()[0]
-    assert right > 0.95
+    with pytest.raises(ValueError):
+        langid.identify(odd.withColumn("langid", F.lit(1)), model)
+
+
+def test_language_of_rows_kept_from_learning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identify(docs.where(held_out() & F.col("lang").isNotNull()), langid.learn(docs))
+    n, right = found.agg(F.count("*"), F.avg((F.col("lang") == F.col("langid.lang_pred")).cast("int"))).first()
+    assert n > 100 and right > 0.97
+
+
+def test_only_letters_make_words():
+    assert langid.words_of("½ ² Ⅷ ٣ 12_3 ___") == [] and langid.words_of("Äb1c_d²e") == ["äb", "c", "d", "e"]
+    model = langid._model(["a", "b"], grams([(0, "known", "a", 9), (0, "other", "b", 9)]))
+    assert [model.documents([t])[0] for t in ("½ ²", "Ⅷ", None, "")] == [("und", 0.0)] * 4
+
+
+def grams(rows):
+    return pa.table({k: [r[i] for r in rows] for i, k in enumerate(("kind", "gram", "lang", "n"))})
+
+
+def brute_language(model_rows, languages, text):
+    """Words first, then n-grams from the longest, over plain dictionaries."""
+    tables = [{} for _ in range(langid.LONGEST + 1)]
+    for kind, gram, lang, n in model_rows:
+        tables[kind].setdefault(gram, dict.fromkeys(languages, 0))[lang] += n
+    totals = [{lang: sum(v[lang] for v in t.values()) for lang in languages} for t in tables]
+
+    def log(kind, gram):
+        raw = {lang: math.log((1 - langid.SPREAD) * n / max(1, totals[kind][lang]) + langid.SPREAD / len(tables[kind])) for lang, n in tables[kind][gram].items()}
+        return {lang: x - sum(raw.values()) / len(raw) for lang, x in raw.items()}
+
+    total, words = dict.fromkeys(languages, 0.0), regex.findall(r"\p{L}+", (text or "").lower())
+    for w in words:
+        padded, known = f" {w} ", [log(0, w)] if w in tables[0] else []
+        for n in range(langid.LONGEST, 0, -1):
+            if not known:
+                known = [log(n, padded[i : i + n]) for i in range(len(padded) - n + 1) if padded[i : i + n] in tables[n]]
+        for lang in languages:
+            total[lang] += sum(k[lang] for k in known) / max(1, len(known))
+    if not words:
+        return "und", 0.0
+    odds = {lang: math.exp(x - max(total.values())) for lang, x in total.items()}
+    best = max(odds, key=odds.get)
+    return best, odds[best] / sum(odds.values())
+
+
+def test_language_like_plain_dictionaries(spark, table):
+    counts = Counter()
+    for i, (_, text) in enumerate(table[:60]):
+        for w in regex.findall(r"\p{L}+", (text or "").lower()):
+            padded = f" {w} "
+            counts.update([(0, w, "abc"[i % 3]), *((n, padded[k : k + n], "abc"[i % 3]) for n in range(1, 6) for k in range(len(padded) - n + 1))])
+    rows = [(*k, n) for k, n in sorted(counts.items())]
+    model = langid._model(["a", "b", "c"], grams(rows))
+    texts = [t for _, t in table[60:110]] + ["Σας ½ zq", "qzx!\u00e9", "x" * 9000, "İstanbul", None]
+    for text, (lang, score) in zip(texts, model.documents(texts), strict=True):
+        want = brute_language(rows, "abc", text)
+        assert abs(score - want[1]) < 1e-3 and (lang == want[0] or abs(score - 1 / 3) < 1e-3 or abs(score - 0.5) < 1e-3)
 
 
 def test_language_backs_off_to_shorter_grams():
-    model = langid._model(["a", "b"], [type("R", (), dict(kind=k, gram=g, lang=lang, n=n)) for k, g, lang, n in [(0, "known", "a", 9), (3, "xyz", "b", 9), (1, "q", "a", 9), (0, "other", "b", 9), (3, "uvw", "a", 9), (1, "z", "b", 9)]])
-    assert model.document("known")[0] == "a" and model.document("wxyzw")[0] == "b" and model.document("qqq")[0] == "a"
-    assert model.document("123 !")[0] == "und"
+    rows = [(0, "known", "a", 9), (3, "xyz", "b", 9), (1, "q", "a", 9), (0, "other", "b", 9), (3, "uvw", "a", 9), (1, "z", "b", 9)]
+    model = langid._model(["a", "b"], grams(rows))
+    assert [model.documents([t])[0][0] for t in ("known", "wxyzw", "q")] == ["a", "b", "a"]
 
 
 # 5: exact copies
