@@ -35,7 +35,10 @@ LEVEL = 3
 SKIPPABLE, SEEKABLE, HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 #: Bytes of chunks and pieces of text that a worker remembers the ids of, each kind.
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
+
+#: Signs that stand behind a word and are one piece together.
+SIGNS = ".,;:!?)\""
 
 
 def _checksum(data: bytes) -> int:
@@ -164,6 +167,8 @@ class Encoder:
         for c in new:
             if c.isascii() and c.isalpha():
                 plain[c] = (c.lower(),)
+            elif (body := c.rstrip(SIGNS)).isalpha() and body.isascii():
+                plain[c] = (body.lower(), c[len(body) :])
             elif (c.isascii() and c.isprintable() or self.PLAIN.fullmatch(c)) and not self.special.search(c):
                 plain[c] = self.PIECE.findall(c.lower())
         self._learn_pieces(self.pieces.missing(set().union(*plain.values())))
