@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import components, settle
+from tallywright.llm.common import components, reclaim, settle
 
 BITS, WORDS, LINK_BITS, SEED = 64, 4, 4, 42
 
@@ -162,10 +162,10 @@ def _masks(bits: list[int], t: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def near_pairs(prints: DataFrame, limit: int = LINK_BITS, sample: int = SAMPLE) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct values of prints (fp) that differ in 1 to ``limit`` bits: all of them, each once.
+def _probed(prints: DataFrame, limit: int, sample: int) -> tuple[DataFrame, DataFrame, Column]:
+    """(index, probe, close): rows of fp, part and value as they are stored and as they are looked for; and when a and b are within the limit.
 
-    A pair can be near in several groups of bits; it counts where the first of them finds it.
+    Any two fingerprints within the limit meet: one of them is looked for where the other is stored.
     """
     n = prints.count()
     some = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp")).limit(sample).collect()], dtype=np.int64).view(np.uint64)
@@ -173,13 +173,38 @@ def near_pairs(prints: DataFrame, limit: int = LINK_BITS, sample: int = SAMPLE)
     values = [lambda fp, i=i, mask=_all(g): F.struct(F.lit(i).alias("part"), fp.bitwiseAND(F.lit(mask)).alias("value")) for i, (g, _) in enumerate(groups)]
     own = [value(F.col("fp")) for value in values]
     flips = [F.transform(F.array(*[F.lit(m) for m in _masks(g, t)]), lambda m: value(F.col("fp").bitwiseXOR(m))) for value, (g, t) in zip(values, groups, strict=True)]  # noqa: B023
-    index = prints.select(F.col("fp").alias("b"), F.explode(F.array(*own)).alias("key")).select("b", "key.*")
-    probe = prints.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*flips))).alias("key")).select("a", "key.*")
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    close = F.bit_count(apart) <= limit
-    for i, (g, t) in enumerate(groups[:-1]):
-        close = close & ((F.col("part") <= i) | (F.bit_count(apart.bitwiseAND(F.lit(_all(g)))) > t))
-    return probe.join(index, ["part", "value"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
+    index = prints.select("fp", F.explode(F.array(*own)).alias("key")).select("fp", "key.*")
+    probe = prints.select("fp", F.explode(F.flatten(F.array(*flips))).alias("key")).select("fp", "key.*")
+    return index, probe, F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit
+
+
+def star_links(prints: DataFrame, limit: int = LINK_BITS, sample: int = SAMPLE) -> DataFrame:
+    """(a, b), a < b: of the values of prints (fp) each that is within the limit of the smallest one of a bucket, with the smallest such.
+
+    A row a value at most, however many are close to each other. It joins most of what is close, not all.
+    """
+    index, probe, close = _probed(prints, limit, sample)
+    low = settle(index.groupBy("part", "value").agg(F.min("fp").alias("a")), "simhash-lowest")
+    return probe.withColumnRenamed("fp", "b").join(low, ["part", "value"]).where((F.col("a") < F.col("b")) & close).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def near_links(prints: DataFrame, limit: int = LINK_BITS, sample: int = SAMPLE) -> DataFrame:
+    """(node, component) of the distinct values of prints (fp) that have another within the limit, whatever links they lead over.
+
+    First the stars of buckets are joined. Then all pairs are looked at that lie in different components: buckets of one component
+    alone are left out before the join, so a dense group puts out no pairs.
+    """
+    stars = settle(star_links(prints, limit, sample), "simhash-stars")
+    classes = components(stars, "simhash-stars")
+    index, probe, close = _probed(prints, limit, sample)
+    known = settle(prints.join(classes, prints.fp == classes.node, "left").select("fp", F.coalesce("component", "fp").alias("class")), "simhash-known")
+    bounds = [t.join(known, "fp").groupBy("part", "value").agg(F.min("class").alias("low"), F.max("class").alias("high")) for t in (index, probe)]
+    both = bounds[0].join(bounds[1].withColumnsRenamed({"low": "low2", "high": "high2"}), ["part", "value"])
+    mixed = settle(both.where(F.least("low", "low2") < F.greatest("high", "high2")).select("part", "value"), "simhash-mixed")
+    sides = [settle(t.join(mixed, ["part", "value"], "left_semi").join(known, "fp"), "simhash-open") for t in (probe, index)]
+    a, b = sides[0].withColumnsRenamed({"fp": "a", "class": "ca"}), sides[1].withColumnsRenamed({"fp": "b", "class": "cb"})
+    rest = a.join(b, ["part", "value"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+    return components(stars.union(rest), "simhash")
 
 
 def _all(bits: list[int]) -> int:
@@ -187,41 +212,62 @@ def _all(bits: list[int]) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def similar_pairs(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of ``least`` or more.
+def sets_of(wanted: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, s): the sorted shingles of the wanted nodes (node), from one document of each; texts are shuffled once.
 
-    rows (doc_id, key, node) says which documents of docs (doc_id, text) have a node's set; only documents of pairs are looked at.
+    rows (doc_id, key, node) says which documents of docs (doc_id, text) have a node's set.
     """
-    pairs = settle(pairs, "simhash-pairs")
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = rows.join(linked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("of")).select("node", F.col("of.doc_id").alias("_id"), F.col("of.key").alias("_key"))
+    first = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("of")).select("node", F.col("of.doc_id").alias("_id"), F.col("of.key").alias("_key"))
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     texts = keyed.join(first, keyed.doc_id.eqNullSafe(first._id) & (keyed._hash == first._key)).dropDuplicates(["node"])
-    sets = settle(texts.select("node", shingle_sets(F.col("text"), words).alias("s")), "simhash-sets")
+    return texts.select("node", shingle_sets(F.col("text"), words).alias("s"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets (node, s) have a Jaccard similarity of ``least`` or more."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def prefix_pairs(nodes: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: of nodes (node, n, prefix) all pairs that can have a Jaccard similarity of ``least`` and aren't in one of
-    the classes (node, component) already; each once.
-
-    A pair shares a shingle of both prefixes. From the first that it shares on, at places i and j, it has 1 + min(n_a - 1 - i,
-    n_b - 1 - j) shingles in common at most. Shingles of one node, or of nodes of one class only, are left out before the join.
-    """
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """(token, node, at) of the shingles in the prefixes of nodes (node, prefix) that more than one node has."""
     entries = nodes.select("node", F.posexplode("prefix").alias("at", "token")).repartition("token")
     spread = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    shared = settle(entries.join(spread, "token", "left_semi"), "simhash-shared")
-    known = nodes.select("node", "n").join(classes, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class"))
-    placed = settle(shared.join(known, "node"), "simhash-placed")
-    spread = placed.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-    placed = settle(placed.join(spread, "token", "left_semi"), "simhash-spread")
+    return entries.join(spread, "token", "left_semi")
+
+
+def _enough(least: float) -> Column:
+    """Whether sets of na and nb shingles that first meet at places i and j of their prefixes can be similar: they have 1 + min(na - 1 - i, nb - 1 - j) in common at most."""
+    most = 1 + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j"))
+    return most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
+
+
+def _open(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """placed (token, node, at, n) with each node's class, without shingles that one class alone has."""
+    known = settle(placed.join(classes, "node", "left").select("token", "node", "at", "n", F.coalesce("component", "node").alias("class")), "simhash-placed")
+    spread = known.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
+    return settle(known.join(settle(spread, "simhash-spread"), "token", "left_semi"), "simhash-open")
+
+
+def star_pairs(placed: DataFrame, least: float) -> DataFrame:
+    """(a, b): for each node of placed (token, node, at, n, class) the partner of another class that it meets most often, if it can be similar.
+
+    Of each shingle only the nodes of its first and its last class are partners, so rows grow with the nodes, not with pairs.
+    """
+    end = F.struct("class", "node", "at", "n")
+    ends = settle(placed.groupBy("token").agg(F.min(end).alias("low"), F.max(end).alias("high")), "simhash-ends")
+    met = placed.join(ends, "token").withColumn("to", F.when(F.col("class") != F.col("low.class"), F.col("low")).otherwise(F.col("high")))
+    met = met.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("to.node").alias("b"), F.col("to.n").alias("nb"), F.col("to.at").alias("j"))
+    often = met.where(_enough(least)).groupBy("a", "b").agg(F.count("*").alias("k"))
+    return often.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+
+def prefix_pairs(placed: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: of nodes in placed (token, node, at, n, class) all pairs of different classes that can have a Jaccard similarity of ``least``; each once."""
     a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("class").alias("ca"))
     b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("class").alias("cb"))
-    most = 1 + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j"))
-    enough = most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
-    return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
+    return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _enough(least)).select("a", "b").distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = LINK_BITS, least: float | None = None) -> DataFrame:
@@ -236,7 +282,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if least is None:
         rows = settle(docs.select("doc_id", F.xxhash64("text").alias("key"), fingerprints(F.col("text"), words).alias("fp")).withColumn("node", F.col("fp")), "simhash-prints")
-        classes = components(near_pairs(settle(rows.select("fp").distinct(), "simhash-fps"), limit), "simhash")
+        classes = near_links(settle(rows.select("fp").distinct(), "simhash-fps"), limit)
     else:
         common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
         rows = settle(docs.select("doc_id", F.xxhash64("text").alias("key"), prefixes(F.col("text"), words, least, common).alias("_of")).select("doc_id", "key", "_of.*"), "simhash-prints")
@@ -247,20 +293,40 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(of, "node").select("doc_id", "key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Rounds in which each node is compared with one partner, before all pairs that are left.
+STAR_ROUNDS = 3
+
+
 def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, least: float) -> DataFrame:
     """(node, component) of the nodes of rows (doc_id, key, fp, node, n, prefix) that are linked with others.
 
-    Each fingerprint and the smallest one near it come first, one node of each; they join most near copies at little cost. The prefixes then give
-    every other pair that can be similar but is not in one class already.
+    Each fingerprint and the smallest one of its buckets come first, one node of each. Then, in a few rounds, each node and the
+    partner with which it shares most of its prefix. Both join most near copies by a link a node, so that few pairs are left in
+    different components when at last the prefixes give every other pair that can be similar.
     """
+    spark = rows.sparkSession
     firsts = settle(rows.groupBy("fp").agg(F.min("node").alias("node")), "simhash-firsts")
-    near = near_pairs(firsts.select("fp"), limit).groupBy("b").agg(F.min("a").alias("a"))  # one a node: the prefixes find the others
+    near = star_links(firsts.select("fp"), limit)
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    close = settle(similar_pairs(near, rows, docs, words, least), "simhash-close")
-    classes = components(close, "simhash-close")
-    nodes = rows.dropDuplicates(["node"]).select("node", "n", "prefix")
-    rest = similar_pairs(prefix_pairs(nodes, classes, least), rows, docs, words, least)
-    return components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "simhash")
+    near = settle(near, "simhash-near")
+    shared = settle(shared_prefixes(rows.dropDuplicates(["node"]).select("node", "prefix")), "simhash-shared")
+    reclaim(spark)
+    wanted = shared.select("node").union(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = settle(sets_of(wanted, rows, docs, words), "simhash-sets")
+    placed = settle(shared.join(sets.select("node", F.size("s").alias("n")), "node"), "simhash-placed")
+    reclaim(spark)
+    links = settle(similar(near, sets, least), "simhash-links")
+    classes = components(links, "simhash-close")
+    for _ in range(STAR_ROUNDS):
+        placed = _open(placed.select("token", "node", "at", "n"), classes)
+        more = settle(similar(settle(star_pairs(placed, least), "simhash-stars"), sets, least), "simhash-links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        classes = components(links, "simhash-close")
+    reclaim(spark)
+    rest = similar(settle(prefix_pairs(_open(placed.select("token", "node", "at", "n"), classes), least), "simhash-rest"), sets, least)
+    return components(links.union(rest), "simhash")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, limit: int = NEAR_BITS, least: float = NEAR_JACCARD) -> DataFrame:

@@ -351,16 +351,19 @@ def test_simhash(spark, odd, table, sf_dir):
 
 
 @pytest.mark.parametrize("limit", [0, 1, 3, 4, 6])
-def test_pigeonhole_finds_each_pair_once(spark, limit):
+def test_pigeonhole_joins_what_pairs_join(spark, limit):
     r = random.Random(limit)
     values = set()
     for _ in range(60):
         base = r.getrandbits(64)
         values |= {base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for _ in range(8)}
     values = [v - (1 << 64) if v >> 63 else v for v in values]
-    found = simhash.near_pairs(spark.createDataFrame([(v,) for v in values], "fp long"), limit).collect()
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    found = {r.node: r.component for r in simhash.near_links(prints, limit).collect()}
     want = {(min(a, b), max(a, b)) for a in values for b in values if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= limit}
-    assert Counter((p.a, p.b) for p in found) == Counter(want)
+    assert {v: found.get(v, v) for v in values} == smallest(values, want)
+    stars = {(r.a, r.b) for r in simhash.star_links(prints, limit).collect()}
+    assert stars <= want and len(stars) == len({b for _, b in stars}) and bool(stars) == bool(want)
 
 
 def test_near_copies_go(odd, empty):

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_operators import DOCS, brute_fingerprint, odd_rows, smallest
+from tests.llm.test_operators import DOCS, odd_rows, smallest
 
 
 def shingles(text):
@@ -24,12 +24,6 @@ def test_each_stage(spark, sf_dir):
     last = {r.text or "": d for d, r in sorted(rows.items())}
     assert set(exact) == set(last.values())
 
-    near = {r.doc_id for r in stages["near_dedup"](spark, docs, sf_dir).collect()}
-    ids = sorted(rows)
-    fp, sets = {d: brute_fingerprint(rows[d].text, 5) for d in ids}, {d: shingles(rows[d].text) for d in ids}
-    linked = [(a, b) for a in ids for b in ids if a < b and (fp[a] == fp[b] or (fp[a] ^ fp[b]).bit_count() <= 6 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
-    assert near == set(smallest(ids, linked).values())
-
     mixed = stages["mixing"](spark, docs, sf_dir)
     assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
 
@@ -49,6 +43,9 @@ def test_run(spark, sf_dir):
 def test_odd_rows_and_none(spark):
     for rows in (odd_rows(), []):
         docs = spark.createDataFrame(rows, DOCS)
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, "")
-        assert docs.count() >= 0
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, "")
+            assert name == "bpe" or docs.columns == before.columns
+            if name != "mixing":
+                assert docs.count() <= before.count()
+        assert docs.where("not exact").count() == 0 and (docs.count() > 0) == bool(rows)
