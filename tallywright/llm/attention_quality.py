@@ -11,7 +11,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import held_out
@@ -22,8 +22,9 @@ PAIR_BUCKETS = 256
 SMOOTH = 64
 HIDDEN, ATTENTION = 24, 12
 
-#: Learning looks at so many documents of each label at most (a hash picks them), those of at most so many bytes each.
-SAMPLE_DOCS, SAMPLE_BYTES = 1200, 16_384
+#: Learning looks at so many documents of each label at most, and at so many passages of each (hashes pick both); it leaves out no
+#: document for its length. Scoring looks at all passages of all documents.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 1200, 32
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 64, 0.004, 1e-4, 7
 
 #: Bytes of text that are encoded at a time, but for a longer document's own.
@@ -131,11 +132,21 @@ def _gradient(x: np.ndarray, n: np.ndarray, labels: np.ndarray, importance: np.n
     return {"w": x.T @ d_in, "b": d_in.sum(axis=0), "u": h.T @ d_gate, "v": h.T @ d_tone, "a": (gate * tone).T @ d_logit, "c": pooled.T @ e, "d": e.sum(keepdims=True)}
 
 
+def drawn_passages(text: Column, doc_id: Column, most: int = SAMPLE_PASSAGES) -> Column:
+    """binary: a text's passages one after the other, all or the ``most`` that a hash picks, in their order."""
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    n = F.ceil(F.octet_length(raw) / PASSAGE_BYTES).cast("int")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    drawn = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(doc_id, i).alias("at"), i.alias("i")))), 1, most)
+    chosen = F.array_sort(F.transform(F.when(n > most, drawn).otherwise(F.transform(places, lambda i: F.struct(F.lit(0).cast("long").alias("at"), i.alias("i")))), lambda x: x["i"]))
+    return F.aggregate(chosen, F.lit(b""), lambda out, i: F.concat(out, F.substring(raw, i * PASSAGE_BYTES + 1, F.lit(PASSAGE_BYTES))))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Fits on docs (doc_id, text) joined to labels (doc_id, label_col 0 or 1) that aren't held out; null ids and labels teach nothing.
 
-    A label's documents weigh as its share of all of them; of rows with one id the smallest text counts. With one label only, or
-    none, there is no model (None).
+    A label's documents weigh as its share of all of them; of rows with one id the smallest bag counts; null texts count as empty.
+    With one label only, or none, there is no model (None).
     """
     known = labels.where(~held_out()).where(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("label")).distinct()
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -143,17 +154,22 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
         return None
     drawn = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for k in (0, 1)]
     some = F.broadcast(drawn[0].union(drawn[1]))  # sample_docs rows a label at most, so no text is shuffled but theirs
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(some, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id", "label").collect()
+    bags = docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "label", drawn_passages(F.col("text"), F.col("doc_id")).alias("bag"))
+    rows = bags.groupBy("doc_id", "label").agg(F.min("bag").alias("bag")).orderBy("doc_id", "label").collect()
     y = np.array([r.label for r in rows])
     if len(set(y.tolist())) < 2:
         return None
     share = {k: sizes[k] / sum(sizes.values()) / max(1, int((y == k).sum())) * len(y) for k in sizes}
-    return fit([r.text.encode() for r in rows], y, np.array([share[int(k)] for k in y]))
+    return fit([bytes(r.bag) for r in rows], y, np.array([share[int(k)] for k in y]))
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher: likelier of label 1). Null texts score as empty ones; without a model all score 0.5."""
+    """docs with score (0 to 1, higher: likelier of label 1) of the whole text. Null texts score as empty ones; without a model all score 0.5.
+
+    Rows, repeated ones too, stay where they are; an empty table gives an empty result. A column named score is an error, so none is lost.
+    """
+    if "score" in (c.lower() for c in docs.columns):
+        raise ValueError("docs has a column score already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,15 +79,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def reclaim(spark: SparkSession) -> None:
     """Lets Spark delete the files of shuffles that nothing refers to any more; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass frees may hold on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that this application has settled; call it once the results have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallywright/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, *keep: str) -> None:
+    """Deletes the tables that this application has settled, but for those whose name begins with one of ``keep``.
+
+    Call it once what was made of them has been written.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    top = hadoop(f"{shared_dir(spark)}/tallywright/{spark.sparkContext.applicationId}")
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(top):
+        for status in system.listStatus(top):
+            if not status.getPath().getName().startswith(keep or ("\0",)):
+                system.delete(status.getPath(), True)
 
 
 def bucket_of(*cols: Column | str, buckets: int = BUCKETS) -> Column:

@@ -68,7 +68,7 @@ def position(weight: Column, share: Column, schedules: dict[int, list[tuple[floa
 
 
 def plan(docs: DataFrame, weight: Column | None = None, schedules: dict[int, list[tuple[float, float]]] = SCHEDULES, passes: int = MOST_PASSES) -> DataFrame:
-    """One row per document of docs (doc_id, text, source): size, source_size, target, taken, copies, positions; key names the row.
+    """One row per document of docs (doc_id, text, source): size, source_size, weight, target, taken, copies, positions; key names the row.
 
     A document is taken once for each pass over its source in which the middle of its words comes before the target: whole
     documents only, so a source's words miss its target by half a document at most. positions holds the training time of each
@@ -85,7 +85,7 @@ def plan(docs: DataFrame, weight: Column | None = None, schedules: dict[int, lis
     middle = [F.col("before") + F.col("size") / 2 + F.lit(p) * F.col("source_size") for p in range(passes)]
     share = [F.when(m < F.col("target"), position(F.col("weight"), m / F.col("target"), schedules)) for m in middle]
     placed = placed.withColumn("positions", F.array_compact(F.array(*share))).withColumn("copies", F.size("positions"))
-    return placed.select("doc_id", "key", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions")
+    return placed.select("doc_id", "key", "size", "source_size", "weight", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions")
 
 
 def in_order(df: DataFrame, at: Column, tie: str = "doc_id") -> DataFrame:
@@ -95,7 +95,10 @@ def in_order(df: DataFrame, at: Column, tie: str = "doc_id") -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, in training order, with all their columns."""
+    """The rows of docs, each as often as the mix takes it, range-sorted by training position, with all their columns.
+
+    A table that is written from this has the order in its files; who needs it in rows takes the positions from plan().
+    """
     copies = plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "positions")
     copies = copies.groupBy("_id", "_key").agg(F.flatten(F.collect_list("positions")).alias("positions"))
     keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_hash"))

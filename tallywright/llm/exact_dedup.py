@@ -1,8 +1,9 @@
 """Exact duplicates by deterministic block naming.
 
-Each text is cut into fixed-size blocks of bytes. The distinct blocks are sorted and their rank becomes the block's integer name;
-then adjacent pairs of names are named the same way, level by level, until every document has one name. Two documents have the
-same (level, name) if and only if their texts are identical: contents decide, a hash only deals rows out.
+Each text is cut into fixed-size blocks of bytes. The distinct blocks are dealt into buckets by a hash and sorted there; bucket and
+rank become the block's integer name. Then adjacent pairs of names are named the same way, level by level, until every document has
+one name. Two documents have the same (level, name) if and only if their texts are identical. A row is known by its id and the SHA-256
+of its text, so that rows of one id with different texts stay apart.
 """
 
 from __future__ import annotations
@@ -20,9 +21,13 @@ def _hash(col: str) -> Column:
     return F.xxhash64(col)
 
 
-def _named(distinct: DataFrame, cols: list[str]) -> DataFrame:
-    """Adds ``name``: rank in sorted order inside a hash bucket, interleaved with the bucket; a function of the distinct rows alone."""
-    dealt = distinct.withColumn("_bucket", bucket_of(*cols))
+def _named(distinct: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
+    """Adds ``name``: the row's rank in sorted order of the columns inside a bucket, interleaved with the bucket.
+
+    It is a function of the distinct rows alone. A bucket is a hash's value (of ``by``, or of the columns): it deals rows out evenly,
+    and the sort inside it decides.
+    """
+    dealt = distinct.withColumn("_bucket", bucket_of(*([by] if by else cols)))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*cols)).cast("long")
     return dealt.withColumn("name", rank * BUCKETS + F.col("_bucket")).drop("_bucket")
 
@@ -34,21 +39,21 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _block_names(blocks: DataFrame) -> DataFrame:
-    """(doc, n, pos, name) of the first level. A name costs one shuffle of distinct contents; afterwards only hashes travel.
+    """(doc, n, pos, name) of the first level: the distinct blocks are sorted, and their ranks are the names.
 
-    Contents that share a hash are told apart by their rank among that hash's sorted contents; where none do, which one pass
-    over the distinct contents establishes, the hash alone is joined on.
+    Contents are shuffled for that alone. Blocks get their names by a hash of their content where no other content has that hash;
+    where one does, which the sorted blocks show, by the content itself.
     """
-    kinds = settle(blocks.select("h", "block").distinct().groupBy("h").agg(F.count("*").alias("kinds")), "exact-kinds")
-    shared = kinds.where("kinds > 1")
-    if shared.isEmpty():
-        names = _named(kinds.select("h"), ["h"])
-        return blocks.drop("block").join(names, "h").select("doc", "n", "pos", "name")
-    contents = blocks.join(shared, "h", "left_semi").select("h", "block").distinct()
-    ranked = contents.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("block")))
-    placed = blocks.join(ranked, ["h", "block"], "left").select("doc", "n", "pos", "h", F.coalesce("rank", F.lit(0)).alias("rank"))
-    names = _named(kinds.where("kinds = 1").select("h", F.lit(0).alias("rank")).union(ranked.select("h", "rank")), ["h", "rank"])
-    return placed.join(names, ["h", "rank"]).select("doc", "n", "pos", "name")
+    again = F.count("*").over(Window.partitionBy("_part", "h")) > 1
+    named = _named(blocks.select("h", "block").distinct(), ["block"], "h").withColumn("_part", bucket_of("h")).withColumn("again", again)
+    names = settle(named.select("h", "name", "again", F.when(F.col("again"), F.col("block")).alias("block")), "exact-names")
+    plain = names.where("not again").select("h", "name")
+    twins = names.where("again")
+    if twins.isEmpty():
+        return blocks.drop("block").join(plain, "h").select("doc", "n", "pos", "name")
+    twins = settle(twins.select("h", "block", "name"), "exact-twins")
+    alone = blocks.join(twins.select("h").distinct(), "h", "left_anti").drop("block").join(plain, "h").select("doc", "n", "pos", "name")
+    return alone.union(blocks.join(twins, ["h", "block"]).select("doc", "n", "pos", "name"))
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -60,7 +65,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         half = F.shiftright("pos", 1)
         pairs = rest.groupBy("doc", half.alias("pos"), F.shiftright(F.col("n") + 1, 1).alias("n")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r"))
         pairs = settle(pairs, "exact-pairs")
-        names = _named(pairs.select("l", "r").distinct(), ["l", "r"])
+        names = settle(_named(pairs.select("l", "r").distinct(), ["l", "r"]), "exact-names")
         level = settle(pairs.join(names, ["l", "r"]).select("doc", "n", "pos", "name"), "exact-level")
         done = done.union(level.where("n = 1").select("doc", F.lit(depth).alias("level"), "name"))
     return done.distinct()
@@ -77,7 +82,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rows.select(F.struct("doc_id", "text_sha256").alias("doc"), "text")
     copies = rows.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies")).select(F.struct("doc_id", "text_sha256").alias("doc"), "copies")
     named = settle(identities(keyed, block_bytes).join(copies, "doc"), "exact-named")
-    groups = named.groupBy("level", "name").agg(F.max("doc.doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written first, so that adaptive execution can split the join where a group is large
+    groups = settle(named.groupBy("level", "name").agg(F.max("doc.doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "exact-groups")
     out = named.join(groups, ["level", "name"]).select("doc.doc_id", "keep_id", "group_size", "doc.text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 

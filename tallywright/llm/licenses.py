@@ -2,8 +2,8 @@
 
 A text is lower-cased and reduced to its words. Each rule is a regular expression over them with a keyword, a label and a
 priority; only rules whose keyword the text contains are run. Of overlapping detections, one that lies within another of higher
-priority (or equal priority and greater length) is suppressed. The rules are made from families of licenses, their versions and
-the ways to cite them, the most specific first.
+priority (or equal priority and greater length) is suppressed. Signatures of license texts, headers, grants and notices are written
+out one by one in license_rules; names with versions, and identifiers, are made from a table of families and their versions.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallywright.llm.license_rules import SIGNATURES
+
 # The phrases that are always reported, each wherever its words follow each other.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -41,7 +43,7 @@ FAMILIES = [
     ("bsl", "boost", "boost software licen[cs]e", "1"),
     ("ofl", "open font", "(?:sil )?open font licen[cs]e", "1 1.1"),
     ("psf", "python", "python(?: software foundation)? licen[cs]e", "2"),
-    ("php", "php license", "php licen[cs]e", "3 3.01"),
+    ("php", "php licen", "php licen[cs]e", "3 3.01"),
     ("zpl", "zope", "zope public licen[cs]e", "1.1 2 2.1"),
     ("ms-pl", "microsoft public", "microsoft public licen[cs]e", ""),
     ("ms-rl", "microsoft reciprocal", "microsoft reciprocal licen[cs]e", ""),
@@ -51,14 +53,14 @@ FAMILIES = [
     ("mulan", "mulan", "mulan (?:permissive software|psl)(?: licen[cs]e)?", "1 2"),
     ("upl", "universal permissive", "universal permissive licen[cs]e", "1"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[cs]e", ""),
-    ("isc", "isc license", "isc licen[cs]e", ""),
+    ("isc", "isc licen", "isc licen[cs]e", ""),
     ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e", ""),
     ("unlicense", "unlicense", "(?:the )?unlicense", ""),
     ("wtfpl", "do what the", "do what the fuck you want to public licen[cs]e", "1 2"),
     ("cc0", "cc0", "cc0(?: universal)?", "1"),
-    ("mit", "mit license", "mit licen[cs]e", ""),
+    ("mit", "mit licen", "mit licen[cs]e", ""),
     ("mit", "expat", "expat licen[cs]e", ""),
-    ("bsd", "bsd license", "(?:modified |simplified |revised |new )?bsd licen[cs]e", ""),
+    ("bsd", "bsd licen", "(?:modified |simplified |revised |new )?bsd licen[cs]e", ""),
 ]
 # The parts of Creative Commons licenses, in short and in words, and their versions.
 COMMONS = {
@@ -93,7 +95,7 @@ def _number(version: str) -> str:
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules, by priority and then length of pattern: a few hundred."""
-    out = []
+    out = [_rule(keyword, f"(?:{pattern})", label, priority) for label, priority, keyword, pattern in SIGNATURES]
     for label, keyword, name, versions in FAMILIES:
         out.append(_rule(keyword, name, label, NAME))
         for v in versions.split():
@@ -169,7 +171,11 @@ DETECTIONS = "n_words long, detections array<struct<label: string, first: long,
 
 
 def scan(text: Column) -> Column:
-    """struct of n_words and detections (label, first word, word after the last, priority, base). A null text has no words."""
+    """struct of n_words and detections (label, first word, word after the last, priority, base), of the whole text.
+
+    A null or empty text has no words and no detections. Each row is scanned by itself, so repeated rows get the same result and an
+    empty table gives an empty one.
+    """
 
     @F.pandas_udf(DETECTIONS)
     def of(texts: pd.Series) -> pd.DataFrame:

@@ -55,7 +55,8 @@ def op8_pruned_graph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = curriculum.plan(documents(spark, sf_dir))
-    return curriculum.in_order(plan, F.get("positions", F.lit(0))).select("doc_id", "size", "source_size", "target", "taken")
+    first = F.get("positions", F.lit(0))
+    return curriculum.in_order(plan, first).select("doc_id", "size", "source_size", "target", "taken", F.round(first, 6).alias("position"))
 
 
 def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +101,17 @@ ORACLE: dict[str, str] = {
         l as (select *, (total - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
                         / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from t),
         f as (select *, max(case when cap >= level * weight then level end) over () as free from l),
-        g as (select source, source_size, coalesce(least(cast(cap as double), free * weight), cap) as target from f),
-        p as (select d.doc_id, d.size, g.source_size, g.target,
+        g as (select source, source_size, weight, coalesce(least(cast(cap as double), free * weight), cap) as target from f),
+        p as (select d.doc_id, d.size, g.source_size, g.weight, g.target,
                      coalesce(sum(d.size) over (partition by d.source order by code, d.doc_id rows between unbounded preceding and 1 preceding), 0) as before
               from d join g on d.source is not distinct from g.source)
         select doc_id, size, source_size, target,
                cast(size * ((before + size / 2 < target)::int + (before + size / 2 + source_size < target)::int
-                            + (before + size / 2 + 2 * source_size < target)::int) as bigint) as taken from p""",
+                            + (before + size / 2 + 2 * source_size < target)::int) as bigint) as taken,
+               case when before + size / 2 < target then round(case weight
+                 when 1 then 2 * ((before + size / 2) / target) / (1.5 + sqrt(2.25 - 2 * ((before + size / 2) / target)))
+                 when 2 then (before + size / 2) / target
+                 else case when (before + size / 2) / target < 0.4375 / 1.0625
+                   then 2 * 1.0625 * ((before + size / 2) / target) / (0.5 + sqrt(0.25 + 3 * 1.0625 * ((before + size / 2) / target)))
+                   else 0.5 + (((before + size / 2) / target) * 1.0625 - 0.4375) / 1.25 end end, 6) end as position from p""",
 }

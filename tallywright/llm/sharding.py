@@ -86,7 +86,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).select("doc_id", (F.octet_length("raw") + 1).cast("long").alias("size"), F.crc32("raw").alias("text_crc32"), F.unhex(F.sha2("raw", 256)).alias("grp"))
     rows = settle(rows.withColumn("_part", bucket_of("doc_id", "grp")), "shard-rows")
     order, one = [F.col("doc_id"), F.col("grp")], F.lit(1)
-    groups = rows.groupBy("grp").agg(F.count("*").alias("of"))
+    groups = settle(rows.groupBy("grp").agg(F.count("*").alias("of")), "shard-groups")  # written first, so that the join with a large group can be split
     known = settle(rows.join(groups, "grp"), "shard-known")
     n = known.count()
     caps = [n // shards + (j < n % shards) for j in range(shards)]
@@ -102,7 +102,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
             break
 
     upto = F.sum("n").over(Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    spans = cells.withColumn("upto", upto).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("spans"))  # a span a shard at most
+    spans = settle(cells.withColumn("upto", upto).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("spans")), "shard-spans")  # a span a shard at most
     ranked = running(linked, ["grp"], "_part", order, one, "rank").join(spans, "grp")
     linked = ranked.withColumn("shard", F.get(F.filter("spans", lambda s: s.upto > F.col("rank")), F.lit(0))["shard"]).drop("rank", "spans")
 
@@ -116,8 +116,8 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     return running(placed, ["shard"], "_part", order, one, "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def cut_share(placed: DataFrame) -> DataFrame:
-    """Of the links between documents of equal text (the pairs, counted without making them), the share that lies across shards."""
-    cells = placed.groupBy("text_crc32", "size", "shard").agg(F.count("*").alias("n"))
-    groups = cells.groupBy("text_crc32", "size").agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("links"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("kept"))
+def cut_share(placed: DataFrame, group: str = "text") -> DataFrame:
+    """Of the links between documents of equal text (the pairs, counted without making them), the share that lies across shards; of placed documents with their texts."""
+    cells = placed.groupBy(group, "shard").agg(F.count("*").alias("n"))
+    groups = cells.groupBy(group).agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("links"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("kept"))
     return groups.agg(F.coalesce(1 - F.sum("kept") / F.sum("links"), F.lit(0.0)).alias("cut_share"))

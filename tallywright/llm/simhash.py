@@ -30,7 +30,7 @@ NEAR_WORDS, NEAR_BITS, NEAR_JACCARD = 5, 6, 0.8
 SAMPLE = 2048
 
 #: Documents in which common shingles are counted, and how many of those are told to all workers; results don't depend on them.
-SAMPLE_DOCS, SAMPLE_COMMON = 16_384, 1 << 16
+SAMPLE_DOCS, SAMPLE_COMMON = 4096, 1 << 16
 
 #: Costs in units of a probe's row: comparing a candidate.
 CANDIDATE_COST = 0.05
@@ -231,16 +231,29 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def shared_prefixes(nodes: DataFrame) -> DataFrame:
-    """(token, node, at) of the shingles in the prefixes of nodes (node, prefix) that more than one node has."""
-    entries = nodes.select("node", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    """(token, node, at, n) of the shingles in the prefixes of nodes (node, n, prefix) that more than one node has."""
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).repartition("token")
     spread = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    return entries.join(spread, "token", "left_semi")
+    return entries.join(spread, "token", "left_semi").distinct()
 
 
-def _enough(least: float) -> Column:
-    """Whether sets of na and nb shingles that first meet at places i and j of their prefixes can be similar: they have 1 + min(na - 1 - i, nb - 1 - j) in common at most."""
-    most = 1 + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j"))
-    return most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
+def _fit(least: float) -> Column:
+    """Whether sets of na and nb shingles can be similar by their sizes."""
+    return F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-6
+
+
+def _met(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, k) of rows (a, b, na, nb, i, j), one for each shingle that the prefixes of a and b share, at places i and j, without the pairs that can't be similar.
+
+    From the first of the k shared shingles on, sets have 1 + min(na - 1 - i, nb - 1 - j) in common at most. And of the two prefixes
+    one ends first in the common order; what it has in common with the other set is in the other's prefix, so all that both have in
+    common is k and, at most, what that set has behind its prefix.
+    """
+    each = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.min("i").alias("i"), F.min("j").alias("j"))
+    needed = F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
+    first = 1 + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j"))
+    behind = F.greatest(F.ceil(F.lit(least) * F.col("na") - 1e-6), F.ceil(F.lit(least) * F.col("nb") - 1e-6)) - 1
+    return each.where((first >= needed) & (F.col("k") + behind >= needed)).select("a", "b", "k")
 
 
 def _open(placed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -251,7 +264,7 @@ def _open(placed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def star_pairs(placed: DataFrame, least: float) -> DataFrame:
-    """(a, b): for each node of placed (token, node, at, n, class) the partner of another class that it meets most often, if it can be similar.
+    """(a, b): for each node of placed (token, node, at, n, class) the partner of another class that it meets most often, if that is often enough.
 
     Of each shingle only the nodes of its first and its last class are partners, so rows grow with the nodes, not with pairs.
     """
@@ -259,15 +272,15 @@ def star_pairs(placed: DataFrame, least: float) -> DataFrame:
     ends = settle(placed.groupBy("token").agg(F.min(end).alias("low"), F.max(end).alias("high")), "simhash-ends")
     met = placed.join(ends, "token").withColumn("to", F.when(F.col("class") != F.col("low.class"), F.col("low")).otherwise(F.col("high")))
     met = met.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("to.node").alias("b"), F.col("to.n").alias("nb"), F.col("to.at").alias("j"))
-    often = met.where(_enough(least)).groupBy("a", "b").agg(F.count("*").alias("k"))
-    return often.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return _met(met.where(_fit(least)), least).groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
 def prefix_pairs(placed: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: of nodes in placed (token, node, at, n, class) all pairs of different classes that can have a Jaccard similarity of ``least``; each once."""
     a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("class").alias("ca"))
     b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("class").alias("cb"))
-    return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _enough(least)).select("a", "b").distinct()
+    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fit(least))
+    return _met(met, least).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = LINK_BITS, least: float | None = None) -> DataFrame:
@@ -285,6 +298,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         classes = near_links(settle(rows.select("fp").distinct(), "simhash-fps"), limit)
     else:
         common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+        reclaim(docs.sparkSession)
         rows = settle(docs.select("doc_id", F.xxhash64("text").alias("key"), prefixes(F.col("text"), words, least, common).alias("_of")).select("doc_id", "key", "_of.*"), "simhash-prints")
         classes = similar_classes(rows, docs, words, limit, least)
     kinds = rows.groupBy("node").agg(F.min("doc_id").alias("low")).join(classes, "node", "left").select("node", "low", F.coalesce("component", "node").alias("class"))
@@ -293,40 +307,43 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(of, "node").select("doc_id", "key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Rounds in which each node is compared with one partner, before all pairs that are left.
-STAR_ROUNDS = 3
+def _once(rows: DataFrame) -> DataFrame:
+    """rows, of equal sets of shingles one where there are many; a few repeats cost less than shuffling all prefixes."""
+    n, nodes = rows.agg(F.count("*"), F.count_distinct("node")).first()
+    return rows.dropDuplicates(["node"]) if nodes < 0.9 * n else rows
 
 
 def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, least: float) -> DataFrame:
     """(node, component) of the nodes of rows (doc_id, key, fp, node, n, prefix) that are linked with others.
 
-    Each fingerprint and the smallest one of its buckets come first, one node of each. Then, in a few rounds, each node and the
-    partner with which it shares most of its prefix. Both join most near copies by a link a node, so that few pairs are left in
-    different components when at last the prefixes give every other pair that can be similar.
+    Each fingerprint is compared with the smallest one of its buckets, and each node with the partner of another group with which it
+    shares most of its prefix: a pair or two a node, which join most near copies however many there are of one text. Then the
+    prefixes give every pair of different components that can be similar. Texts of the nodes in pairs are read for each step.
     """
     spark = rows.sparkSession
     firsts = settle(rows.groupBy("fp").agg(F.min("node").alias("node")), "simhash-firsts")
     near = star_links(firsts.select("fp"), limit)
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     near = settle(near, "simhash-near")
-    shared = settle(shared_prefixes(rows.dropDuplicates(["node"]).select("node", "prefix")), "simhash-shared")
     reclaim(spark)
-    wanted = shared.select("node").union(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    sets = settle(sets_of(wanted, rows, docs, words), "simhash-sets")
-    placed = settle(shared.join(sets.select("node", F.size("s").alias("n")), "node"), "simhash-placed")
+    shared = settle(shared_prefixes(_once(rows).select("node", "n", "prefix")), "simhash-shared")
     reclaim(spark)
-    links = settle(similar(near, sets, least), "simhash-links")
-    classes = components(links, "simhash-close")
-    for _ in range(STAR_ROUNDS):
-        placed = _open(placed.select("token", "node", "at", "n"), classes)
-        more = settle(similar(settle(star_pairs(placed, least), "simhash-stars"), sets, least), "simhash-links")
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        classes = components(links, "simhash-close")
+    stars = settle(star_pairs(_open(shared, components(near, "simhash-first")), least), "simhash-stars")
+    pairs = settle(near.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    links = settle(_verified(pairs, rows, docs, words, least), "simhash-links")
     reclaim(spark)
-    rest = similar(settle(prefix_pairs(_open(placed.select("token", "node", "at", "n"), classes), least), "simhash-rest"), sets, least)
-    return components(links.union(rest), "simhash")
+    rest = settle(prefix_pairs(_open(shared, components(links, "simhash-close")), least), "simhash-rest")
+    if not rest.isEmpty():
+        links = links.union(settle(_verified(rest, rows, docs, words, least), "simhash-links"))
+        reclaim(spark)
+    return components(links, "simhash")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs that are similar; the texts of their nodes are shuffled once."""
+    sets = settle(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows, docs, words), "simhash-sets")
+    reclaim(pairs.sparkSession)
+    return similar(pairs, sets, least)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, limit: int = NEAR_BITS, least: float = NEAR_JACCARD) -> DataFrame:

@@ -8,11 +8,13 @@ the file, then the index, then only the frames with the documents that it wants,
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -31,6 +33,9 @@ from tallywright.llm.common import Recent, settle
 FRAME_BYTES = 1 << 20
 LEVEL = 3
 
+#: Bytes of text that a file holds the ids of (about), so that files, their indexes and tasks stay small however large the table is.
+FILE_BYTES = 256 << 20
+
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -56,13 +61,13 @@ class FrameWriter:
         self.parts: list[bytes] = []
         self.held = 0
         self.table: list[tuple[int, int, int]] = []
-        self.index: list[tuple[int, int, int, int]] = []
-        self.n_tokens = 0
+        self.index, self.n_docs, self.n_tokens = array("q"), 0, 0  # 32 bytes a document; files are of bounded size
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.held and self.held + len(ids) > self.frame_bytes:
             self._frame()
-        self.index.append((doc_id or 0, doc_id is not None, len(ids) // 4, len(self.table)))
+        self.index.extend((doc_id or 0, doc_id is not None, len(ids) // 4, len(self.table)))
+        self.n_docs += 1
         self.parts.append(ids)
         self.held += len(ids)
         self.n_tokens += len(ids) // 4
@@ -77,7 +82,7 @@ class FrameWriter:
     def close(self) -> None:
         if self.parts:
             self._frame()
-        self._frame(np.array(self.index, dtype=np.dtype("<i8")).reshape(-1, 4).tobytes())
+        self._frame(np.array(self.index, dtype=np.dtype("<i8")).tobytes())
         body = b"".join(struct.pack("<III", *row) for row in self.table) + struct.pack("<IBI", len(self.table), HAS_CHECKSUMS, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
         self.out.close()
@@ -143,6 +148,9 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer, self.end = _tokenizer(path), struct.pack("<I", end_id)
+        spec = json.loads(self.tokenizer.to_str())
+        if spec["model"]["type"] != "BPE" or spec["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError(f"{path}: not a tokenizer whose words end in </w>, which cutting at white space needs")
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
@@ -205,12 +213,14 @@ def _encoder(path: str, end_id: int) -> Encoder:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encodes docs (doc_id, text) and writes them in ascending doc_id order (null first), a file for each range of ids.
 
+    There are as many files as shuffle partitions, or more where they would hold more than FILE_BYTES of text each.
     Returns the manifest, a row a file: part, path, first, n_docs, n_tokens, base (ids in the files before it). Each document ends
     with end_id; a null or empty text is that alone. Repeated rows are written as often as they come. An attempt writes under a
     name of its own and only what the manifest names counts, so lost executors leave nothing behind that is ever read.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +235,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                     writer.add(doc_id, data)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pylist([row | {"n_docs": len(writer.index), "n_tokens": writer.n_tokens}], schema=schema)
+            yield pa.RecordBatch.from_pylist([row | {"n_docs": writer.n_docs, "n_tokens": writer.n_tokens}], schema=schema)
 
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     files = settle(rows.mapInArrow(write, "part int, path string, first long, n_docs long, n_tokens long"), "token-files")
@@ -234,7 +244,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of all documents in the manifest's files, or of a few wanted ones."""
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of all documents in the manifest's files, or of a few wanted ones.
+
+    Null and repeated ids come as often as they were written (a null one is never wanted); an empty manifest gives an empty result.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,9 +13,10 @@ import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 import public_tokenizers
-from tallywright.llm import attention_quality, bpe, curriculum, exact_dedup, langid, licenses, queries, sharding, simhash, token_files, vector_graph
+from tallywright.llm import attention_quality, bpe, curriculum, exact_dedup, langid, license_rules, licenses, queries, sharding, simhash, token_files, vector_graph
 from tallywright.llm.common import components, held_out, running
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, name long, ids string, _key string, level int"
@@ -130,8 +132,13 @@ def test_shards_keep_small_groups_together(spark):
     placed = sharding.balanced_shards(docs)
     apart = placed.join(docs, "doc_id").where("text <> 'hot'").groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
     assert apart <= 8
-    cells = sharding.cut_share(placed).first()[0]
-    assert cells < 0.7
+    # texts join by id here; rows dealt out in turn are the start that propagation must better
+    texts = docs.select("doc_id", "text")
+    dealt = placed.select("doc_id", F.pmod(F.row_number().over(Window.orderBy("doc_id")) - 1, F.lit(8)).alias("shard"))
+    cut, start = (sharding.cut_share(p.join(texts, "doc_id")).first()[0] for p in (placed.select("doc_id", "shard"), dealt))
+    assert cut < 0.7 and cut < start - 0.1
+    again = sharding.balanced_shards(docs.repartition(7).orderBy(F.desc("doc_id")))
+    assert {(r.doc_id, r.shard, r.slot) for r in again.collect()} == {(r.doc_id, r.shard, r.slot) for r in placed.collect()}
 
 
 def test_shards_of_nothing(empty):
@@ -177,8 +184,10 @@ def test_bpe_of_nothing(empty):
 def test_quality(spark, odd, empty, sf_dir):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(20)] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = attention_quality.learn(odd, labels)
-    scores = [r.score for r in attention_quality.scored(odd.withColumn("score", F.lit("clash")), model).collect()]
+    scores = [r.score for r in attention_quality.scored(odd, model).collect()]
     assert len(scores) == odd.count() and all(0 <= s <= 1 for s in scores)
+    with pytest.raises(ValueError):
+        attention_quality.scored(odd.withColumn("Score", F.lit("clash")), model)
     assert attention_quality.learn(empty, labels) is None
     assert {r.score for r in attention_quality.scored(odd, None).collect()} == {0.5}
     assert attention_quality.scored(empty, model).count() == 0
@@ -444,18 +453,33 @@ def test_vector_recall(spark, sf_dir):
     assert want * 0.9 <= got <= want
 
 
-def test_links_across_blocks_are_all_found(spark):
+@pytest.mark.parametrize("depth", [16, 0])
+def test_links_lead_from_shard_to_shard(spark, monkeypatch, depth):
+    """A dense group of many shards' size, and pairs: split by centroids, or, if those can't part it, by hash."""
+    for name, value in (("MOST", 400), ("PART", 120), ("VISITS", 900), ("DEPTH", depth)):
+        monkeypatch.setattr(vector_graph, name, value)
     rng = np.random.default_rng(8)
     hot = rng.normal(size=64)
-    x = np.concatenate([hot + rng.normal(size=(3600, 64)) * 0.2, rng.normal(size=(300, 64)).repeat(2, axis=0) + rng.normal(size=(600, 64)) * 0.1])
+    x = np.concatenate([hot + rng.normal(size=(1800, 64)) * 0.2, rng.normal(size=(300, 64)).repeat(2, axis=0) + rng.normal(size=(600, 64)) * 0.1])
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     x = x.astype(np.float32).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
     root = smallest(range(len(x)), np.argwhere(np.triu(near)).tolist())
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=500).collect()}
-    assert got == {i: (int(near[i].sum()), root[i]) for i in range(len(x))}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    points = frame.select("vec_id", vector_graph.unit("embedding").alias("x"), F.lit(1).cast("long").alias("n"))
+    assert vector_graph.shards(points, 3).select("shard").distinct().count() > 5
+    got = {r.vec_id: r for r in vector_graph.near_vectors(frame).collect()}
+    assert all(r.n_links <= near[i].sum() for i, r in got.items()) and sum(r.n_links for r in got.values()) >= 0.97 * near.sum()
+    assert sum(got[i].component_id == root[i] for i in got) >= 0.99 * len(x) and all(root[r.component_id] == root[i] for i, r in got.items())
+
+
+def test_vectors_of_any_size_and_scale(spark):
+    rows = [[1e200, 1e200], [2e200, 2e200], [1e-300, 1e-300], [1.0, 1.0, 1.0], [1.0, 1.0, 1.01], [1.0, -1.0], [1e200, float("inf")]]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(rows)] + [(5, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_graph.near_vectors(frame).collect())
+    assert got == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 1, 3), (4, 1, 3), (5, 0, 5), (5, 0, 5), (6, 0, 6)]
 
 
 # 9: mixing
@@ -530,3 +554,68 @@ def test_running_sums_and_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     ids = {v for p in links for v in p if p[0] != p[1]}
     assert got == {k: v for k, v in smallest({v for p in links for v in p}, links).items() if k in ids}
+
+
+def example(pattern):
+    """A text that a signature's pattern matches: first alternatives, nothing optional."""
+    pattern = re.sub(r"\.\{\d+,\d+\}\??", "x ", re.sub(r"\(\?![^()]*\)", "", pattern))
+    while m := re.search(r"\(\?:([^()]*)\)(\?)?", pattern):
+        pattern = pattern[: m.start()] + ("" if m[2] else m[1].split("|")[0]) + pattern[m.end() :]
+    pattern = pattern.split("|")[0].replace("licen[cs]e", "licence")
+    pattern = re.sub(r"\[(.)[^\]]*\]", r"\1", pattern)
+    return re.sub(" +", " ", pattern.replace(" ?", " ").replace("?", "")).strip()
+
+
+@pytest.mark.parametrize("rule", license_rules.SIGNATURES, ids=lambda r: f"{r[0]}: {r[3][:40]}")
+def test_signatures(rule):
+    label, _, keyword, pattern = rule
+    text = example(pattern)
+    assert keyword in text and label in {d[0] for d in licenses.detect(text)[1]}
+    assert label in {d[0] for d in licenses.detect(f"Licence notice, {text.upper()}!\n")[1]}
+
+
+def test_licence_as_it_is_spelt():
+    for text, label in (("MIT Licence", "mit"), ("under the BSD-licence", "bsd"), ("ISC licence.", "isc"), ("PHP Licence", "php")):
+        assert label in {d[0] for d in licenses.detect(text)[1]}
+
+
+def brute_quality(model, text):
+    """One document at a time, passage by passage, in plain sums."""
+    w, size = model.weights, attention_quality.PASSAGE_BYTES
+    hidden = []
+    for k in range(max(1, -(-len(text) // size))):
+        x, _ = attention_quality.encode([text[k * size : (k + 1) * size]])
+        hidden.append(np.tanh(((x[0] - model.mean) / model.scale) @ w["w"] + w["b"]))
+    logits = [float(((1 / (1 + np.exp(-(h @ w["u"])))) * np.tanh(h @ w["v"])) @ w["a"]) for h in hidden]
+    weights = [math.exp(x - max(logits)) for x in logits]
+    pooled = sum(a * h for a, h in zip(weights, hidden, strict=True)) / sum(weights)
+    return 1 / (1 + math.exp(-float(pooled @ w["c"] + w["d"][0])))
+
+
+def test_quality_like_one_document_at_a_time(spark, sf_dir, table):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = attention_quality.learn(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: r for r in queries.op4_attention_quality(spark, sf_dir).collect()}
+    for doc_id, text in table:
+        want = brute_quality(model, (text or "").encode())
+        assert abs(got[doc_id].score - want) < 1e-3 and got[doc_id].predicted == (got[doc_id].score >= 0.3)
+        assert got[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
+
+
+def test_long_documents_are_learned_from(spark):
+    texts = {i: ("bad zzz " if i % 2 else "fine prose ") * 9000 for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bag = docs.where("doc_id = 1").select(attention_quality.drawn_passages(F.col("text"), F.col("doc_id"), 5).alias("b")).first().b
+    assert len(bag) == 5 * 512 and bytes(bag[:512]).decode() in texts[1]
+    model = attention_quality.learn(docs, docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality")))
+    scores = {r.doc_id: r.score for r in attention_quality.scored(docs, model).collect()}
+    assert min(s for i, s in scores.items() if i % 2 == 0) > max(s for i, s in scores.items() if i % 2)
+
+
+def test_file_sizes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
+    docs = spark.createDataFrame([(i, words(40, i)) for i in range(200)], "doc_id long, text string")
+    files = token_files.write_tokens(docs, f"file://{tmp_path}", public_tokenizers.path("word_bpe_49k.json"))
+    assert files.count() > 20 and token_files.read_tokens(spark, files).count() == 200
+    with pytest.raises(ValueError):
+        token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
