@@ -1,15 +1,15 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors are clustered into shards that overlap. Each shard builds a pruned neighbour graph; a vector's lists from all its shards are
-united, so edges lead from shard to shard. A vector's search begins at the medoid of a shard: greedily towards the vector, and once
-among vectors within the range it expands all of those. Where their edges, or the vector's own, lead to other shards, the search goes
-on there in the next round, until no edge leads to a shard that it hasn't seen. Cosines in double precision decide. A search puts out
+united, so edges lead from shard to shard. A vector's search starts at a shard's medoid: greedily towards the vector, and once
+among vectors within the range it expands all of those. It begins in every shard that holds the vector. Where edges of vectors within
+the range lead to other shards, the search goes on there in the next round, until none leads to a shard that it hasn't seen. Cosines in double precision decide. A search puts out
 how many vectors it found and only as many links as join its component; recall is audited against brute force.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ LINK_COSINE = 0.95
 #: A shard is split while it has more members than MOST, into parts of about PART (64 at a time at most); centroids are fitted
 #: on about FITTED of its members, whatever its size. What centroids can't part in DEPTH rounds is dealt out by hash, and each of its
 #: vectors is searched for in all of these parts.
-MOST, PART, FITTED, DEPTH = 3000, 700, 4096, 16
+MOST, PART, FITTED, DEPTH = 3000, 700, 4096, 5
 
 #: A vector is also put into further shards, OVERLAP in all at most, if their centroids' cosine is at most MARGIN less.
 OVERLAP, MARGIN = 3, 0.15
@@ -50,9 +50,14 @@ def unit(embedding: Column | str) -> Column:
     x = F.col(embedding).cast("array<double>") if isinstance(embedding, str) else embedding
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     most = F.array_max(F.transform(x, F.abs))
-    scaled = F.transform(x, lambda v: v / most)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(~odd & (most > 0), F.transform(scaled, lambda v: v / norm))
+    scaled = _once(most, lambda m: F.transform(x, lambda v: v / m))
+    whole = _once(scaled, lambda s: _once(F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, v: a + v * v)), lambda norm: F.transform(s, lambda v: v / norm)))
+    return F.when(~odd & (most > 0), whole)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, not again for each element of an array that is made with it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _centroids(x: np.ndarray, k: int) -> np.ndarray:
@@ -75,7 +80,7 @@ def shards(points: DataFrame, overlap: int) -> DataFrame:
     """
     done, todo = None, points.select("vec_id", "x", "n", F.size("x").cast("string").alias("shard"), F.lit(True).alias("main"))
     for depth in range(DEPTH + 1):
-        todo = settle(todo, "vector-shards")
+        todo = settle(todo.groupBy("shard", "vec_id").agg(F.first("x").alias("x"), F.first("n").alias("n"), F.max("main").alias("main")) if depth else todo, "vector-shards")
         sizes = settle(todo.groupBy("shard").agg(F.count("*").alias("members")), "vector-sizes")
         sized = todo.join(sizes, "shard")
         small = sized.where(F.col("members") <= MOST).select("vec_id", "x", "n", "shard", "main")
@@ -251,7 +256,7 @@ def links(points: DataFrame, least: float = LINK_COSINE, overlap: int = OVERLAP)
     graph = settle(united.join(edges, "vec_id", "left").select("vec_id", "near", F.coalesce("ways", F.array().cast("array<long>")).alias("ways")), "vector-graph")
     nodes = settle(members.join(graph, "vec_id").select("part", "clump", "vec_id", "x", "n", "main", "near", F.array_except("ways", F.array("part")).alias("ways")), "vector-nodes")
     siblings = nodes.where("clump is not null").select("clump", "part").distinct().groupBy("clump").agg(F.collect_set("part").alias("parts"))
-    first = nodes.select("vec_id", F.array_union(F.array("part"), "ways").alias("to")).union(nodes.where("main").join(siblings, "clump").select("vec_id", F.col("parts").alias("to")))
+    first = nodes.select("vec_id", F.array("part").alias("to")).union(nodes.where("main").join(siblings, "clump").select("vec_id", F.col("parts").alias("to")))
     seen = settle(first.select("vec_id", F.explode("to").alias("part")).distinct(), "vector-visits")
     visits, results = seen, None
     while True:

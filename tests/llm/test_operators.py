@@ -453,10 +453,10 @@ def test_vector_recall(spark, sf_dir):
     assert want * 0.9 <= got <= want
 
 
-@pytest.mark.parametrize("depth", [16, 0])
+@pytest.mark.parametrize("depth", [5, 0])
 def test_links_lead_from_shard_to_shard(spark, monkeypatch, depth):
     """A dense group of many shards' size, and pairs: split by centroids, or, if those can't part it, by hash."""
-    for name, value in (("MOST", 400), ("PART", 120), ("VISITS", 900), ("DEPTH", depth)):
+    for name, value in (("MOST", 600), ("PART", 120), ("VISITS", 900), ("DEPTH", depth)):
         monkeypatch.setattr(vector_graph, name, value)
     rng = np.random.default_rng(8)
     hot = rng.normal(size=64)
