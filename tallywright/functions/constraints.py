@@ -1,13 +1,17 @@
-"""Checks that a response follows an instruction: a registry of name -> builder of a boolean column."""
+"""Checks that a response follows an instruction: a registry of name -> builder of a boolean column.
+
+Patterns are aware of Unicode and take only line feeds for line ends. Names and patterns of what is looked for are fixed values.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.text import loose_forms, strip
+from tallywright.functions.words import likely_language, occurrences, sentences, tokens, word_runs
 
 Check = Callable[..., Column]
 CHECKS: dict[str, Check] = {}
@@ -50,8 +54,13 @@ def word_range(t: Column, min_words: int, max_words: int) -> Column:
 
 @check("length_constraints:number_sentences")
 def number_of_sentences(t: Column, relation: str, num_sentences: int) -> Column:
-    """A sentence ends where ., ! or ? follows something else."""
-    return related(matches(t, r"[^.!?][.!?]"), relation, num_sentences)
+    return related(F.size(sentences(t)), relation, num_sentences)
+
+
+@check("language:response_language")
+def response_language(t: Column, language: str) -> Column:
+    """A text whose language can't be told is let through."""
+    return F.coalesce(likely_language(t) == language.split("-")[0], F.lit(True))
 
 
 @check("length_constraints:number_paragraphs")
@@ -75,7 +84,7 @@ def postscript(t: Column, marker: str = "P.S.") -> Column:
 
 @check("detectable_format:number_bullet_lists")
 def bullets(t: Column, num_bullets: int) -> Column:
-    return matches(t, r"(?m)^\s*\*[^*].*$") + matches(t, r"(?m)^\s*-.*$") == num_bullets
+    return matches(t, r"(?md)^\s*\*[^*].*$") + matches(t, r"(?md)^\s*-.*$") == num_bullets
 
 
 @check("detectable_format:constrained_response")
@@ -85,7 +94,11 @@ def constrained_response(t: Column, options: tuple[str, ...] = ("My answer is ye
 
 @check("detectable_format:number_highlighted_sections")
 def highlights(t: Column, num_highlights: int) -> Column:
-    return matches(t, r"\*[^\n*]*[^\n* ][^\n*]*\*") >= num_highlights
+    """Spans between single asterisks and spans between double ones, each kind found on its own; blank ones don't count."""
+    single = F.regexp_extract_all(t, F.lit(r"(\*[^\n*]*\*)"))
+    double = F.regexp_extract_all(t, F.lit(r"(\*\*[^\n*]*\*\*)"))
+    filled = F.filter(F.concat(single, double), lambda h: strip(F.replace(h, F.lit("*"), F.lit(""))) != "")
+    return F.size(filled) >= num_highlights
 
 
 @check("detectable_format:multiple_sections")
@@ -102,31 +115,68 @@ def json_format(t: Column) -> Column:
 
 @check("detectable_format:title")
 def title(t: Column) -> Column:
-    return t.rlike(r"<<[^\n]*[^\s<>][^\n]*>>")
+    return F.exists(F.regexp_extract_all(t, F.lit(r"(<<[^\n]+>>)")), lambda x: strip(F.regexp_replace(x, r"^<+|>+\z", "")) != "")
+
+
+@check("detectable_format:rephrase")
+def rephrased(t: Column, original_message: Column | str) -> Column:
+    """Nothing but what stands between asterisks is changed; without any such change it isn't followed."""
+    original = F.lit(original_message) if isinstance(original_message, str) else original_message
+    change = r"(?d)\*.*\*"
+    return t.rlike(change) & (F.regexp_replace(t, change, "") == F.regexp_replace(original, change, ""))
+
+
+@check("detectable_content:rephrase_paragraph")
+def rephrased_paragraph(t: Column, original_paragraph: Column | str, low: int, high: int) -> Column:
+    """The words that both have, each as often as both have it, are from low to high."""
+    original = F.lit(original_paragraph) if isinstance(original_paragraph, str) else original_paragraph
+    mine, theirs = word_runs(F.lower(t)), word_runs(F.lower(original))
+    shared = F.aggregate(F.array_intersect(mine, theirs), F.lit(0), lambda s, w: s + F.least(F.size(F.filter(mine, lambda x: x == w)), F.size(F.filter(theirs, lambda x: x == w))))
+    return shared.between(low, high)
+
+
+@check("keywords:key_sentences")
+def key_sentences(t: Column, key_sentences: tuple[str, ...], num_sentences: int) -> Column:
+    return F.size(F.array_intersect(F.array(*map(F.lit, dict.fromkeys(key_sentences))), sentences(t))) == num_sentences
 
 
 @check("keywords:existence")
 def keywords(t: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(True)
     for w in words:
-        out = out & t.rlike("(?i)" + literal(w))
+        out = out & t.rlike("(?iu)" + literal(w))
     return out
 
 
 @check("keywords:frequency")
 def keyword_frequency(t: Column, keyword: str, relation: str, frequency: int) -> Column:
-    return related(matches(t, "(?i)" + literal(keyword)), relation, frequency)
+    return related(matches(t, "(?iu)" + literal(keyword)), relation, frequency)
 
 
 @check("keywords:forbidden_words")
 def forbidden(t: Column, words: tuple[str, ...]) -> Column:
-    return ~t.rlike(r"(?i)\b(?:" + "|".join(map(literal, words)) + r")\b")
+    return ~t.rlike(r"(?iuU)\b(?:" + "|".join(map(literal, words)) + r")\b")
 
 
 @check("keywords:letter_frequency")
 def letter_frequency(t: Column, letter: str, relation: str, frequency: int) -> Column:
-    low = F.lower(t)
-    return related(F.length(low) - F.length(F.replace(low, F.lit(letter.lower()), F.lit(""))), relation, frequency)
+    """The letter is one character; what isn't from a to z is counted as it is."""
+    return related(occurrences(F.lower(t), letter.strip().lower()), relation, frequency)
+
+
+def _english(t: Column) -> Column:
+    return F.coalesce(likely_language(t) == "en", F.lit(True))
+
+
+@check("change_case:english_lowercase")
+def english_lowercase(t: Column) -> Column:
+    return lowercase(t) & _english(t)
+
+
+@check("change_case:english_capital")
+def english_uppercase(t: Column) -> Column:
+    """English is told from the text in small letters, which stop words are in."""
+    return uppercase(t) & _english(t)
 
 
 @check("change_case:lowercase")
@@ -141,8 +191,7 @@ def uppercase(t: Column) -> Column:
 
 @check("change_case:capital_word_frequency")
 def capital_words(t: Column, relation: str, frequency: int) -> Column:
-    words = F.regexp_extract_all(t, F.lit(f"({WORD})"))
-    return related(F.size(F.filter(words, lambda w: (w == F.upper(w)) & (w != F.lower(w)))), relation, frequency)
+    return related(F.size(F.filter(tokens(t), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), relation, frequency)
 
 
 @check("combination:two_responses")
@@ -172,7 +221,7 @@ def quotation(t: Column) -> Column:
 
 @check("startend:constrained_start")
 def constrained_start(t: Column, starter: str) -> Column:
-    return t.rlike(rf"(?m)^\s*{literal(starter)}.*$")
+    return t.rlike(rf"(?mdU)^\s*{literal(starter)}.*$")
 
 
 @check("punctuation:no_comma")
@@ -180,18 +229,64 @@ def no_comma(t: Column) -> Column:
     return ~t.contains(",")
 
 
-@check("nth_paragraph:first_word")
+def _first_word(paragraph: Column) -> Column:
+    """Without quotes before it, up to the first mark behind it, in lower case."""
+    return F.regexp_extract(F.lower(paragraph), r"(?U)^'*\"*([^\s.,?!'\"]*)", 1)
+
+
+@check("length_constraints:nth_paragraph_first_word")
 def nth_paragraph(t: Column, num_paragraphs: int, nth_paragraph: int, first_word: str) -> Column:
+    """Blank paragraphs don't count among all of them, but they do before the nth."""
+    parts = F.transform(F.split(t, r"\n\n"), strip)
+    count, mine = F.size(F.filter(parts, lambda p: p != "")), F.get(parts, F.lit(nth_paragraph - 1))
+    return (count == num_paragraphs) & (count >= nth_paragraph) & (mine != "") & (_first_word(mine) == first_word)
+
+
+@check("nth_paragraph:first_word")
+def repaired_nth_paragraph(t: Column, num_paragraphs: int, nth_paragraph: int, first_word: str) -> Column:
+    """Blank paragraphs never count; a first "word" of several is compared with as many."""
     parts = F.filter(F.transform(F.split(t, r"\n\n"), strip), lambda p: p != "")
-    word = F.regexp_extract(F.lower(F.get(parts, F.lit(nth_paragraph - 1))), r"^['\"]*([^\s.,?!'\"]+)", 1)
-    return (F.size(parts) == num_paragraphs) & (word == first_word.lower())
+    opening = F.slice(F.split(F.get(parts, F.lit(nth_paragraph - 1)), r"(?U)\s+"), 1, len(first_word.split()) or 1)
+    return (F.size(parts) == num_paragraphs) & (F.array_join(F.transform(opening, _first_word), " ") == first_word.lower())
 
 
-def strict(name: str, text: Column, **kwargs: object) -> Column:
-    """Whether the response follows the instruction; a blank one doesn't."""
-    return F.coalesce((strip(text) != "") & CHECKS[name](text, **kwargs), F.lit(False))
+REPAIRED: dict[str, Check] = CHECKS | {"length_constraints:nth_paragraph_first_word": repaired_nth_paragraph}
 
 
-def loose(name: str, text: Column, **kwargs: object) -> Column:
-    """Whether any of the eight loose forms does."""
-    return F.coalesce(F.exists(loose_forms(text), lambda t: (strip(t) != "") & CHECKS[name](t, **kwargs)), F.lit(False))
+def strict(name: str, text: Column, registry: dict[str, Check] | None = None, **kwargs: object) -> Column:
+    """Whether the response follows the instruction; a blank one doesn't."""
+    return F.coalesce((strip(text) != "") & (registry or CHECKS)[name](text, **kwargs), F.lit(False))
+
+
+def loose(name: str, text: Column, registry: dict[str, Check] | None = None, **kwargs: object) -> Column:
+    """Whether any of the eight loose forms does.
+
+    Checks that are columns run inside one expression over all forms. Checks by a Python reader, which can't, get each form as a
+    column of its own.
+    """
+    test, forms = (registry or CHECKS)[name], loose_forms(text)
+    if getattr(test, "scans", False):
+        each = [F.get(forms, F.lit(i)) for i in range(8)]
+        return F.coalesce(F.greatest(*[(strip(t) != "") & test(t, **kwargs) for t in each]), F.lit(False))
+    return F.coalesce(F.exists(forms, lambda t: (strip(t) != "") & test(t, **kwargs)), F.lit(False))
+
+
+def followed(rows: DataFrame, cases: dict[tuple[str, str], dict], registry: dict[str, Check] | None = None, keys: tuple[str, ...] = ("sample_id", "idx")) -> DataFrame:
+    """rows (keys, text, instruction_id_list, kwargs as JSON) with two columns more: strict and loose, array<boolean> in order of the instructions.
+
+    ``cases`` holds the distinct (id, kwargs as JSON) that occur, with the kwargs as a dict: instructions are parameters of a
+    benchmark, so each distinct one becomes a branch of the plan. Each instruction is a row of its own, so that a text is tested for
+    its own instructions only; unknown ones are not followed. Rows without instructions get empty arrays.
+    """
+    each = rows.select(*keys, "text", F.posexplode(F.arrays_zip("instruction_id_list", "kwargs")).alias("_at", "_of"))
+    key = F.concat_ws("|", F.col("_of.instruction_id_list"), F.col("_of.kwargs"))
+    verdicts = []
+    for way in (strict, loose):
+        verdict = F.lit(False)
+        for (name, args), kwargs in sorted(cases.items(), reverse=True):
+            verdict = F.when(key == f"{name}|{args}", way(name, F.col("text"), registry, **kwargs)).otherwise(verdict)
+        verdicts.append(verdict.alias(f"_{way.__name__}"))
+    done = each.select(*keys, "_at", *verdicts).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_strict", "_loose"))).alias("_all"))  # a prompt's few instructions
+    none = F.array().cast("array<boolean>")
+    joined = rows.join(done, list(keys), "left")
+    return joined.withColumns({w: F.coalesce(F.transform("_all", lambda x: x[f"_{w}"]), none) for w in ("strict", "loose")}).drop("_all")  # noqa: B023

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,11 +11,47 @@ from pyspark.sql.window import Window
 from tallywright.operators.ranking import positioned
 
 
-def filtered(df: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose key is among keys (repeated keys count once)."""
+def filtered(df: DataFrame, keys: DataFrame, by: list[str], require_all: bool | None = None) -> DataFrame:
+    """The rows whose key is among keys (repeated keys count once).
+
+    ``require_all`` asks for a check first: with False it is an error if nothing matches, with True if any key has no match. Without
+    it nothing is run.
+    """
+    if require_all is not None:
+        checked(df, keys, by, require_all)
     return df.join(keys.select(*by).distinct(), by, "left_semi")
 
 
+def checked(df: DataFrame, keys: DataFrame, by: list[str], require_all: bool) -> None:
+    """Raises if no key matches, or, if ``require_all``, if any key doesn't; counts are all that comes to the driver."""
+    missing, asked = unmatched(df, keys, by).count(), keys.select(*by).distinct().count()
+    if asked == missing:
+        raise ValueError(f"filter: none of {asked} keys matches")
+    if require_all and missing:
+        raise ValueError(f"filter: {missing} of {asked} keys match nothing")
+
+
+def values_digest(values: DataFrame, column: str = "value") -> str:
+    """A digest of the distinct values, whatever their order: one number a partition and a sum of hashes reach the driver."""
+    text = F.col(column).cast("string")
+    row = values.select(text.alias("v")).distinct().agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.sha2("v", 256), 1, 15), 16, 10).cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(f"{row.n}:{row.s or 0}".encode()).hexdigest()
+
+
+def retrieved(df: DataFrame, n: int, mode: str = "first", seed: int = 0, order: str | None = None, by: str | None = None) -> DataFrame:
+    """n rows of a split, of each group if ``by`` is given: the first by ``order``, or a seeded draw; an error with fewer."""
+    key = draw(seed, F.to_json(F.struct(*df.columns))) if mode == "random" else F.col(order)
+    if by is not None:
+        picked = df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(key))).where(F.col("_r") <= n).drop("_r")
+        short = df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") < n).count()
+    else:
+        picked = df.orderBy(key).limit(n)
+        short = picked.count() < n
+    if short:
+        raise ValueError(f"fewer than {n} rows to take")
+    return picked
+
+
 def unmatched(df: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
     """The keys that no row has."""
     return keys.select(*by).distinct().join(df, by, "left_anti")
@@ -83,7 +121,10 @@ def first_of_group(df: DataFrame, by: str, n: int, *order: str) -> DataFrame:
 
 
 def example_prefix(examples: DataFrame, by: str, text: Column, n: int, order: str, glue: str = "\n\n") -> DataFrame:
-    """(by, prefix, n_examples): the texts of the first n examples of each group in order; groups with fewer are left out."""
+    """(by, prefix, n_examples): the texts of the first n examples of each group in order; groups with fewer are left out.
+
+    Where a group with fewer must be an error, take examples by retrieved() first.
+    """
     first = first_of_group(examples, by, n, order).withColumn("_text", text)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_text"))), lambda x: x["_text"]), glue)
     return first.groupBy(by).agg(joined.alias("prefix"), F.count("*").alias("n_examples")).where(F.col("n_examples") == n)

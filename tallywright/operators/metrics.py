@@ -34,7 +34,8 @@ def votes(rollouts: DataFrame, key: Column | None = None) -> DataFrame:
 def sampling_report(requested: DataFrame, rollouts: DataFrame, n: int, k: int) -> DataFrame:
     """One row: the estimators over all requested (sample_id), those without rollouts counting as failed; denominators are stated.
 
-    The k-estimators appear for k > 1, the majority only if k is the requested n; a metric that can't be had is null.
+    The k-estimators appear for k > 1, the majority only if k is the requested n; a metric that doesn't apply is null. With nothing
+    requested or nothing judged, those that apply are zero, so a run that failed as a whole has the same columns as any other.
     """
     both = problems(rollouts).join(votes(rollouts).select("sample_id", "majority", "consistency"), "sample_id")
     rows = requested.select("sample_id").join(both, "sample_id", "left")
@@ -42,7 +43,7 @@ def sampling_report(requested: DataFrame, rollouts: DataFrame, n: int, k: int) -
     asked, judged = F.count(F.lit(1)), F.count("n")
 
     def mean(value: Column) -> Column:
-        return F.round(F.sum(value) * 100 / F.nullif(asked, F.lit(0)), 6)
+        return F.coalesce(F.round(F.sum(value) * 100 / F.nullif(asked, F.lit(0)), 6), F.lit(0.0))  # zero where nothing was asked or judged
 
     nothing = F.lit(None).cast("double")
     return rows.agg(
@@ -85,7 +86,7 @@ def calibration_error(rows: DataFrame, confidence: str, key: str, bin_size: int
     """
     code = F.md5(F.col(key).cast("string"))
     bucket = F.struct(F.col(confidence).alias("c"), F.substring(code, 1, 2).alias("h"))
-    placed = positioned(rows, [], bucket, [code, F.col(key)])
+    placed = positioned(rows.select(confidence, key, "correct"), [], bucket, [code, F.col(key)])
     bins = placed.groupBy(F.floor(F.col("position") / bin_size).alias("bin")).agg(F.count("*").alias("k"), F.sum(confidence).alias("conf"), F.count_if("correct").alias("hit"))
     gap = F.col("conf") / 100 / F.col("k") - F.col("hit") / F.col("k")
     total = rows.agg(F.count("*").alias("n"))  # one row
@@ -116,11 +117,37 @@ def session_prefixes(turns: DataFrame) -> DataFrame:
 
 
 def session_rates(turns: DataFrame) -> DataFrame:
-    """One row: the share of satisfied criteria, of fully satisfied turns, and the mean share of a session's prefix."""
-    whole = turns.agg(F.round(F.sum("satisfied") / F.sum("criteria"), 6).alias("csr"), F.round(share(F.col("ok")), 6).alias("isr"))
+    """One row: the share of satisfied criteria (over all, and on average of turns), of fully satisfied turns, and the mean share of a session's prefix."""
+    each = F.when(F.col("criteria") > 0, F.col("satisfied") / F.col("criteria")).otherwise(0.0)
+    whole = turns.agg(F.round(F.sum("satisfied") / F.sum("criteria"), 6).alias("csr"), F.round(F.avg(each), 6).alias("csr_macro"), F.round(share(F.col("ok")), 6).alias("isr"))
     return whole.crossJoin(F.broadcast(session_prefixes(turns).agg(F.round(F.avg(F.col("prefix") / F.col("n_turns")), 6).alias("ssr"))))
 
 
 def partial_key_report(rows: DataFrame, keys: list[str], denominator: Column) -> DataFrame:
     """One row: each key's sum by the denominator, in percent; a key that only some problems have is null."""
     return rows.agg(*[F.round(complete_sum(F.col(k), denominator), 6).alias(k) for k in keys])
+
+
+def rollout_view(verdicts: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(sample_id, correct, answers) of verdicts (sample_id, idx, correct) and predictions (sample_id, idx, answer), arrays in order of idx.
+
+    Answers are null where the two stages don't agree on how many rollouts there are: a vote needs all of them.
+    """
+
+    def packed(rows: DataFrame, column: str, out: str) -> DataFrame:
+        return rows.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", column))), lambda x: x[column]).alias(out))  # a sample's rollouts
+
+    both = packed(verdicts, "correct", "correct").join(packed(predictions, "answer", "answers"), "sample_id", "left")
+    return both.select("sample_id", "correct", F.when(F.size("answers") == F.size("correct"), F.col("answers")).alias("answers"))
+
+
+def unscored_rollouts(verdicts: DataFrame) -> DataFrame:
+    """One row (unscored): rollouts beyond each sample's first, which a headline of single draws doesn't score."""
+    return verdicts.agg((F.count("*") - F.count_distinct("sample_id")).alias("unscored"))
+
+
+def problem_metrics(rollouts: DataFrame, k: int) -> DataFrame:
+    """Each problem's estimators: sample_id, n, c, pass_at_1, pass_at_k, pass_pow_k, avg_at_n, majority, consistency."""
+    both = problems(rollouts).join(votes(rollouts).select("sample_id", "majority", "consistency"), "sample_id")
+    n, c = F.col("n"), F.col("c")
+    return both.select("sample_id", "n", "c", pass_at_k(n, c, 1).alias("pass_at_1"), pass_at_k(n, c, k).alias("pass_at_k"), pass_pow_k(n, c, k).alias("pass_pow_k"), (c / n).alias("avg_at_n"), "majority", "consistency")

@@ -25,6 +25,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return windows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")
 
 
+def latest(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Of a stream's records (sample_id, seq, ts, ...) each once: what comes again within the watermark is dropped; state beyond it goes."""
+    return _watched(events, late).dropDuplicatesWithinWatermark(["sample_id", "seq"]) if events.isStreaming else events.dropDuplicates(["sample_id", "seq"])
+
+
 def ended(spark: SparkSession, source: str, schema: str, query: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Runs the query over all files that are there now, in micro-batches, and gives the table it leaves behind.
 
