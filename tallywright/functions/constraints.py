@@ -283,7 +283,7 @@ def followed(rows: DataFrame, cases: dict[tuple[str, str], dict], registry: dict
     verdicts = []
     for way in (strict, loose):
         verdict = F.lit(False)
-        for (name, args), kwargs in sorted(cases.items(), reverse=True):
+        for (name, args), kwargs in sorted((c for c in cases.items() if c[0][0] in (registry or CHECKS)), key=lambda c: c[0], reverse=True):
             verdict = F.when(key == f"{name}|{args}", way(name, F.col("text"), registry, **kwargs)).otherwise(verdict)
         verdicts.append(verdict.alias(f"_{way.__name__}"))
     done = each.select(*keys, "_at", *verdicts).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_strict", "_loose"))).alias("_all"))  # a prompt's few instructions

@@ -569,3 +569,37 @@ def ugmathbench(spark: SparkSession, folder: str, subjects: list[str] | None = N
     rows = united([hub(spark, folder, s).splits["test"] for s in selected(subjects, subjects_of(spark, folder), "subjects")])
     version = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), *[F.col(f"{c}_v{v}").alias(c) for c in ("problem", "answer", "answer_type", "options")]) for v in range(1, versions + 1)])).alias("of")
     return Dataset({"test": rows.select("id", "subject", "topic", "subtopic", "level", "keywords", version).select("id", "subject", "topic", "subtopic", "level", "keywords", "of.*")})
+
+
+#: Tokens that each kind of long-context task may generate.
+BUDGETS = {"niah": 128, "vt": 30, "cwe": 120, "fwe": 50, "qa": 32}
+
+
+@loader("ruler")
+def ruler(spark: SparkSession, folder: str, lengths: tuple[int, ...] = (4096, 8192), n: int = 100, seed: int = 0) -> Dataset:
+    """Generated samples of each subtask and length: needles (one, several keys, values or queries), chains, common and frequent words.
+
+    If the folder holds words.txt, common words are drawn from it; if it holds questions and documents (qa.parquet: sample_id, gold,
+    question, outputs; documents.parquet: doc_id, text), questions over drawn documents are made too. A length in tokens sets how
+    much filler, how many chains' hops and how many words there are, about four characters to a token.
+    """
+    from tallywright.operators import generators
+
+    parts = []
+    words = spark.read.text(f"{folder}/words.txt").select(F.col("value").alias("word")) if listed(spark, f"{folder}/words.txt") else spark.range(2000).select(F.concat(F.lit("w"), F.substring(F.md5(F.col("id").cast("string")), 1, 5)).alias("word"))
+    for k, length in enumerate(lengths):
+        own, lines = seed + 100 * k, max(4, length // 25)
+        made = {
+            "niah_single_1": generators.needles(spark, n, lines, 1, 1, own), "niah_multikey_1": generators.needles(spark, n, lines, 4, 1, own + 1), "niah_multiquery": generators.needles(spark, n, lines, 4, 4, own + 2),
+            "vt": generators.chains(spark, n, max(1, length // 512), 4, own + 3), "cwe": generators.common_words(words, n, 10, max(10, length // 40), 30, 3, own + 4), "fwe": generators.frequent_words(spark, n, length // 3, 50, 2.0, own + 5),
+        }
+        if listed(spark, f"{folder}/qa.parquet"):
+            asked, documents = spark.read.parquet(f"{folder}/qa.parquet"), spark.read.parquet(f"{folder}/documents.parquet")
+            dealt = generators.with_distractors(asked.select("sample_id", "gold"), documents, max(1, length // 512), own + 6)
+            texts = dealt.select("sample_id", F.posexplode("context").alias("at", "doc_id")).join(documents.select("doc_id", "text"), "doc_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("all"))
+            body = F.array_join(F.transform("all", lambda x, i: F.concat(F.lit("Document "), i + 1, F.lit(":\n"), x["text"])), "\n\n")
+            made["qa_squad"] = texts.join(asked, "sample_id").select("sample_id", F.concat(body, F.lit("\n\nQuestion: "), "question").alias("input"), "outputs")
+        for subtask, rows in made.items():
+            budget = BUDGETS[subtask.split("_")[0]]
+            parts.append(rows.select(F.col("sample_id").alias("index"), "input", F.col("outputs").cast("array<string>").alias("outputs"), F.lit(length).alias("length"), F.lit("Answer:").alias("answer_prefix"), F.lit(subtask).alias("subtask"), F.lit(length).alias("context_length"), F.lit(budget).alias("gen_budget")))
+    return Dataset({"test": united(parts)})

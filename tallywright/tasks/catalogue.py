@@ -483,7 +483,7 @@ def _table_verdicts(rows: DataFrame) -> DataFrame:
 
 
 def _table_report(samples: DataFrame, verdicts: DataFrame, n: int, k: int) -> DataFrame:
-    row = reports.units(samples, verdicts, n).agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in ("correct", "partial", "exact")], F.count_if("not parsed").alias("unread"))
+    row = reports.units(samples, verdicts, n).agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in ("correct", "partial", "exact")], F.count_if(~F.col("parsed")).alias("unread"))
     values = {c: F.round(reports.rate(F.col(c), F.col("n")), 2) for c in ("correct", "partial", "exact")}
     return reports.together(reports.metrics(row, score=values["correct"], accuracy=values["correct"], partial=values["partial"], exact_match=values["exact"], n=F.col("n"), n_grader_unparsed=F.col("unread")), reports.health(samples, verdicts))
 
@@ -553,7 +553,7 @@ def _inverse_report(samples: DataFrame, verdicts: DataFrame, n: int, k: int) ->
     cells = verdicts.groupingSets([["language"], ["instruction_types"]], "language", "instruction_types").agg(F.count_if("correct").alias("k"), F.count("*").alias("n"))
     slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("language", "instruction_types")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     breakdown = cells.select(F.concat(F.when(F.col("language").isNotNull(), "language_").otherwise("type_"), slug, F.lit("_pass_rate")).alias("metric"), reports.rate(F.col("k"), F.col("n")).alias("value"))
-    unread = verdicts.agg(F.count_if("not parsed").alias("v"))
+    unread = verdicts.agg(F.count_if(~F.col("parsed")).alias("v"))
     return reports.together(reports.sampled(samples, verdicts, n, k, votes=False), breakdown, reports.metrics(unread, n_grader_unparsed=F.col("v")))
 
 
