@@ -53,12 +53,11 @@ def iteration_bound(spark: SparkSession, d: str) -> DataFrame:
     return runlog.iterated(state, 3).select("seq", "stage", "iteration", "error_reason")
 
 
-@query("anomaly_counts", f"""with {ROLLOUTS}, h as (select sample_id, 'extraction_failure' as rule from rollouts where not extracted union all select sample_id, 'truncated_output' from rollouts where tax > 0.07 union all select sample_id, 'empty_infer' from rollouts where idx > 6)
-  select r.rule, count(distinct sample_id) as n_samples, count(sample_id) as n_rollouts from (values ('extraction_failure'), ('truncated_output'), ('empty_infer')) r(rule) left join h using (rule) group by 1""")
+@query("anomaly_counts", f"""with {ROLLOUTS}, h as (select sample_id, 'extraction_failure' as rule from rollouts where not extracted union all select sample_id, 'truncated_output' from rollouts where tax > 0.07 union all select sample_id, 'empty_infer' from rollouts where idx > 6 union all select sample_id, 'empty_postprocess' from rollouts where answer is null or trim(answer) = '')
+  select r.rule, count(distinct sample_id) as n_samples, count(sample_id) as n_rollouts from (values ('extraction_failure'), ('truncated_output'), ('empty_infer'), ('empty_postprocess')) r(rule) left join h using (rule) group by 1""")
 def anomaly_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = rollouts(table(spark, d, "lineitem")).select("sample_id", "idx", "extracted", F.when(F.col("tax") > 0.07, "length").otherwise("stop").alias("finish_reason"), F.when(F.col("idx") <= 6, "some text").alias("text"), F.lit("x").alias("prediction"))
-    every = runlog.rules()
-    return runlog.anomalies(rows, {k: every[k] for k in ("extraction_failure", "truncated_output", "empty_infer")})
+    rows = rollouts(table(spark, d, "lineitem")).select("sample_id", "idx", "extracted", F.when(F.col("tax") > 0.07, "length").otherwise("stop").alias("finish_reason"), F.when(F.col("idx") <= 6, "some text").alias("text"), F.col("answer").alias("prediction"))
+    return runlog.anomalies(rows, runlog.rules())
 
 
 @query("truncation_pair", f"with {LOG}, e as (select sample_id, k, bool_or(stage = 'failed') as cut from log group by 1, 2) select count(*) filter (cut) as truncated, count(*) as scored from e")
@@ -114,13 +113,13 @@ def args_f1(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.round(2 * precision * recall / (precision + recall), 6).alias("f1"))
 
 
-@query("replay_evaluation", """with s as (select doc_id as sample_id, 'Answer: ' || chr(65 + (doc_id % 4)::int) as reply, chr(65 + (n_chars % 4)::int) as reference from documents), j as (select sample_id, regexp_extract(reply, 'Answer: ([A-D])', 1) = reference as correct from s where sample_id % 10 <> 0)
+@query("replay_evaluation", """with s as (select doc_id as sample_id, 'Answer: ' || chr(65 + (doc_id % 4)::int) as reply, chr(65 + (n_chars % 4)::int) as reference, text is not null and trim(text) <> '' as there from documents), j as (select sample_id, regexp_extract(reply, 'Answer: ([A-D])', 1) = reference as correct from s where there)
   select round(sum(correct::int) * 100 / (select count(*) from s), 6) as accuracy, (select count(*) from s) as requested, count(*) as judged from j""")
 def replay_evaluation(spark: SparkSession, d: str) -> DataFrame:
     letter = lambda c: F.chr(F.lit(65) + c % 4)
     docs = table(spark, d, "documents")
     samples = docs.select(F.col("doc_id").alias("sample_id"), letter(F.col("n_chars")).alias("reference"))
-    recorded = docs.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("sample_id"), F.array(F.concat(F.lit("Answer: "), letter(F.col("doc_id")))).alias("texts"))  # the fixture records nine answers of ten
+    recorded = docs.where("text is not null and trim(text) <> ''").select(F.col("doc_id").alias("sample_id"), F.array(F.concat(F.lit("Answer: "), letter(F.col("doc_id")))).alias("texts"))  # documents without a text have no record
     task = Task(prompt=F.concat(F.lit("Question "), F.col("sample_id").cast("string")), extract=lambda t: F.regexp_extract(t, "Answer: ([A-D])", 1), grade=lambda a, r: a == r)
     answers = replayed(task.prompts(samples), recorded)
     return task.report(samples, answers).select(F.col("pass_at_1").alias("accuracy"), "requested", "judged")

@@ -156,7 +156,7 @@ def session_prefix(spark: SparkSession, d: str) -> DataFrame:
     return metrics.session_prefixes(_turns(spark, d))
 
 
-@query("session_rates", f"with {TURNS}, s as (select session, count(*) as n, coalesce(min(place) filter (not ok or turn <> place), count(*)) as p from bad group by 1) select round(sum(satisfied) / sum(criteria), 6) as csr, round(avg(ok::int), 6) as isr, (select round(avg(p / n), 6) from s) as ssr from turns")
+@query("session_rates", f"with {TURNS}, s as (select session, count(*) as n, coalesce(min(place) filter (not ok or turn <> place), count(*)) as p from bad group by 1) select round(sum(satisfied) / sum(criteria), 6) as csr, round(avg(case when criteria > 0 then satisfied / criteria else 0 end), 6) as csr_macro, round(avg(ok::int), 6) as isr, (select round(avg(p / n), 6) from s) as ssr from turns")
 def session_rates(spark: SparkSession, d: str) -> DataFrame:
     return metrics.session_rates(_turns(spark, d))
 

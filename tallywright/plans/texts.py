@@ -12,6 +12,7 @@ from tallywright.plans.catalogue import query
 from tallywright.sources.tables import table
 
 NORMAL = "array_to_string(list_filter(regexp_split_to_array(translate(lower({t}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '' and w not in ('a', 'an', 'the')), ' ')"
+PUNCTUATION_SQL = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 STRIPPED = r"regexp_replace({t}, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
 
 
@@ -102,16 +103,25 @@ def numeric_band(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", grading.within(F.col("l_extendedprice"), F.lit(20000.0)).alias("close"))
 
 
+# a sentence ends at . ! or ? before white space; known abbreviations, single capitals and what small letters follow end none
+SENTENCES = (
+    r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\b(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|e\.g|i\.e|Inc|Ltd|Co|[A-Z])\.(\s)', '\1' || chr(1) || '\2', 'g'), '([!?][\"''”’)\]]*)\s+', '\1' || chr(2), 'g'), "
+    r"'(\.[\"''”’)\]]*)\s+([^\s\p{Ll}])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda s: trim(s)), lambda s: s <> '')"
+)
 WORDS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))"
 CHECKS: dict[str, tuple[str, dict, str]] = {
+    "if_highlights": ("detectable_format:number_highlighted_sections", {"num_highlights": 1}, r"len(list_filter(regexp_extract_all(text, '\*[^\n*]*\*') || regexp_extract_all(text, '\*\*[^\n*]*\*\*'), lambda h: trim(replace(h, '*', '')) <> '')) >= 1"),
+    "if_paragraphs": ("length_constraints:number_paragraphs", {"num_paragraphs": 1}, r"len(regexp_split_to_array(text, '\s?\*\*\*\s?')) = 1"),
+    "if_first_word": ("length_constraints:nth_paragraph_first_word", {"num_paragraphs": 1, "nth_paragraph": 1, "first_word": "the"}, r"not contains(trim(text, chr(10) || ' '), chr(10) || chr(10)) and regexp_extract(lower(text), '^''*\"*([^\s.,?!''\"]*)', 1) = 'the'"),
+    "if_key_sentences": ("keywords:key_sentences", {"key_sentences": ("the",), "num_sentences": 0}, f"not list_contains({SENTENCES}, 'the')"),
     "if_word_count": ("length_constraints:number_words", {"relation": "at least", "num_words": 100}, f"{WORDS} >= 100"),
     "if_word_range": ("length_constraints:word_range", {"min_words": 50, "max_words": 300}, f"{WORDS} between 50 and 300"),
-    "if_sentences": ("length_constraints:number_sentences", {"relation": "less than", "num_sentences": 20}, "len(regexp_extract_all(text, '[^.!?][.!?]')) < 20"),
+    "if_sentences": ("length_constraints:number_sentences", {"relation": "less than", "num_sentences": 20}, f"len({SENTENCES}) < 20"),
     "if_no_comma": ("punctuation:no_comma", {}, "not contains(text, ',')"),
     "if_placeholders": ("detectable_content:number_placeholders", {"num_placeholders": 1}, r"len(regexp_extract_all(text, '\[.*?\]')) >= 1"),
     "if_lowercase": ("change_case:lowercase", {}, "text = lower(text) and text <> upper(text)"),
     "if_quotation": ("startend:quotation", {}, f"length({STRIPPED.format(t='text')}) > 1 and starts_with({STRIPPED.format(t='text')}, '\"') and ends_with({STRIPPED.format(t='text')}, '\"')"),
-    "if_title": ("detectable_format:title", {}, r"regexp_matches(text, '<<[^\n]*[^\s<>][^\n]*>>')"),
+    "if_title": ("detectable_format:title", {}, r"len(list_filter(regexp_extract_all(text, '<<[^\n]+>>'), lambda x: trim(regexp_replace(x, '^<+|>+$', '', 'g')) <> '')) > 0"),
     "if_keywords": ("keywords:existence", {"words": ("the", "of")}, "regexp_matches(text, '(?i)the') and regexp_matches(text, '(?i)of')"),
     "if_keyword_frequency": ("keywords:frequency", {"keyword": "the", "relation": "at least", "frequency": 3}, "len(regexp_extract_all(text, '(?i)the')) >= 3"),
     "if_forbidden": ("keywords:forbidden_words", {"words": ("worthless", "der")}, r"not regexp_matches(text, '(?i)\b(?:worthless|der)\b')"),
@@ -130,6 +140,41 @@ def _register(key: str, name: str, kwargs: dict, sql: str) -> None:
         return _docs(spark, d, constraints.strict(name, t(), **kwargs).alias("followed"))
 
 
+PLAIN = f"translate(text, '{PUNCTUATION_SQL}', '')"
+SPLIT = r"list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')"
+PLAIN_WORDS, LOW_WORDS, RAW_WORDS = SPLIT.format(t=PLAIN), SPLIT.format(t=f"lower({PLAIN})"), SPLIT.format(t="text")
+BARE = r"regexp_replace({w}, '^[[:punct:] ]+|[[:punct:] ]+$', '', 'g')"
+#: Checks of the second family over whole texts: name, parameters, SQL.
+SECOND: dict[str, tuple[str, dict, str]] = {
+    "ifbench_word_range": ("count:word_count_range", {"min_words": 50, "max_words": 300}, f"{WORDS} between 50 and 300"),
+    "ifbench_unique_words": ("count:unique_word_count", {"N": 60}, f"len(list_distinct(list_transform({SPLIT.format(t='lower(text)')}, lambda w: {BARE.format(w='w')}))) >= 60"),
+    "ifbench_conjunctions": ("count:conjunctions", {"small_n": 2}, f"len(list_distinct(list_filter({RAW_WORDS}, lambda w: lower({BARE.format(w='w')}) in ('and', 'but', 'for', 'nor', 'or', 'so', 'yet')))) >= 2"),
+    "ifbench_numbers": ("count:numbers", {"N": 0}, f"len(regexp_extract_all({PLAIN}, '[0-9]+')) = 0"),
+    "ifbench_vowels": ("words:vowel", {}, f"not contains({STRIPPED.format(t='text')}, chr(10)) and len(list_distinct(regexp_extract_all(lower(text), '[aeiou]'))) <= 3"),
+    "ifbench_consonants": ("words:consonants", {}, f"len(list_filter({RAW_WORDS}, lambda w: not regexp_matches(lower(w), '[bcdfghjklmnpqrstvwxyz][bcdfghjklmnpqrstvwxyz]'))) = 0"),
+    "ifbench_primes": ("words:prime_lengths", {}, f"len(list_filter({PLAIN_WORDS}, lambda w: length(w) not in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71, 73, 79, 83, 89, 97))) = 0"),
+    "ifbench_newline": ("format:newline", {}, f"len(list_filter(string_split({STRIPPED.format(t=PLAIN)}, chr(10)), lambda x: x <> '')) = len({PLAIN_WORDS})"),
+    "ifbench_equal_sentences": ("ratio:sentence_words", {}, f"len({SENTENCES}) = 3 and len(list_distinct(list_transform({SENTENCES}, lambda s: length(s)))) = 1"),
+    "ifbench_sentence_types": ("ratio:sentence_type", {}, f"len(list_filter({SENTENCES}, lambda s: ends_with(s, '.'))) = 2 * len(list_filter({SENTENCES}, lambda s: ends_with(s, '?')))"),
+    "ifbench_separators": ("format:list", {"sep": "the"}, "(length(text) - length(replace(text, 'the', ''))) / 3 >= 2"),
+    "ifbench_sub_bullets": ("format:sub-bullets", {}, "len(list_filter(string_split(text, '*')[2:], lambda p: not contains(p, '-'))) = 0"),
+    "ifbench_repeats": ("words:repeats", {"small_n": 3}, f"coalesce(list_max(map_values(list_histogram({LOW_WORDS}))), 0) <= 3"),
+    "ifbench_consecutive": ("words:no_consecutive", {}, f"len(list_filter(range(1, len({LOW_WORDS})), lambda i: ({LOW_WORDS})[i][1] = ({LOW_WORDS})[i + 1][1])) = 0"),
+    "ifbench_whitespace": ("format:no_whitespace", {}, r"not regexp_matches(text, '\s')"),
+}
+
+
+def _register_second(key: str, name: str, kwargs: dict, sql: str) -> None:
+    @query(key, f"select item_id, {STRIPPED.format(t='text')} <> '' and ({sql}) as followed from benchmark where text is not null")
+    def followed(spark: SparkSession, d: str) -> DataFrame:
+        from tallywright.functions.ifbench import IFBENCH
+
+        return table(spark, d, "benchmark").where("text is not null").select("item_id", constraints.strict(name, t(), IFBENCH, **kwargs).alias("followed"))
+
+
+for _key, _check in SECOND.items():
+    _register_second(_key, *_check)
+
 for _key, _check in CHECKS.items():
     _register(_key, *_check)
 

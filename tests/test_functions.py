@@ -34,7 +34,7 @@ def test_votes(spark):
 def test_report_of_nothing(spark):
     empty = spark.createDataFrame([], "sample_id long, idx int, correct boolean, answer string, extracted boolean")
     r = metrics.sampling_report(empty, empty, 4, 2).first()
-    assert (r.requested, r.judged, r.pass_at_1, r.majority_at_k) == (0, 0, None, None)
+    assert (r.requested, r.judged, r.pass_at_1, r.majority_at_k) == (0, 0, 0.0, None)
 
 
 @pytest.mark.parametrize("seed", range(6))
