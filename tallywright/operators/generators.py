@@ -9,21 +9,23 @@ from pyspark.sql.window import Window
 from tallywright.operators.datasets import draw
 from tallywright.operators.ranking import positioned
 
-#: Buckets that rows are dealt into to be numbered.
-BUCKETS = 4096
+
+def drawn(*parts: Column | str) -> Column:
+    """A number below 2^32 drawn from the parts, the same everywhere: the first digits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
 def number_of(digits: int, *parts: Column) -> Column:
     """A number of so many digits, drawn from the parts."""
     low = 10 ** (digits - 1)
-    return (F.pmod(F.xxhash64(*parts), F.lit(9 * low)) + low).cast("string")
+    return (drawn(*parts) % (9 * low) + low).cast("string")
 
 
 def needles(spark: SparkSession, n: int, haystack: int, keys: int = 4, asked: int = 1, seed: int = 0) -> DataFrame:
     """(sample_id, input, outputs): ``keys`` needles at drawn depths among so many filler sentences; the first ``asked`` are asked for."""
     filler = F.lit("The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again.")
     ids = F.sequence(F.lit(0), F.lit(keys - 1))
-    rows = spark.range(n).select(F.col("id").alias("sample_id")).withColumn("needles", F.transform(ids, lambda i: F.struct((F.pmod(F.xxhash64(F.lit(seed), "sample_id", i), F.lit(haystack + 1))).alias("depth"), F.concat(F.lit("key-"), number_of(5, F.lit(seed), F.col("sample_id"), i)).alias("key"), number_of(7, F.lit(seed + 1), F.col("sample_id"), i).alias("value"))))
+    rows = spark.range(n).select(F.col("id").alias("sample_id")).withColumn("needles", F.transform(ids, lambda i: F.struct((drawn(F.lit(seed), "sample_id", i) % (haystack + 1)).alias("depth"), F.concat(F.lit("key-"), number_of(5, F.lit(seed), F.col("sample_id"), i)).alias("key"), number_of(7, F.lit(seed + 1), F.col("sample_id"), i).alias("value"))))
 
     def said(d: Column) -> Column:
         return F.transform(F.filter("needles", lambda x: x["depth"] == d), lambda x: F.concat(F.lit("One of the special magic numbers for "), x["key"], F.lit(" is: "), x["value"], F.lit(".")))
@@ -49,7 +51,8 @@ def chains(spark: SparkSession, n: int, num_chains: int = 2, hops: int = 4, seed
 
 def numbered(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds ``position``: the rows' places, from 0, in an order drawn by the seed."""
-    return positioned(rows, [], F.pmod(F.xxhash64(F.lit(seed), key), F.lit(BUCKETS)), [F.xxhash64(F.lit(seed + 1), key), key])
+    code = draw(seed, key)
+    return positioned(rows, [], F.substring(code, 1, 3), [code, F.col(key)])
 
 
 def common_words(words: DataFrame, n: int, common: int = 10, uncommon: int = 40, often: int = 30, seldom: int = 3, seed: int = 0) -> DataFrame:
@@ -61,7 +64,7 @@ def common_words(words: DataFrame, n: int, common: int = 10, uncommon: int = 40,
     n_drawn = min(total, common + uncommon)
     # Floyd's draw without repeats: of 0..j a place by hash, or j itself if that one is taken
     last = lambda i: F.lit(total - n_drawn) + i
-    place = lambda i: F.pmod(F.xxhash64(F.lit(seed), "sample_id", i), last(i) + 1)
+    place = lambda i: drawn(F.lit(seed), "sample_id", i) % (last(i) + 1)
     places = F.aggregate(F.sequence(F.lit(0), F.lit(n_drawn - 1)).cast("array<long>"), F.array().cast("array<long>"), lambda taken, i: F.array_append(taken, F.when(F.array_contains(taken, place(i)), last(i)).otherwise(place(i)))) if n_drawn else F.array().cast("array<long>")
     chosen = ids.withColumn("position", F.explode(places)).join(vocabulary, "position").withColumn("code", draw(seed, "sample_id", "word")).withColumn("rank", rank)
     copies = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("rank") <= common, F.lit(often)).otherwise(F.lit(seldom))))).withColumn("at", draw(seed, "sample_id", "word", "copy"))
@@ -90,7 +93,7 @@ def with_distractors(questions: DataFrame, documents: DataFrame, k: int, seed: i
     pool = numbered(documents.select("doc_id").where("doc_id is not null").distinct(), "doc_id", seed)
     total = pool.count()
     asked = questions.groupBy("sample_id", "gold").agg(F.count("*").alias("times")).withColumn("turns", F.sequence(F.lit(0), F.lit(min(k, total - 1))) if total else F.array().cast("array<int>"))
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), "sample_id"), F.lit(max(1, total)))
+    start = drawn(F.lit(seed + 2), "sample_id") % max(1, total)
     turned = asked.withColumn("turn", F.explode("turns")).select("sample_id", "gold", "turn", F.pmod(start + F.col("turn"), F.lit(max(1, total))).alias("position"))
     found = turned.join(pool, "position").where(~F.col("doc_id").eqNullSafe(F.col("gold"))).groupBy("sample_id", "gold").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "doc_id"))), 1, k).alias("some"))
     found = found.select(F.col("sample_id").alias("_id"), F.col("gold").alias("_gold"), F.transform("some", lambda x: x["doc_id"]).alias("some"))

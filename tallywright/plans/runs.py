@@ -146,29 +146,50 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return stages.ended(spark, f"{d}/events.parquet*", schema, stages.tumbling, f"{base}/out", f"{base}/state")
 
 
-@query("needle_samples")
+#: A draw and a name in SQL.
+DRAWN = "('0x' || substr(md5({x}), 1, 8))::ubigint"
+NAME = "translate(substr(md5('0:' || id || ':' || chain || ':' || {hop}), 1, 5), '0123456789abcdef', 'ABCDEFGHIJKLMNOP')"
+
+
+def _flat(df: DataFrame, column: str) -> DataFrame:
+    """The array as one text, so that every reader of results takes it for the same."""
+    return df.withColumn(column, F.array_join(F.col(column).cast("array<string>"), ","))
+
+
+@query("needle_samples", f"""with s as (select id, range(0, 4) as ks from range(100) r(id)), n as (select id, list_transform(ks, lambda i: {{'depth': {DRAWN.format(x="'0:' || id || ':' || i")} % 201, 'key': 'key-' || ({DRAWN.format(x="'0:' || id || ':' || i")} % 90000 + 10000), 'value': ({DRAWN.format(x="'1:' || id || ':' || i")} % 9000000 + 1000000)::varchar}}) as needles from s)
+  select id as sample_id, array_to_string(flatten(list_transform(range(0, 201), lambda d: list_transform(list_filter(needles, lambda x: x.depth = d), lambda x: 'One of the special magic numbers for ' || x.key || ' is: ' || x.value || '.') || case when d < 200 then ['The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again.'] else [] end)), chr(10))
+    || chr(10) || 'What are the special magic numbers for ' || needles[1].key || ' mentioned in the provided text?' as input, needles[1].value as outputs from n""")
 def needle_samples(spark: SparkSession, d: str) -> DataFrame:
-    return generators.needles(spark, 100, 200)
+    return _flat(generators.needles(spark, 100, 200), "outputs")
 
 
-@query("chain_samples")
+@query("chain_samples", f"""with e as (select id, chain, hop from range(100) r(id), range(2) c(chain), range(5) h(hop)), d as (select *, {NAME.format(hop='hop')} as name, {NAME.format(hop='(hop - 1)')} as was, ({DRAWN.format(x="'0:' || id || ':' || chain")} % 90000 + 10000)::varchar as value, md5('0:' || id || ':' || chain || ':' || hop) as code from e),
+  l as (select *, case when hop = 0 then 'VAR ' || name || ' = ' || value else 'VAR ' || name || ' = VAR ' || was end as line, list_sort(list(code) over (partition by id, chain))[hop + 1] as spot from d)
+  select id as sample_id, string_agg(line, chr(10) order by spot, line) as input, string_agg(name, ',' order by hop) filter (chain = 0) as outputs from l group by id""")
 def chain_samples(spark: SparkSession, d: str) -> DataFrame:
-    return generators.chains(spark, 100)
+    return _flat(generators.chains(spark, 100), "outputs")
 
 
-@query("common_word_samples")
+@query("common_word_samples", f"""with v as (select word, row_number() over (order by md5('0:' || word), word) - 1 as position from (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from benchmark)), t as (select count(*) as total, least(count(*), 50) as n from v),
+  f as (select id, list_reduce([[]::bigint[]] || list_transform(range(0, n), lambda i: [i]::bigint[]), lambda taken, x: list_append(taken, case when list_contains(taken, ({DRAWN.format(x="'0:' || id || ':' || x[1]")} % (total - n + x[1] + 1))::bigint) then total - n + x[1] else ({DRAWN.format(x="'0:' || id || ':' || x[1]")} % (total - n + x[1] + 1))::bigint end)) as places from range(20) r(id), t),
+  c as (select id, word, row_number() over (partition by id order by md5('0:' || id || ':' || word), word) as rank from (select id, unnest(places) as position from f) join v using (position)),
+  k as (select id, word, rank, copy, md5('0:' || id || ':' || word || ':' || copy) as spot from c, range(1, 31) s(copy) where copy <= case when rank <= 10 then 30 else 3 end), p as (select *, row_number() over (partition by id order by spot, word) as place from k)
+  select id as sample_id, string_agg(place || '. ' || word, ' ' order by place) as input, array_to_string(list_sort(list(distinct word) filter (rank <= 10)), ',') as outputs from p group by id""")
 def common_word_samples(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("word"))
-    return generators.common_words(words, 20)
+    return _flat(generators.common_words(words, 20), "outputs")
 
 
-@query("frequent_word_samples")
+@query("frequent_word_samples", """with e as (select id, r, case when r = 0 then '...' else translate(substr(md5('0:' || id || ':' || r), 1, 6), '0123456789abcdef', 'bcdfghjklmnpqrst') end as word, floor((600 / (select sum(1 / power(x + 1, 2.0)) from range(50) t(x))) / power(r + 1, 2.0))::int as k from range(50) s(id), range(50) v(r)),
+  c as (select id, r, word, copy, md5('0:' || id || ':' || r || ':' || copy) as spot from e, range(1, 1000) t(copy) where k > 0 and copy <= k) select id as sample_id, string_agg(word, ' ' order by spot, word) as input, (select string_agg(x.word, ',' order by x.r) from e x where x.id = c.id and x.r between 1 and 3 and x.k > 0) as outputs from c group by id""")
 def frequent_word_samples(spark: SparkSession, d: str) -> DataFrame:
-    return generators.frequent_words(spark, 50)
+    return _flat(generators.frequent_words(spark, 50), "outputs")
 
 
-@query("qa_samples")
+@query("qa_samples", f"""with pool as (select doc_id, row_number() over (order by md5('0:' || doc_id), doc_id) - 1 as position from (select distinct doc_id from documents)), t as (select count(*) as total from pool), q as (select doc_id as id from labels where quality = 1),
+  f as (select q.id, turn, pool.doc_id from q, t, range(5) r(turn), pool where pool.position = ({DRAWN.format(x="'2:' || q.id")} % total + turn) % total), o as (select id, list(doc_id order by turn) filter (doc_id <> id) as others from f group by id)
+  select id as sample_id, id as gold, array_to_string(list_transform(list_sort(list_transform([id] || others[1:4], lambda d: {{'code': md5('0:' || id || ':' || d), 'd': d}})), lambda x: x.d), ',') as context from o""")
 def qa_samples(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id")
     questions = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("gold"))
-    return generators.with_distractors(questions, docs, 4)
+    return _flat(generators.with_distractors(questions, docs, 4), "context")
