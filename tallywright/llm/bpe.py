@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallywright.llm.common import Recent
 
 #: Bytes of chunks between white space that a worker remembers the ids of; bytes of a text that are looked up at a time.
-REMEMBERED, PIECE_CHARS = 40 << 20, 1 << 20
+REMEMBERED, PIECE_CHARS = 24 << 20, 1 << 20
 
 #: Longest word, in bytes, whose tree shares an array with others; words in one array.
 SHORT, TOGETHER = 64, 8192

@@ -6,6 +6,9 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +67,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir[app]
 
 
+#: Folder, in the application's part of the shared folder, of what is settled now; scratch() sets another.
+_scope: ContextVar[str] = ContextVar("scope", default="tables")
+
+
+@contextmanager
+def scratch() -> Iterator[str]:
+    """Tables that are settled inside go to a folder of their own, whose name it gives; release() deletes it."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    token = _scope.set(name)
+    try:
+        yield name
+    finally:
+        _scope.reset(token)
+
+
+def _own_dir(spark: SparkSession, scope: str) -> str:
+    return f"{shared_dir(spark)}/tallywright/{spark.sparkContext.applicationId}/{scope}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in this application's part of the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/tallywright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark, _scope.get())}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -85,18 +107,10 @@ def reclaim(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def release(spark: SparkSession, *keep: str) -> None:
-    """Deletes the tables that this application has settled, but for those whose name begins with one of ``keep``.
-
-    Call it once what was made of them has been written.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    top = hadoop(f"{shared_dir(spark)}/tallywright/{spark.sparkContext.applicationId}")
-    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if system.exists(top):
-        for status in system.listStatus(top):
-            if not status.getPath().getName().startswith(keep or ("\0",)):
-                system.delete(status.getPath(), True)
+def release(spark: SparkSession, scope: str) -> None:
+    """Deletes the tables that were settled in a scratch folder, once what was made of them has been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark, scope))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucket_of(*cols: Column | str, buckets: int = BUCKETS) -> Column:

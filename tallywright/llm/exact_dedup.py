@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywright.llm.common import BUCKETS, bucket_of, settle
+from tallywright.llm.common import BUCKETS, bucket_of, reclaim, settle
 
 BLOCK_BYTES = 4096
 
@@ -47,6 +47,7 @@ def _block_names(blocks: DataFrame) -> DataFrame:
     again = F.count("*").over(Window.partitionBy("_part", "h")) > 1
     named = _named(blocks.select("h", "block").distinct(), ["block"], "h").withColumn("_part", bucket_of("h")).withColumn("again", again)
     names = settle(named.select("h", "name", "again", F.when(F.col("again"), F.col("block")).alias("block")), "exact-names")
+    reclaim(blocks.sparkSession)
     plain = names.where("not again").select("h", "name")
     twins = names.where("again")
     if twins.isEmpty():

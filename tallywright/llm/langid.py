@@ -30,7 +30,7 @@ UNKNOWN = "und"
 SPREAD = 0.05
 
 #: Bytes of chunks of text that a worker remembers the scores of; characters of text that are looked up at a time.
-REMEMBERED, PIECE_CHARS = 32 << 20, 1 << 20
+REMEMBERED, PIECE_CHARS = 16 << 20, 1 << 20
 
 #: Least score that identified() keeps.
 LEAST_SCORE = 0.5

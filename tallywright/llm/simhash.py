@@ -24,7 +24,7 @@ BITS, WORDS, LINK_BITS, SEED = 64, 4, 4, 42
 
 #: What drop_near_copies() takes for near: a Jaccard similarity of the sets of five-word shingles. Pairs of fingerprints within so
 #: many bits are looked at first; shared rare shingles find the others.
-NEAR_WORDS, NEAR_BITS, NEAR_JACCARD = 5, 6, 0.8
+NEAR_WORDS, NEAR_BITS, NEAR_JACCARD = 5, 4, 0.8
 
 #: Fingerprints that the grouping of bits and the cost estimates are fitted on; results don't depend on them.
 SAMPLE = 2048
@@ -32,6 +32,9 @@ SAMPLE = 2048
 #: Documents in which common shingles are counted, and how many of those are told to all workers; results don't depend on them.
 SAMPLE_DOCS, SAMPLE_COMMON = 4096, 1 << 16
 
+#: Fingerprints for which the cheapest grouping is sought, whatever their number: each one is looked for as often in any table.
+NOMINAL = 1 << 20
+
 #: Costs in units of a probe's row: comparing a candidate.
 CANDIDATE_COST = 0.05
 
@@ -167,9 +170,8 @@ def _probed(prints: DataFrame, limit: int, sample: int) -> tuple[DataFrame, Data
 
     Any two fingerprints within the limit meet: one of them is looked for where the other is stored.
     """
-    n = prints.count()
     some = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp")).limit(sample).collect()], dtype=np.int64).view(np.uint64)
-    groups = allocate(some, n, limit)
+    groups = allocate(some, NOMINAL, limit)
     values = [lambda fp, i=i, mask=_all(g): F.struct(F.lit(i).alias("part"), fp.bitwiseAND(F.lit(mask)).alias("value")) for i, (g, _) in enumerate(groups)]
     own = [value(F.col("fp")) for value in values]
     flips = [F.transform(F.array(*[F.lit(m) for m in _masks(g, t)]), lambda m: value(F.col("fp").bitwiseXOR(m))) for value, (g, t) in zip(values, groups, strict=True)]  # noqa: B023
