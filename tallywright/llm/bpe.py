@@ -17,10 +17,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Recent
+from tallywright.llm.common import Recent, in_slices
 
 #: Bytes of chunks between white space that a worker remembers the ids of; bytes of a text that are looked up at a time.
-REMEMBERED, PIECE_CHARS = 24 << 20, 1 << 20
+REMEMBERED, PIECE_CHARS = 16 << 20, 1 << 20
 
 #: Longest word, in bytes, whose tree shares an array with others; words in one array.
 SHORT, TOGETHER = 64, 8192
@@ -267,9 +267,13 @@ def both_ways(text: Column, tokenizer: str) -> Column:
     @F.arrow_udf("ids array<int>, decoded string")
     def of(texts: pa.Array) -> pa.Array:
         model = _model(tokenizer)
-        parts = model.encode_all([t.as_py() or "" for t in texts])
-        decoded = pa.array([model.decode(np.frombuffer(p, dtype="<i4").tolist()) for p in parts], pa.string())
-        return pa.StructArray.from_arrays([_lists(parts), decoded], ["ids", "decoded"])
+
+        def some(texts: list[str | None]) -> pa.Array:
+            parts = model.encode_all([t or "" for t in texts])
+            decoded = pa.array([model.decode(np.frombuffer(p, dtype="<i4").tolist()) for p in parts], pa.string())
+            return pa.StructArray.from_arrays([_lists(parts), decoded], ["ids", "decoded"])
+
+        return in_slices(texts, some)
 
     return of(text)
 

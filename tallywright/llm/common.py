@@ -6,10 +6,11 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +55,15 @@ class Recent:
         self.held += self.AROUND * len(values) + sum(map(len, values)) + sum(map(len, values.values()))
 
 
+def in_slices(texts: pa.Array, work: Callable[[list[str | None]], pa.Array], rows: int = 512) -> pa.Array:
+    """``work`` of an Arrow batch, so many rows at a time, and without what the memory pool holds on to afterwards: workers stay small."""
+    parts = [work(texts.slice(i, rows).to_pylist()) for i in range(0, len(texts), rows)] or [work([])]
+    out = parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+    del parts
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, which only a local master may use."""
     path = spark.conf.get("spark.checkpoint.dir", None)

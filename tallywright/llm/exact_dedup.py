@@ -1,8 +1,7 @@
 """Exact duplicates by deterministic block naming.
 
-Each text is cut into fixed-size blocks of bytes. The distinct blocks are dealt into buckets by a hash and sorted there; bucket and
-rank become the block's integer name. Then adjacent pairs of names are named the same way, level by level, until every document has
-one name. Two documents have the same (level, name) if and only if their texts are identical. A row is known by its id and the SHA-256
+Each text is cut into fixed-size blocks of bytes. The distinct blocks are dealt out by a hash and sorted; their places become the
+blocks' integer names. Then adjacent pairs of names are sorted and named, level by level, until every document has one name. Two documents have the same (level, name) if and only if their texts are identical. A row is known by its id and the SHA-256
 of its text, so that rows of one id with different texts stay apart.
 """
 
@@ -21,13 +20,9 @@ def _hash(col: str) -> Column:
     return F.xxhash64(col)
 
 
-def _named(distinct: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
-    """Adds ``name``: the row's rank in sorted order of the columns inside a bucket, interleaved with the bucket.
-
-    It is a function of the distinct rows alone. A bucket is a hash's value (of ``by``, or of the columns): it deals rows out evenly,
-    and the sort inside it decides.
-    """
-    dealt = distinct.withColumn("_bucket", bucket_of(*([by] if by else cols)))
+def _named(distinct: DataFrame, cols: list[str]) -> DataFrame:
+    """Adds ``name``: the row's rank in sorted order of the columns inside a bucket of their hash, interleaved with the bucket; a function of the distinct rows alone."""
+    dealt = distinct.withColumn("_bucket", bucket_of(*cols))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*cols)).cast("long")
     return dealt.withColumn("name", rank * BUCKETS + F.col("_bucket")).drop("_bucket")
 
@@ -39,22 +34,21 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _block_names(blocks: DataFrame) -> DataFrame:
-    """(doc, n, pos, name) of the first level: the distinct blocks are sorted, and their ranks are the names.
+    """(doc, n, pos, name) of the first level: the distinct blocks are shuffled once and sorted, and their places are the names.
 
-    Contents are shuffled for that alone. Blocks get their names by a hash of their content where no other content has that hash;
-    where one does, which the sorted blocks show, by the content itself.
+    A place is partition and rank in it, fixed when the names are written. Blocks find their names by a hash of their content; where
+    contents share a hash they get names below zero and are found by content.
     """
-    again = F.count("*").over(Window.partitionBy("_part", "h")) > 1
-    named = _named(blocks.select("h", "block").distinct(), ["block"], "h").withColumn("_part", bucket_of("h")).withColumn("again", again)
-    names = settle(named.select("h", "name", "again", F.when(F.col("again"), F.col("block")).alias("block")), "exact-names")
+    place = F.monotonically_increasing_id()
+    names = settle(blocks.select("h", "block").distinct().sortWithinPartitions("block").select("h", place.alias("name")), "exact-names")
     reclaim(blocks.sparkSession)
-    plain = names.where("not again").select("h", "name")
-    twins = names.where("again")
+    twins = names.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     if twins.isEmpty():
-        return blocks.drop("block").join(plain, "h").select("doc", "n", "pos", "name")
-    twins = settle(twins.select("h", "block", "name"), "exact-twins")
-    alone = blocks.join(twins.select("h").distinct(), "h", "left_anti").drop("block").join(plain, "h").select("doc", "n", "pos", "name")
-    return alone.union(blocks.join(twins, ["h", "block"]).select("doc", "n", "pos", "name"))
+        return blocks.drop("block").join(names, "h").select("doc", "n", "pos", "name")
+    twins = settle(twins, "exact-twins")
+    contents = settle(blocks.join(twins, "h", "left_semi").select("h", "block").distinct().sortWithinPartitions("block").select("h", "block", (-1 - place).alias("name")), "exact-contents")
+    alone = blocks.join(twins, "h", "left_anti").drop("block").join(names, "h").select("doc", "n", "pos", "name")
+    return alone.union(blocks.join(contents, ["h", "block"]).select("doc", "n", "pos", "name"))
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

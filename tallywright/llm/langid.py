@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Recent, held_out
+from tallywright.llm.common import Recent, held_out, in_slices
 
 #: The model is fitted on so many labelled documents of each language at most (on average; a hash picks them). This bounds what is
 #: collected and broadcast; all words and n-grams of the sample are kept, however rare.
@@ -30,7 +30,7 @@ UNKNOWN = "und"
 SPREAD = 0.05
 
 #: Bytes of chunks of text that a worker remembers the scores of; characters of text that are looked up at a time.
-REMEMBERED, PIECE_CHARS = 16 << 20, 1 << 20
+REMEMBERED, PIECE_CHARS = 8 << 20, 1 << 20
 
 #: Least score that identified() keeps.
 LEAST_SCORE = 0.5
@@ -228,9 +228,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
         raise ValueError(f"docs has a column {out} already; choose another name for the result")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(shared.value.documents(list(texts)), columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def of(texts: pa.Array) -> pa.Array:
+        def some(texts: list[str | None]) -> pa.Array:
+            found = shared.value.documents(texts)
+            return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
+
+        return in_slices(texts, some)
 
     return docs.withColumn(out, of(F.col(text_col)))
 
