@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from tallywright.llm import attention_quality, bpe, curriculum, exact_dedup, langid, licenses, sharding, simhash, token_files, vector_graph
+from tallywright.llm import attention_quality, bpe, curriculum, exact_dedup, fingerprints, hard_negatives, langid, licenses, sharding, simhash, token_files, vector_codes, vector_graph
 from tallywright.llm.common import documents, fresh_path, held_out
 
 
@@ -72,6 +72,22 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ball_kmeans_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return vector_codes.label_errors(coded).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def op12_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+def op13_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.hard_negatives(vectors, lambda vec_id: vec_id % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_label_propagation_shards": op2_label_propagation_shards,
@@ -83,9 +99,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pruned_graph_vectors": op8_pruned_graph_vectors,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_license_rules": op10_license_rules,
+    "op11_ball_kmeans_codes": op11_ball_kmeans_codes,
+    "op12_bottom_k_fingerprints": op12_bottom_k_fingerprints,
+    "op13_kronecker_negatives": op13_kronecker_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
+
+def _codes_sql() -> str:
+    """The rounds of op11 one below the other, each comparing every part with every entry."""
+    assign = """
+        a{r} as materialized (
+          select vec_id, part, min(struct_pack(d := list_sum(list_transform(list_zip(x, y), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), e := entry)) as best
+          from p join c{r} using (part) group by vec_id, part)"""
+    move = """,
+        m{r} as (
+          select part, entry, list(cast(floor(s / n) as bigint) order by k) as z from (
+            select part, a.best.e as entry, k, cast(sum(x[k]) as double) as s, count(*) as n
+            from a{r} a join p using (vec_id, part), range(1, 17) as ks(k) group by all) group by part, entry),
+        c{n} as materialized (select part, entry, coalesce(z, y) as y from c{r} left join m{r} using (part, entry)),"""
+    rounds = "".join(assign.format(r=r) + move.format(r=r, n=r + 1) for r in range(4)) + assign.format(r=4)
+    return f"""
+        with k as materialized (
+          select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+          where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        p as materialized (select vec_id, part, list_slice(v, part * 16 + 1, part * 16 + 16) as x from k, range(4) as ps(part)),
+        seeds as (select vec_id, row_number() over (order by vec_id) - 1 as entry from k),
+        c0 as materialized (select part, entry, x as y from p join seeds using (vec_id) where entry < 256),{rounds},
+        e as (select vec_id, string_agg(lower(printf('%02x', best.e)), '' order by part) as code, cast(sum(best.d) as bigint) as error from a4 group by vec_id),
+        h as (select sha256(string_agg(array_to_string(y, ','), ',' order by part, entry)) as codebooks_sha256 from c4)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from e join k using (vec_id), h"""
+
 ORACLE: dict[str, str] = {
     "op5_block_naming_dedup": """
         with d as (select doc_id, coalesce(text, '') as t from documents)
@@ -114,4 +158,19 @@ ORACLE: dict[str, str] = {
                  else case when (before + size / 2) / target < 0.4375 / 1.0625
                    then 2 * 1.0625 * ((before + size / 2) / target) / (0.5 + sqrt(0.25 + 3 * 1.0625 * ((before + size / 2) / target)))
                    else 0.5 + (((before + size / 2) / target) * 1.0625 - 0.4375) / 1.25 end end, 6) end as position from p""",
+    "op11_ball_kmeans_codes": _codes_sql(),
+    "op13_kronecker_negatives": """
+        with v as materialized (
+          select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                 list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+          where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as materialized (
+          select a.vec_id as anchor_id, a.label as anchor_label, o.vec_id, o.label, cast(list_inner_product(a.v, o.v) as bigint) as score
+          from v a, v o where a.vec_id % 100 = 0 and a.vec_id <> o.vec_id),
+        p as (
+          select anchor_id, vec_id as positive_id, score as positive_score from s where label = anchor_label
+          qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select anchor_id, positive_id, cast(row_number() over w as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+        from p join s using (anchor_id) where label <> anchor_label and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+        window w as (partition by anchor_id, positive_id order by score desc, vec_id) qualify row_number() over w <= 10""",
 }
