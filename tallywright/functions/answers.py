@@ -14,8 +14,9 @@ from tallywright.functions.constraints import literal
 from tallywright.functions.text import PUNCTUATION, exact_match_form, strict_number
 from tallywright.functions.words import stripped
 
-#: Levels of braces that balanced patterns follow.
-DEPTH = 8
+#: Levels of braces that balanced patterns follow. In texts with more of them, braces inside are masked before (``shallow``).
+DEPTH = 12
+MASKS = "\ufdd0\ufdd1"
 
 
 @cache
@@ -27,6 +28,25 @@ def balanced(depth: int = DEPTH) -> str:
     return inner
 
 
+def shallow(t: Column) -> Column:
+    """The text with pairs of braces masked from the inside until patterns can follow those that are left; ``unmasked`` undoes it.
+
+    Braces that open a box are never masked, so boxes are found as if patterns followed any depth; only boxes within boxes stay.
+    Most texts have fewer braces than DEPTH and are taken as they are.
+    """
+    opened = F.length(t) - F.length(F.replace(t, F.lit("{"), F.lit("")))
+    levels = F.aggregate(
+        F.regexp_extract_all(t, F.lit("[{}]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, b: F.struct(F.greatest(s["now"] + F.when(b == "{", 1).otherwise(-1), F.lit(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(b == "{", 1).otherwise(0)).alias("most")),
+    )["most"]
+    masked = F.aggregate(F.sequence(F.lit(1), levels), t, lambda s, _: F.regexp_replace(s, r"(?<!boxed|fbox)\{([^{}]*)\}", f"{MASKS[0]}$1{MASKS[1]}"))
+    return F.when(opened <= DEPTH, t).when(levels <= DEPTH, t).otherwise(masked)
+
+
+def unmasked(t: Column) -> Column:
+    return F.translate(t, MASKS, "{}")
+
+
 def last_of(t: Column, pattern: str, group: int = 1) -> Column:
     """What the group holds in the last match; null without a match."""
     return F.try_element_at(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), F.lit(-1))
@@ -76,6 +96,7 @@ def last_box(t: Column, many: Column | bool = False) -> Column:
 
     With ``many`` all boxes of the last line that has some count, joined by commas unless one of them holds a list itself.
     """
+    t = shallow(t)
     every = boxes(t)
     last, before = F.try_element_at(every, F.lit(-1)), F.slice(every, F.lit(1), F.greatest(F.size(every) - 1, F.lit(0)))
     prefix = stripped(F.regexp_replace(last, rf"(?s)(?:{APPROXIMATE}).*", ""))
@@ -87,7 +108,7 @@ def last_box(t: Column, many: Column | bool = False) -> Column:
     line = F.try_element_at(F.filter(F.transform(F.split(t, "\n"), boxes), lambda b: F.size(b) > 0), F.lit(-1))
     joined = F.when(F.exists(line, lambda b: b.contains(",")), F.try_element_at(line, F.lit(-1))).otherwise(F.array_join(line, ","))
     many = F.lit(many) if isinstance(many, bool) else many
-    return stripped(unboxed(F.when(many & (F.size(every) > 1) & line.isNotNull(), joined).otherwise(chosen)))
+    return unmasked(stripped(unboxed(F.when(many & (F.size(every) > 1) & line.isNotNull(), joined).otherwise(chosen))))
 
 
 def last_whole_number(t: Column) -> Column:
@@ -182,12 +203,12 @@ def _right_of_equals(t: Column) -> Column:
 
 def cloze_answer(t: Column) -> Column:
     """The last box; else what stands between dollars; else what is right of the last =; else the last number. Null without any."""
-    text = without_example_prefix(t)
+    text = shallow(without_example_prefix(t))
     boxed = _right_of_equals(last_of(text, rf"(?:\\boxed)\{{({balanced()})\}}"))
     dollars = F.nullif(_right_of_equals(last_of(text, r"(?d)\$(.*)\$")), F.lit(""))
     right = F.substring_index(F.regexp_replace(_right_of_equals(text), r"\.+\z", ""), "\\", 1)
     bare = F.when(text.contains("="), right).otherwise(last_of(text, r"((?:\$)?\d+(?:\.\d+)?(?![\p{L}\p{N}_]))"))
-    return F.nullif(F.when(text.contains("\\boxed"), boxed).otherwise(F.coalesce(dollars, bare)), F.lit(""))
+    return unmasked(F.nullif(F.when(text.contains("\\boxed"), boxed).otherwise(F.coalesce(dollars, bare)), F.lit("")))
 
 
 def first_capital(t: Column) -> Column:
@@ -255,13 +276,14 @@ def program_output(t: Column) -> Column:
 
 def stated_answer(t: Column) -> Column:
     """A stated final answer; else the last box, what follows 'he answer is', a program's output, or the last number."""
+    t = shallow(t)
     final = F.when(t.contains("final answer is $") & t.contains("$. I hope"), stripped(F.regexp_extract(t, r"(?s)final answer is \$(.*?)\$\. I hope", 1)))
     boxed = F.concat(F.regexp_extract(t, rf"(?s).*boxed\{{({balanced()})\}}(?:%?)", 1), F.when(t.rlike(rf"(?s).*boxed\{{{balanced()}\}}%"), "}").otherwise(""))
     said = F.when(t.contains("boxed"), boxed).when(t.contains("he answer is"), stripped(after_last(t, "he answer is")))
     number = last_of(F.replace(t, F.lit(","), F.lit("")), f"({NUMBER})")
     found = F.coalesce(final, said, F.nullif(program_output(t), F.lit("")), number, F.lit(""))
     line = F.substring_index(stripped(found), "\n", 1)
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(line, "^:+", ""), r"\.+$", ""), "/+$", "")
+    return unmasked(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, "^:+", ""), r"\.+$", ""), "/+$", ""))
 
 
 # slots
@@ -285,14 +307,14 @@ def plain_answer(t: Column) -> Column:
 
 def slot_answer(t: Column) -> Column:
     """The last box; else the paragraph behind the last announcement. Null without either, and if a box is empty."""
-    box = last_of(t, rf"\\(?:boxed|fbox)[^{{]*\{{({balanced()})\}}")
+    box = last_of(shallow(t), rf"\\(?:boxed|fbox)[^{{]*\{{({balanced()})\}}")
     low = F.lower(t)
     prose = []
     for m in MARKERS:
         at = F.length(low) - F.length(after_last(low, m)) + 1
         tail = F.regexp_replace(stripped(F.substring_index(stripped(F.substring(t, at, F.length(t))), "\n\n", 1)), r"\.+\z", "")
         prose.append(F.when(low.contains(m), F.nullif(plain_answer(tail), F.lit(""))))
-    return F.when(box.isNotNull(), F.nullif(plain_answer(box), F.lit(""))).otherwise(F.coalesce(*prose))
+    return F.when(box.isNotNull(), F.nullif(plain_answer(unmasked(box)), F.lit(""))).otherwise(F.coalesce(*prose))
 
 
 def slots(t: Column) -> Column:

@@ -1,12 +1,12 @@
 """Equality of mathematical answers: canonical forms as columns, and values of expressions where forms differ.
 
-Expressions are read as syntax trees of numbers, names and a few functions; nothing is executed. Where both have free names they
-count as equal if they agree at fixed points. This stands in for a computer algebra system.
+Expressions are numbers, names and a few functions; nothing is executed, and neither length nor depth is bounded. Equality is exact
+(``algebra``) where expressions are quotients of sums of products, powers and roots; with other functions they also count as equal
+if they agree at fixed points, and numbers that are written as decimals if they are close.
 """
 
 from __future__ import annotations
 
-import ast
 import cmath
 import math
 import re
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallywright.functions import algebra
 from tallywright.functions.words import stripped
 
 # canonical forms
@@ -79,10 +80,10 @@ FUNCTIONS = {
     "tanh": cmath.tanh, "exp": cmath.exp, "ln": cmath.log, "log": cmath.log, "log10": cmath.log10, "sqrt": cmath.sqrt, "abs": abs, "sec": lambda x: 1 / cmath.cos(x), "csc": lambda x: 1 / cmath.sin(x), "cot": lambda x: 1 / cmath.tan(x),
 }
 CONSTANTS = {"pi": math.pi, "e": math.e, "i": 1j, "inf": math.inf}
+_NAMES = sorted([n for n in (*FUNCTIONS, *CONSTANTS) if len(n) > 1], key=len, reverse=True)
 
-#: Places at which expressions with free names are compared, and what is allowed in an expression.
+#: Places at which expressions with free names are compared if they hold functions.
 POINTS = (0.37, 0.73, 1.29, 1.61, 1.93)
-MOST_NODES, MOST_POWER, MOST_CHARS = 200, 1000.0, 500
 
 
 def readable(latex: str) -> str:
@@ -118,55 +119,50 @@ def readable(latex: str) -> str:
 
 def _split_name(token: str) -> list[str]:
     """A name that stands for no function or constant is a product of its letters."""
-    if not token[0].isalpha() or token in FUNCTIONS or token in CONSTANTS or len(token) == 1:
-        return [token]
-    for name in sorted([*FUNCTIONS, *CONSTANTS], key=len, reverse=True):
-        if len(name) > 1 and token.startswith(name):
-            return [name, *(_split_name(token[len(name) :]) if token[len(name) :] else [])]
-    return [token[0], *_split_name(token[1:])]
-
-
-def value(node: ast.AST, names: dict[str, complex]) -> complex | tuple:
-    """The value of a parsed expression; ValueError for anything but numbers, names, arithmetic and the known functions."""
-    match node:
-        case ast.Expression():
-            return value(node.body, names)
-        case ast.Constant(value=int() | float() as v) if not isinstance(v, bool):
-            return complex(v)
-        case ast.Name(id=name) if name in names or name in CONSTANTS:
-            return complex(names.get(name, CONSTANTS.get(name, 0)))
-        case ast.Tuple() | ast.List():
-            return tuple(value(x, names) for x in node.elts)
-        case ast.UnaryOp(op=ast.USub()):
-            return -value(node.operand, names)
-        case ast.UnaryOp(op=ast.UAdd()):
-            return value(node.operand, names)
-        case ast.Call(func=ast.Name(id=name), args=[arg], keywords=[]) if name in FUNCTIONS:
-            return complex(FUNCTIONS[name](value(arg, names)))
-        case ast.BinOp():
-            a, b = value(node.left, names), value(node.right, names)
-            match node.op:
-                case ast.Add():
-                    return a + b
-                case ast.Sub():
-                    return a - b
-                case ast.Mult():
-                    return a * b
-                case ast.Div():
-                    return a / b
-                case ast.Pow() if abs(b) <= MOST_POWER and abs(a) <= 1e12:
-                    return a**b
-    raise ValueError("not an expression that can be read")
+    out = []
+    while token:
+        known = next((n for n in _NAMES if token.startswith(n)), token[0]) if token[0].isalpha() and token not in FUNCTIONS and token not in CONSTANTS else token
+        out.append(known)
+        token = token[len(known) :]
+    return out
+
+
+class Floats:
+    """Arithmetic of complex numbers, with values for names."""
+
+    def __init__(self, names: dict[str, complex]):
+        self.names = names
+
+    def number(self, text: str) -> complex:
+        return complex(float(text))
+
+    def name(self, name: str) -> complex:
+        if name not in self.names and name not in CONSTANTS:
+            raise ValueError(f"no value for {name}")
+        return complex(self.names.get(name, CONSTANTS.get(name, 0)))
+
+    def call(self, name: str, x: complex) -> complex:
+        return complex(FUNCTIONS[name](x))
+
+    def negative(self, x: complex) -> complex:
+        return -x
+
+    def binary(self, op: str, x: complex, y: complex) -> complex:
+        if op == "**":
+            try:
+                return x**y
+            except OverflowError:
+                raise ValueError("too large a power") from None
+        return x + y if op == "+" else x - y if op == "-" else x * y if op == "*" else x / y
 
 
 def evaluated(text: str, names: dict[str, complex] | None = None) -> complex | tuple:
     """The value of an expression as it is written, without reading it as LaTeX first."""
-    if len(text) > MOST_CHARS:
-        raise ValueError("too long")
-    tree = ast.parse(text, mode="eval")
-    if sum(1 for _ in ast.walk(tree)) > MOST_NODES:
-        raise ValueError("too large")
-    return value(tree, names or {})
+    return algebra.computed(text, Floats(names or {}))
+
+
+#: What reading or computing an expression may raise if it is none, or has no value.
+UNREADABLE = (ValueError, ArithmeticError)
 
 
 def number(text: str | None) -> float | None:
@@ -174,34 +170,97 @@ def number(text: str | None) -> float | None:
     try:
         found = evaluated(readable(text or ""))
         return found.real if isinstance(found, complex) and abs(found.imag) < 1e-12 and math.isfinite(found.real) else None
-    except (ValueError, SyntaxError, ArithmeticError, RecursionError, MemoryError, TypeError):
+    except UNREADABLE:
         return None
 
 
 def same_function(a: str, b: str, tolerance: float = 1e-6) -> bool:
-    """Whether two expressions agree wherever both can be had, at three fixed points at least; names stand for the same in both."""
+    """Whether two expressions are equal; names stand for the same in both.
+
+    Fractions without decimals are equal only exactly. Other numbers may differ by the tolerance. Expressions with names are equal
+    exactly or, if they hold functions, wherever both can be had, at three fixed points at least.
+    """
+    left, right = readable(a), readable(b)
+    free = sorted({t for t in re.findall(r"[a-zA-Z][a-zA-Z0-9]*", f"{left} {right}") if t not in FUNCTIONS and t not in CONSTANTS})
     try:
-        left, right = readable(a), readable(b)
-        free = sorted({t for t in re.findall(r"[a-zA-Z][a-zA-Z0-9]*", f"{left} {right}") if t not in FUNCTIONS and t not in CONSTANTS})
-        agreed = 0
-        for k, point in enumerate(POINTS if free else POINTS[:3]):
-            at = {name: point + 0.11 * i + 0.03 * k for i, name in enumerate(free)}
-            try:
-                x, y = evaluated(left, at), evaluated(right, at)
-            except ArithmeticError:
-                continue
-            if isinstance(x, tuple) or isinstance(y, tuple):
-                return False
-            if not (cmath.isfinite(x) and cmath.isfinite(y)):
-                if not free:
-                    return x == y
-                continue
-            if abs(x - y) > tolerance * max(1.0, abs(x), abs(y)):
-                return False
-            agreed += 1
-        return agreed >= 3
-    except (ValueError, SyntaxError, RecursionError, MemoryError, TypeError):
-        return False
+        x, y = algebra.computed(left, algebra.FIELD), algebra.computed(right, algebra.FIELD)
+        if isinstance(x, tuple) or isinstance(y, tuple):
+            return False
+        if algebra.identical(x, y):
+            return True
+        if free and not (x.opaque or y.opaque) or x.fraction is not None and y.fraction is not None and "." not in left + right:
+            return False
+    except UNREADABLE:
+        pass  # infinity and quotients by zero have no value there
+    agreed = 0
+    for k, point in enumerate(POINTS if free else POINTS[:3]):
+        at = {name: point + 0.11 * i + 0.03 * k for i, name in enumerate(free)}
+        try:
+            x, y = evaluated(left, at), evaluated(right, at)
+        except ArithmeticError:
+            continue
+        except ValueError:
+            return False
+        if isinstance(x, tuple) or isinstance(y, tuple):
+            return False
+        if not (cmath.isfinite(x) and cmath.isfinite(y)):
+            if not free:
+                return x == y
+            continue
+        if abs(x - y) > tolerance * max(1.0, abs(x), abs(y)):
+            return False
+        agreed += 1
+    return agreed >= 3
+
+
+def same_equation(a: tuple[str, str], b: tuple[str, str]) -> bool:
+    """Whether two equations are the same but for a factor: exactly, or at fixed points but for the sign."""
+    one, other = f"({a[0]})-({a[1]})", f"({b[0]})-({b[1]})"
+    try:
+        x, y = (algebra.computed(readable(t), algebra.FIELD) for t in (one, other))
+        if not isinstance(x, tuple) and not isinstance(y, tuple) and algebra.same_zeros(x, y):
+            return True
+    except UNREADABLE:
+        pass
+    return same_function(one, other) or same_function(f"-({one})", other)
+
+
+def key(answer: str) -> str:
+    """A text that is the same for equal answers: fractions as such, other exact values by their place in the field, equations but for a factor.
+
+    Numbers with functions are rounded to ten digits, lists have the keys of their parts, and what can't be read is its own key.
+    """
+    sides = answer.split("=")
+    if len(sides) == 2 and all(s.strip() for s in sides):
+        if len(sides[0].strip()) <= 2:
+            return key(sides[1])
+        try:
+            found = algebra.computed(readable(f"({sides[0]})-({sides[1]})"), algebra.FIELD)
+            return answer if isinstance(found, tuple) else f"={algebra.ratio_key(found)}"
+        except UNREADABLE:
+            return answer
+    text = readable(answer)
+    try:
+        found = algebra.computed(text, algebra.FIELD)
+        if isinstance(found, tuple):
+            return ",".join(_flat(found))
+        if not found.opaque:
+            return found.key()
+    except UNREADABLE:
+        found = None
+    value = number(answer)
+    return f"{value:.10g}" if value is not None else found.key() if found else answer
+
+
+def _flat(items: tuple) -> list[str]:
+    out, todo = [], [items]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            todo += [")", *reversed(x), "("]
+        else:
+            out.append(x if isinstance(x, str) else x.key())
+    return out
 
 
 def _plain_number(text: str) -> float | None:
@@ -223,7 +282,7 @@ def _matrix(text: str) -> list[list[str]] | None:
     return [row.split("&") for row in text[15:-13].split("\\\\") if row.strip()]
 
 
-def equal(prediction: str | None, truth: str | None, percent: bool = True, depth: int = 4) -> bool:
+def equal(prediction: str | None, truth: str | None, percent: bool = True) -> bool:
     """Equal as texts, numbers (a hundredth or hundred times as much too, if ``percent``), tuples, matrices, equations or expressions."""
     if prediction is None or truth is None:
         return False
@@ -233,22 +292,23 @@ def equal(prediction: str | None, truth: str | None, percent: bool = True, depth
     if a is not None and b is not None:
         return any(math.isclose(x, a, abs_tol=1e-3) for x in ((b / 100, b, b * 100) if percent else (b,)))
     prediction, truth = prediction.strip(), truth.strip()
-    if not prediction or depth == 0:
+    if not prediction:
         return False
+    while (p := _parts(prediction)) and (q := _parts(truth)) and len(p) == len(q) == 1 and not same_function(prediction, truth):
+        prediction, truth = p[0], q[0]
     pieces = [(_parts(prediction), _parts(truth))]
     if (p := _matrix(prediction)) is not None and (q := _matrix(truth)) is not None and [len(r) for r in p] == [len(r) for r in q]:
         pieces.append((sum(p, []), sum(q, [])))
     for p, q in pieces:
-        if p and q and len(p) == len(q) and all(equal(x, y, percent, depth - 1) for x, y in zip(p, q, strict=True)):
+        if p and q and len(p) == len(q) and all(equal(x, y, percent) for x, y in zip(p, q, strict=True)):
             return True
     sides, others = prediction.split("="), truth.split("=")
     if len(sides) == len(others) == 2:
-        one, other = f"({sides[0]})-({sides[1]})", f"({others[0]})-({others[1]})"
-        return same_function(one, other) or same_function(f"-({one})", other)
+        return same_equation(tuple(sides), tuple(others))
     if len(sides) == 2 and len(sides[0].strip()) <= 2 and len(others) == 1:
-        return equal(sides[1], truth, percent, depth - 1)
+        return equal(sides[1], truth, percent)
     if len(others) == 2 and len(others[0].strip()) <= 2 and len(sides) == 1:
-        return equal(prediction, others[1], percent, depth - 1)
+        return equal(prediction, others[1], percent)
     return same_function(prediction, truth)
 
 
@@ -271,7 +331,12 @@ def _tested(test) -> Column:  # noqa: ANN001
     def of(predictions: pd.Series, truths: pd.Series) -> pd.Series:
         return pd.Series([test(p, t) for p, t in zip(predictions, truths, strict=True)], dtype=bool)
 
-    return of
+    def column(prediction: Column, truth: Column) -> Column:
+        # equal texts and nulls are decided here, and only nulls of theirs go to Python
+        open_ = prediction != truth
+        return F.when(prediction.isNull() | truth.isNull(), False).when(prediction == truth, True).otherwise(of(F.when(open_, prediction), F.when(open_, truth)))
+
+    return column
 
 
 def math_equal(prediction: Column, truth: Column, percent: bool = True) -> Column:
@@ -288,13 +353,15 @@ def verified(truth: Column, prediction: Column) -> Column:
 
 
 def vote_key(answer: Column) -> Column:
-    """Equal numbers vote as one: the number an answer stands for, or its canonical form."""
+    """Equal answers vote as one: the key of the answer's canonical form. Whole numbers are their own keys and don't go to Python."""
 
     @F.pandas_udf("string")
     def of(answers: pd.Series) -> pd.Series:
-        return answers.map(lambda a: None if a is None else (a if (n := number(a)) is None else f"{n:.10g}"))
+        return answers.map(lambda a: None if a is None else key(a))
 
-    return of(canonical_value(stripped(answer)))
+    text = canonical_value(stripped(answer))
+    plain = text.rlike(r"\A(?:0|-?[1-9][0-9]*)\z")
+    return F.when(plain, text).otherwise(of(F.when(~plain, text)))
 
 
 def numeric(text: Column) -> Column:
@@ -393,7 +460,7 @@ def theorem_equal(answer: Column, truth: Column) -> Column:
     def numbers(text: str) -> list[float] | None:
         try:
             found = evaluated(text)
-        except (ValueError, SyntaxError, ArithmeticError, RecursionError, MemoryError, TypeError):
+        except UNREADABLE:
             return None
         return sorted(x.real for x in found) if isinstance(found, tuple) and all(isinstance(x, complex) for x in found) else None
 

@@ -20,9 +20,11 @@ def problems(rollouts: DataFrame) -> DataFrame:
 def votes(rollouts: DataFrame, key: Column | None = None) -> DataFrame:
     """(sample_id, n, majority, consistency): whether the one commonest answer is correct, and its share of all rollouts.
 
-    The vote is by the trimmed answer, or by ``key``; blank answers don't vote but count as rollouts. A tie is no majority.
+    The vote is by ``key``, by the column ``vote`` if there is one, or by the trimmed answer; blank answers don't vote but count as rollouts. A tie is no majority.
     """
-    vote = F.trim(F.col("answer") if key is None else key)
+    if key is None:
+        key = F.col("vote" if "vote" in rollouts.columns else "answer")
+    vote = F.trim(key)
     answers = rollouts.withColumn("_vote", F.when(vote != "", vote)).groupBy("sample_id", "_vote").agg(F.count("*").alias("k"), F.bool_or("correct").alias("right"))
     counted = F.when(F.col("_vote").isNotNull(), F.struct("k", "right"))
     ranked = answers.groupBy("sample_id").agg(F.sum("k").alias("n"), F.sort_array(F.collect_list(counted), asc=False).alias("top"))  # distinct answers of one problem

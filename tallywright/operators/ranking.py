@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the other columns of ``other``, joined on equal keys; null keys are equal."""
+    named = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(named[f"_other_{k}"])
+    return df.join(named, same).drop(*[f"_other_{k}" for k in keys])
+
+
 def positioned(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], out: str = "position", weight: Column | None = None) -> DataFrame:
     """Adds ``out``: the row's place (from 0) among the rows of its keys, in order of (bucket, order); with a weight, the sum of the weights before it.
 
@@ -31,5 +40,6 @@ def with_even_bucket(df: DataFrame, keys: list[str], value: str, buckets: int =
     """
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), shares, 4 * buckets).alias("_cuts"))
-    joined = df.join(cuts, keys) if keys else df.join(F.broadcast(cuts))  # without keys: one row
-    return joined, F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))
+    if not keys:
+        return df.join(F.broadcast(cuts)), F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))  # one row
+    return null_safe(df, cuts, keys), F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywright.operators.ranking import positioned, with_even_bucket
+from tallywright.operators.ranking import null_safe, positioned, with_even_bucket
 
 # The stages in order of rank.
 STAGES = ["initial", "preprocessed", "inferred", "postprocessed", "feedback", "failed", "final"]
@@ -78,16 +78,16 @@ def anomalies(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Count, total, mean, extremes and nearest-rank percentiles of each group: the value at place int(p n) of the sorted ones. Nulls don't count."""
+    """Count, total, mean, extremes and nearest-rank percentiles of each group: the value at place int(p n) of the sorted ones. Null values don't count; null keys are a group."""
     rows = rows.where(F.col(value).isNotNull())
     stats = rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("k"))
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("_k"))
     ranged, bucket = with_even_bucket(counts, [by], value)
-    placed = positioned(ranged, [by], bucket, [F.col(value)], weight=F.col("k"))
+    placed = positioned(ranged, [by], bucket, [F.col(value)], weight=F.col("_k"))
     placed = placed.join(stats.select(F.col(by).alias("_by"), "n"), F.col(by).eqNullSafe(F.col("_by")))
     at = {p: F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1) for p in shares}
-    points = placed.groupBy(by).agg(*[F.max(F.when((F.col("position") <= place) & (place < F.col("position") + F.col("k")), F.col(value))).alias(f"p{round(100 * p)}") for p, place in at.items()])
-    return stats.join(points, by)
+    points = placed.groupBy(by).agg(*[F.max(F.when((F.col("position") <= place) & (place < F.col("position") + F.col("_k")), F.col(value))).alias(f"p{round(100 * p)}") for p, place in at.items()])
+    return null_safe(stats, points, [by])
 
 
 def token_buckets(count: Column, edges: tuple[int, ...] = (256, 1024, 4096, 16384)) -> Column:

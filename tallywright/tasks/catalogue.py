@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import answers, constraints, ifbench, multi_if
-from tallywright.functions.mathematics import canonical, canonical_value, math_equal, slots_equal, theorem_equal, verified
+from tallywright.functions.mathematics import canonical, canonical_value, math_equal, slots_equal, theorem_equal, verified, vote_key
 from tallywright.functions.text import exact_match_form, fenced_code, flexible_number, judge_confidence, judge_grade, judge_yes
 from tallywright.functions.words import stripped
 from tallywright.operators import grading
@@ -60,7 +60,7 @@ def _competition(instruction: str) -> Callable[[Dataset], DataFrame]:
 
 def _boxed_verdicts(rows: DataFrame) -> DataFrame:
     """The boxed answer, all boxes of the last line if the gold is a list; without any, the last whole number."""
-    return judged(rows, answers.competition_answer(text(), reference().contains(",")), lambda a: verified(reference(), a))
+    return judged(rows, answers.competition_answer(text(), reference().contains(",")), lambda a: verified(reference(), a), vote=vote_key(F.col("answer")))
 
 
 def _sampled(samples: DataFrame, verdicts: DataFrame, n: int, k: int, votes: bool = True) -> DataFrame:
@@ -76,7 +76,7 @@ def _lined(column: str) -> Callable[[Dataset], DataFrame]:
 
 
 def _line_verdicts(rows: DataFrame) -> DataFrame:
-    return judged(rows, stripped(F.regexp_extract(text(), LINE, 1)), lambda a: verified(reference(), a))
+    return judged(rows, stripped(F.regexp_extract(text(), LINE, 1)), lambda a: verified(reference(), a), vote=vote_key(F.col("answer")))
 
 
 for _name, _column in {"aime_2024": "problem", "aime_2025": "question", "math_500": "problem"}.items():
@@ -99,7 +99,7 @@ def _hendrycks(data: Dataset) -> DataFrame:
 
 add(
     "hendrycks_math_kshot_base_gen", "hendrycks_math", _hendrycks,
-    lambda rows: judged(rows, F.coalesce(answers.last_box(text(), False), answers.stated_answer(text())), lambda a: (canonical(a) == canonical(reference())) | math_equal(a, reference())),
+    lambda rows: judged(rows, F.coalesce(answers.last_box(text(), False), answers.stated_answer(text())), lambda a: (canonical(a) == canonical(reference())) | math_equal(a, reference()), vote=vote_key(F.col("answer"))),
     _sampled, "accuracy", shots=4,
 )
 

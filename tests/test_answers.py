@@ -20,6 +20,7 @@ EXTRACTION = [
     (lambda t: a.last_box(t, True), "\\boxed{1}\n\\boxed{2,3} \\boxed{2,3}", "2,3"), (a.announced_option, "Réponse : **B**", "B"), (a.announced_option, "الإجابة: ب", "B"), (a.announced_option, "nothing", ""), (a.announced_option, r"Answer: $\boxed{C}$", "C"),
     (lambda t: a.first_option(t, "ABCD"), "The answer is (C).", "C"), (lambda t: a.first_option(t, "ABCD"), "答案是：B", "B"), (lambda t: a.first_option(t, "ABCD"), "x", ""), (lambda t: a.lettered(t, "A-P"), "ANSWER: k", "k"),
     (a.cloze_answer, r"The answer is \boxed{x = 5}", "5"), (a.cloze_answer, "so $y = 7$ it is", "7"), (a.cloze_answer, "x = 12.", "12"), (a.cloze_answer, "about 3 or 4.5", "4.5"), (a.cloze_answer, "no", None),
+    (a.last_box, r"so \boxed{" + "{" * 9 + "x" + "}" * 9 + "}", "{" * 9 + "x" + "}" * 9), (a.last_box, r"\boxed{1} \boxed{ {" + "{" * 12 + r"\boxed{y}" + "}" * 12, "y"), (a.last_box, "{" * 9 + r"\boxed{a{b}\fbox{c}}" + "}" * 20 + r" \boxed{2", "a{b}c"),
     (a.first_capital, "maybe c or D", "D"), (a.all_letters, "A, (C)", ["A", "C"]), (a.strict_form, "#### $1,234.", ""), (a.strict_form, "so #### 1,234.", "1234"), (a.marked_number, "a 5\n#### 3.50", "3.5"), (a.marked_number, "7 apples, 8", "8"),
     (a.marked_number, "#### 4 Question 9", "4"), (a.unanswerable, "It does not specify. #### 3", "None"), (a.unanswerable, "#### 3", ""), (a.unanswerable, "it is 3", "None"), (a.stated_answer, "The final answer is $x+1$. I hope it is correct.", "x+1"),
     (a.stated_answer, r"\boxed{4}%", "4}"), (a.stated_answer, "the answer is 12.", "12"), (a.stated_answer, "```output\n42\n```", "42"), (a.stated_answer, "1,000 then", "1000"), (a.slot_answer, r"so \boxed{1, (2,3)}", "1, (2,3)"),
@@ -64,6 +65,44 @@ def test_equal(one, other, same):
     assert m.equal(one, other) is same
 
 
+EQUIVALENT = [
+    ["x+1", "1+x", r"\frac{x^2-1}{x-1}", "(2x+2)/2", "x - (-1)"], ["x-1", "-1+x"], ["(a+b)^3", "a^3+3a^2b+3ab^2+b^3", "(b+a)(a+b)^2"], ["1/2", r"\frac{1}{2}", "0.5", r"\dfrac24", "2^{-1}", ".50"], [r"\sqrt{12}", r"2\sqrt3", "12^{1/2}", r"\frac{6}{\sqrt{3}}"],
+    [r"1+\sqrt2", r"\frac{1}{\sqrt2-1}", r"\frac{2+\sqrt8}{2}"], [r"\sqrt{6}", r"\sqrt2\sqrt3", r"\frac{\sqrt{24}}{2}"], [r"\sqrt{10403}", r"\sqrt{101}\sqrt{103}"], [r"\sqrt[3]{-8}", "-2", "-4/2"], ["2i", r"\sqrt{-4}", r"\frac{-2}{i}"], ["-1", "i^2", "i^{10}"],
+    [r"2\pi", r"\pi+\pi", r"\frac{4\pi^2}{2\pi}"], [r"\frac{a}{b}+\frac{c}{d}", r"\frac{ad+bc}{bd}"], ["1024", "2^{10}", "4^5"], [r"\sqrt[4]{4}", r"\sqrt{2}", "2^{0.5}"], ["x^{100}-y^{100}", "(x^{50}-y^{50})(x^{50}+y^{50})"], [r"\sin(2x)", r"\sin(x+x)"], ["(1,x+1)", "(1, 1+x)"], ["(x+1,1)"],
+    ["1,000", "1000", "10^3"], [r"\sqrt[3]{16}", r"2\sqrt[3]{2}"], [r"\frac{1}{1+\frac{1}{x}}", r"\frac{x}{x+1}"], ["0", "x-x", r"\sqrt2-\sqrt2"], ["401", "+".join(["1"] * 401), "(" * 500 + "401" + ")" * 500], ["x", "(" * 400 + "x" + ")" * 400, "x" + "+0" * 3000], [r"\sqrt{5}-\sqrt{7}", r"-\frac{2}{\sqrt5+\sqrt7}"], [r"\sqrt{7}-\sqrt{5}"],
+]
+
+
+def test_equal_is_exact_and_keys_agree():
+    """All pairs of forms: equal if and only if they are of one class, and so are their keys."""
+    forms = [(k, f) for k, forms in enumerate(EQUIVALENT) for f in forms]
+    wrong = [(f, g) for k, f in forms for n, g in forms if m.equal(f, g, percent=False) != (k == n)]
+    keys = {f: m.key(f) for _, f in forms}
+    wrong += [(f, g) for k, f in forms for n, g in forms if (keys[f] == keys[g]) != (k == n)]
+    assert not wrong, wrong
+
+
+@pytest.mark.parametrize(("one", "other", "same"), [
+    ("10^{30}+1", "10^{30}", False), ("x^{1000000}", "x^{999999}x", True), ("9**9**9", "9**9**8", False), (r"\sin^2", "1", False), (r"\sin(x)\sin(x)+\cos(x)\cos(x)", "1", True), ("3.14159265", r"\pi", True), ("x+y=3", "3-y=x", True), ("x+y=3", "2x+2y=6", True),
+    ("x+y=3", "2x+2y=3", False), (r"\sqrt{x^2}", "x", False), ("(x", "x", False), ("x)", "x", False), ("[1,2)", "(1,2)", True), ("x/0", "x/0+1", False), (r"\infty", r"\infty", True), (r"-\infty", r"\infty", False), (r"\sqrt{3+2\sqrt2}", r"1+\sqrt2", True),
+])
+def test_equal_without_bounds(one, other, same):
+    assert m.equal(one, other, percent=False) is same
+
+
+def test_the_field_is_what_it_should_be():
+    from tallywright.functions.algebra import HALF, P
+
+    def prime(n):  # Miller-Rabin
+        d, k = n - 1, 0
+        while d % 2 == 0:
+            d, k = d // 2, k + 1
+        powers = [[pow(b, d << i, n) for i in range(k)] for b in range(2, 60)]
+        return all(x[0] == 1 or n - 1 in x for x in powers)
+
+    assert prime(P) and prime(HALF) and P % 8 == 7 and all(pow(q, HALF, P) == 1 for q in range(2, 100))
+
+
 def test_nothing_but_arithmetic_is_evaluated():
     for text in ("open('x')", "().__class__", "[1][0]", "lambda: 1", "1 if 1 else 2", "'a'", "True", "2**5000"):
         with pytest.raises((ValueError, SyntaxError)):
@@ -84,7 +123,7 @@ def test_equality_as_columns(spark):
     frame = spark.createDataFrame(rows, "p string, t string, q string, u string")
     got = frame.select(m.math_equal(F.col("p"), F.col("t")).alias("e"), m.verified(F.col("t"), F.col("p")).alias("v"), m.theorem_equal(F.col("q"), F.col("u")).alias("h"), m.numeric(F.col("p")).alias("n"), m.vote_key(F.col("p")).alias("k")).collect()
     assert [r.e for r in got] == [True, False, False, False, False] and [r.v for r in got] == [True, False, False, True, False]
-    assert [r.h for r in got] == [True, True, True, True, False] and [r.n for r in got] == [0.5, None, 2.0, None, None] and [r.k for r in got][:2] == ["0.5", "x"]
+    assert [r.h for r in got] == [True, True, True, True, False] and [r.n for r in got] == [0.5, None, 2.0, None, None] and got[0].k == "1/2" and [r.k for r in got][2:] == ["2", got[3].k, None]
     slots = spark.createDataFrame([(["1", "T"], ["1.0", "True"], ["NV", "TF"], [[], []]), (["1"], ["1", "2"], [], []), (None, ["1"], ["NV"], [[]])], "p array<string>, t array<string>, k array<string>, o array<array<string>>")
     assert [r[0] for r in slots.select(m.slots_equal(F.col("p"), F.col("t"), F.col("k"), F.col("o"))).collect()] == [[True, True], [False, False], [False]]
 

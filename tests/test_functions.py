@@ -177,3 +177,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "files/one").write_text("1")
     declared = spark.createDataFrame([("one", "6b86b273ff34fce19d6b804eff5a3f5747ada4eaa22f1d49c01e52ddb7875b4b"), ("two", "00")], "name string, sha256 string")
     assert [r.name for r in tables.checksum_mismatches(spark, str(tmp_path / "files"), declared).collect()] == ["two"]
+
+
+def test_profiles_keep_the_group_of_null_keys(spark):
+    from tallywright.operators.runlog import nearest_rank
+
+    rows = [(k, float(v)) for k in ("a", None) for v in range(100)] + [("b", None)]
+    got = {r.k: (r.n, r.p50, r.p99) for r in nearest_rank(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got == {"a": (100, 50.0, 99.0), None: (100, 50.0, 99.0)}
