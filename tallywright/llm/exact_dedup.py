@@ -15,6 +15,9 @@ from tallywright.llm.common import BUCKETS, bucket_of, reclaim, settle
 
 BLOCK_BYTES = 4096
 
+#: Stands for the missing second half of a pair; no block or pair has this name.
+NO_HALF = -1
+
 
 def _hash(col: str) -> Column:
     return F.xxhash64(col)
@@ -37,7 +40,7 @@ def _block_names(blocks: DataFrame) -> DataFrame:
     """(doc, n, pos, name) of the first level: the distinct blocks are shuffled once and sorted, and their places are the names.
 
     A place is partition and rank in it, fixed when the names are written. Blocks find their names by a hash of their content; where
-    contents share a hash they get names below zero and are found by content.
+    contents share a hash they get names below NO_HALF and are found by content.
     """
     place = F.monotonically_increasing_id()
     names = settle(blocks.select("h", "block").distinct().sortWithinPartitions("block").select("h", place.alias("name")), "exact-names")
@@ -46,7 +49,7 @@ def _block_names(blocks: DataFrame) -> DataFrame:
     if twins.isEmpty():
         return blocks.drop("block").join(names, "h").select("doc", "n", "pos", "name")
     twins = settle(twins, "exact-twins")
-    contents = settle(blocks.join(twins, "h", "left_semi").select("h", "block").distinct().sortWithinPartitions("block").select("h", "block", (-1 - place).alias("name")), "exact-contents")
+    contents = settle(blocks.join(twins, "h", "left_semi").select("h", "block").distinct().sortWithinPartitions("block").select("h", "block", (NO_HALF - 1 - place).alias("name")), "exact-contents")
     alone = blocks.join(twins, "h", "left_anti").drop("block").join(names, "h").select("doc", "n", "pos", "name")
     return alone.union(blocks.join(contents, ["h", "block"]).select("doc", "n", "pos", "name"))
 
@@ -58,7 +61,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     while not (rest := level.where("n > 1")).isEmpty():
         depth += 1
         half = F.shiftright("pos", 1)
-        pairs = rest.groupBy("doc", half.alias("pos"), F.shiftright(F.col("n") + 1, 1).alias("n")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r"))
+        pairs = rest.groupBy("doc", half.alias("pos"), F.shiftright(F.col("n") + 1, 1).alias("n")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(NO_HALF)).alias("r"))
         pairs = settle(pairs, "exact-pairs")
         names = settle(_named(pairs.select("l", "r").distinct(), ["l", "r"]), "exact-names")
         level = settle(pairs.join(names, ["l", "r"]).select("doc", "n", "pos", "name"), "exact-level")

@@ -323,6 +323,19 @@ def test_exact_dedup_when_hashes_collide(odd, monkeypatch):
     assert got == len({t or "" for _, t in pairs_of(short)})
 
 
+@pytest.mark.parametrize("alphabet,longest,n", [("abcdefgh", 12, 320), ("ab", 24, 2000)])
+def test_exact_dedup_of_many_blocks_when_hashes_collide(spark, monkeypatch, alphabet, longest, n):
+    """Texts of one to six blocks over few letters: pairs of any two names come up, and missing halves beside all of them."""
+    monkeypatch.setattr(exact_dedup, "_hash", lambda col: F.lit(1).cast("long"))
+    r = random.Random(longest)
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(1, longest))) for _ in range(n)]
+    got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exact_dedup.exact_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_bytes=4).collect()}
+    by = defaultdict(list)
+    for i, t in enumerate(texts):
+        by[t].append(i)
+    assert got == {i: (by[t][-1], len(by[t]), i == by[t][-1]) for i, t in enumerate(texts)}
+
+
 # 6: near copies
 
 def brute_fingerprint(text, n):
