@@ -150,16 +150,17 @@ def components(links: DataFrame, name: str = "components", rounds: int = 40) ->
     """(node, component) of every node in ``links`` (a, b): component is the smallest node that links lead to.
 
     Alternating stars: each round gives every node's larger neighbours its smallest neighbour, then its smaller ones, until the
-    links no longer change. A round is two grouped minima and two joins; joins with a much-linked node split under AQE.
+    links no longer change. A round is two grouped minima and two joins. Minima are written before they are joined, so that a node with
+    many links doesn't hold its join to one task: adaptive execution splits it, or sends the minima to all tasks if they are few.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges")
     seen = None
     for _ in range(rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        low = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), f"{name}-low")
         large = both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = settle(large, f"{name}-large")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        low = settle(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"), f"{name}-low")
         small = large.join(low, large.a == low.k).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = settle(small, f"{name}-small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -32,9 +32,6 @@ SAMPLE = 2048
 #: Documents in which common shingles are counted, and how many of those are told to all workers; results don't depend on them.
 SAMPLE_DOCS, SAMPLE_COMMON = 4096, 1 << 16
 
-#: Fingerprints for which the cheapest grouping is sought, whatever their number: each one is looked for as often in any table.
-NOMINAL = 1 << 20
-
 #: Costs in units of a probe's row: comparing a candidate.
 CANDIDATE_COST = 0.05
 
@@ -171,7 +168,7 @@ def _probed(prints: DataFrame, limit: int, sample: int) -> tuple[DataFrame, Data
     Any two fingerprints within the limit meet: one of them is looked for where the other is stored.
     """
     some = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp")).limit(sample).collect()], dtype=np.int64).view(np.uint64)
-    groups = allocate(some, NOMINAL, limit)
+    groups = allocate(some, prints.count(), limit)
     values = [lambda fp, i=i, mask=_all(g): F.struct(F.lit(i).alias("part"), fp.bitwiseAND(F.lit(mask)).alias("value")) for i, (g, _) in enumerate(groups)]
     own = [value(F.col("fp")) for value in values]
     flips = [F.transform(F.array(*[F.lit(m) for m in _masks(g, t)]), lambda m: value(F.col("fp").bitwiseXOR(m))) for value, (g, t) in zip(values, groups, strict=True)]  # noqa: B023
@@ -205,10 +202,20 @@ def near_links(prints: DataFrame, limit: int = LINK_BITS, sample: int = SAMPLE)
     mixed = settle(both.where(F.least("low", "low2") < F.greatest("high", "high2")).select("part", "value"), "simhash-mixed")
     sides = [settle(t.join(mixed, ["part", "value"], "left_semi").join(known, "fp"), "simhash-open") for t in (probe, index)]
     a, b = sides[0].withColumnsRenamed({"fp": "a", "class": "ca"}), sides[1].withColumnsRenamed({"fp": "b", "class": "cb"})
-    rest = a.join(b, ["part", "value"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+    rest = across(a, b, ["part", "value"]).where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     return components(stars.union(rest), "simhash")
 
 
+def across(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a (keys, ca, ...) joined with b (keys, cb, ...) where keys are equal and classes differ.
+
+    Classes that meet are found first, and then their members: a class of many and a stranger make as many rows as the class has.
+    """
+    classes = [settle(t.select(*keys, c).distinct(), "simhash-classes") for t, c in ((a, "ca"), (b, "cb"))]
+    meet = settle(classes[0].join(classes[1], keys).where(F.col("ca") != F.col("cb")), "simhash-meet")
+    return a.join(meet, [*keys, "ca"]).join(b, [*keys, "cb"])
+
+
 def _all(bits: list[int]) -> int:
     mask = sum(1 << b for b in bits)
     return mask - (1 << 64) if mask >> 63 else mask
@@ -281,7 +288,7 @@ def prefix_pairs(placed: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: of nodes in placed (token, node, at, n, class) all pairs of different classes that can have a Jaccard similarity of ``least``; each once."""
     a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("class").alias("ca"))
     b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("class").alias("cb"))
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fit(least))
+    met = across(a, b, ["token"]).where((F.col("a") < F.col("b")) & _fit(least))
     return _met(met, least).select("a", "b")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.llm import fingerprints, hard_negatives, queries, vector_codes
+from tallywright.llm import fingerprints, hard_negatives, queries, simhash, vector_codes
 from tallywright.llm.fingerprints import Sketcher
 
 VECTORS = "vec_id long, embedding array<double>, label int, v string, codes string, error string"
@@ -213,3 +213,14 @@ def test_negatives_of_nothing(spark):
     alone = vectors(spark, [(0, [1.0, 1.0], 1), (1, [1.0, 1.0], None)])
     assert hard_negatives.hard_negatives(alone, lambda i: i % 1 == 0).count() == 0
     assert hard_negatives.hard_negatives(alone, lambda i: i > 5).count() == 0
+
+
+# classes that meet
+
+def test_a_dense_group_and_strangers_make_few_rows(spark):
+    """Classes meet before members: a class of 3,000 in one bucket with ten strangers makes rows in proportion to it."""
+    rows = [(1, 5, i, 0) for i in range(3000)] + [(1, 5, 10_000 + k, 1 + k) for k in range(10)]
+    a = spark.createDataFrame(rows, "part int, value long, a long, ca long")
+    b = a.withColumnsRenamed({"a": "b", "ca": "cb"})
+    got = simhash.across(a, b, ["part", "value"])
+    assert got.count() == 2 * 3000 * 10 + 90 and got.where("ca = cb").isEmpty()
