@@ -206,7 +206,7 @@ def with_next(docs: DataFrame, work: Callable[[list[tuple[int | None, str, str]]
     also = F.struct(F.get(F.from_json(F.lit(json.dumps(before)), "array<int>"), F.col("_block")).alias("block"), F.lit(True).alias("behind"))
     to = F.when(key == F.get(_keys(first), F.col("_block")), F.array(own, also)).otherwise(F.array(own))
     dealt = placed.select("doc_id", "text", *_KEY, F.explode(to).alias("_to")).select("doc_id", "text", *_KEY, "_to.*")
-    ordered = dealt.repartition(max(LEAST_BLOCKS, len(heads)), "block").sortWithinPartitions("block", "behind", *_KEY, "text")
+    ordered = dealt.repartitionById(len(bounds) + 1, "block").sortWithinPartitions("block", "behind", *_KEY, "text")
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ready, chars = None, [], 0
