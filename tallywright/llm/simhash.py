@@ -29,6 +29,9 @@ NEAR_WORDS, NEAR_BITS, NEAR_JACCARD = 5, 4, 0.8
 #: Fingerprints that the grouping of bits and the cost estimates are fitted on; results don't depend on them.
 SAMPLE = 2048
 
+#: Rows of one key from which its classes are counted before its members are joined.
+CROWDED = 64
+
 #: Documents in which common shingles are counted, and how many of those are told to all workers; results don't depend on them.
 SAMPLE_DOCS, SAMPLE_COMMON = 4096, 1 << 16
 
@@ -197,23 +200,30 @@ def near_links(prints: DataFrame, limit: int = LINK_BITS, sample: int = SAMPLE)
     classes = components(stars, "simhash-stars")
     index, probe, close = _probed(prints, limit, sample)
     known = settle(prints.join(classes, prints.fp == classes.node, "left").select("fp", F.coalesce("component", "fp").alias("class")), "simhash-known")
-    bounds = [t.join(known, "fp").groupBy("part", "value").agg(F.min("class").alias("low"), F.max("class").alias("high")) for t in (index, probe)]
-    both = bounds[0].join(bounds[1].withColumnsRenamed({"low": "low2", "high": "high2"}), ["part", "value"])
-    mixed = settle(both.where(F.least("low", "low2") < F.greatest("high", "high2")).select("part", "value"), "simhash-mixed")
-    sides = [settle(t.join(mixed, ["part", "value"], "left_semi").join(known, "fp"), "simhash-open") for t in (probe, index)]
+    bounds = [t.join(known, "fp").groupBy("part", "value").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")) for t in (index, probe)]
+    both = bounds[0].join(bounds[1].withColumnsRenamed({"low": "low2", "high": "high2", "n": "n2"}), ["part", "value"])
+    mixed = settle(both.where(F.least("low", "low2") < F.greatest("high", "high2")).select("part", "value", (F.col("n") + F.col("n2") > CROWDED).alias("crowded")), "simhash-mixed")
+    sides = [settle(t.join(mixed, ["part", "value"]).join(known, "fp"), "simhash-open") for t in (probe, index)]
     a, b = sides[0].withColumnsRenamed({"fp": "a", "class": "ca"}), sides[1].withColumnsRenamed({"fp": "b", "class": "cb"})
     rest = across(a, b, ["part", "value"]).where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     return components(stars.union(rest), "simhash")
 
 
 def across(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """a (keys, ca, ...) joined with b (keys, cb, ...) where keys are equal and classes differ.
+    """a (keys, ca, crowded, ...) joined with b (keys, cb, crowded, ...) where keys are equal and classes differ.
 
-    Classes that meet are found first, and then their members: a class of many and a stranger make as many rows as the class has.
+    Where a few classes have most of a crowded key's rows, the classes that meet are found first and then their members: a class of
+    many and a stranger make as many rows as the class has, not its square. All other keys are joined at once.
     """
-    classes = [settle(t.select(*keys, c).distinct(), "simhash-classes") for t, c in ((a, "ca"), (b, "cb"))]
-    meet = settle(classes[0].join(classes[1], keys).where(F.col("ca") != F.col("cb")), "simhash-meet")
-    return a.join(meet, [*keys, "ca"]).join(b, [*keys, "cb"])
+    classes = [settle(t.where("crowded").groupBy(*keys, c).agg(F.count("*").alias("n")), "simhash-classes") for t, c in ((a, "ca"), (b, "cb"))]
+    size = [t.groupBy(*keys).agg(F.count("*").alias(f"k{i}"), F.sum("n").alias(f"n{i}")) for i, t in enumerate(classes)]
+    dense = settle(size[0].join(size[1], keys).where(F.lit(4.0) * F.col("k0") * F.col("k1") < F.col("n0") * F.col("n1")).select(*keys), "simhash-dense")
+    differ = F.col("ca") != F.col("cb")
+    b = b.drop("crowded")
+    if dense.isEmpty():
+        return a.drop("crowded").join(b, keys).where(differ)
+    meet = settle(classes[0].drop("n").join(dense, keys, "left_semi").join(classes[1].drop("n"), keys).where(differ), "simhash-meet")
+    return a.drop("crowded").join(dense, keys, "left_anti").join(b, keys).where(differ).unionByName(a.drop("crowded").join(meet, [*keys, "ca"]).join(b, [*keys, "cb"]))
 
 
 def _all(bits: list[int]) -> int:
@@ -268,8 +278,8 @@ def _met(pairs: DataFrame, least: float) -> DataFrame:
 def _open(placed: DataFrame, classes: DataFrame) -> DataFrame:
     """placed (token, node, at, n) with each node's class, without shingles that one class alone has."""
     known = settle(placed.join(classes, "node", "left").select("token", "node", "at", "n", F.coalesce("component", "node").alias("class")), "simhash-placed")
-    spread = known.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-    return settle(known.join(settle(spread, "simhash-spread"), "token", "left_semi"), "simhash-open")
+    spread = known.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high").select("token", (F.col("n") > CROWDED).alias("crowded"))
+    return settle(known.join(settle(spread, "simhash-spread"), "token"), "simhash-open")
 
 
 def star_pairs(placed: DataFrame, least: float) -> DataFrame:
@@ -286,8 +296,8 @@ def star_pairs(placed: DataFrame, least: float) -> DataFrame:
 
 def prefix_pairs(placed: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: of nodes in placed (token, node, at, n, class) all pairs of different classes that can have a Jaccard similarity of ``least``; each once."""
-    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("class").alias("ca"))
-    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("class").alias("cb"))
+    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("class").alias("ca"), "crowded")
+    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("class").alias("cb"), "crowded")
     met = across(a, b, ["token"]).where((F.col("a") < F.col("b")) & _fit(least))
     return _met(met, least).select("a", "b")
 

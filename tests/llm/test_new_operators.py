@@ -218,9 +218,9 @@ def test_negatives_of_nothing(spark):
 # classes that meet
 
 def test_a_dense_group_and_strangers_make_few_rows(spark):
-    """Classes meet before members: a class of 3,000 in one bucket with ten strangers makes rows in proportion to it."""
-    rows = [(1, 5, i, 0) for i in range(3000)] + [(1, 5, 10_000 + k, 1 + k) for k in range(10)]
-    a = spark.createDataFrame(rows, "part int, value long, a long, ca long")
+    """Classes meet before members: a class of 3,000 in one bucket with ten strangers makes rows in proportion to it; sparse buckets are joined at once."""
+    rows = [(1, 5, i, 0, True) for i in range(3000)] + [(1, 5, 10_000 + k, 1 + k, True) for k in range(10)] + [(2, 5, 20_000 + k, 100 + k % 50, k % 2 == 0) for k in range(0, 100, 2)] + [(3, 5, k, k, False) for k in range(5)]
+    a = spark.createDataFrame(rows, "part int, value long, a long, ca long, crowded boolean")
     b = a.withColumnsRenamed({"a": "b", "ca": "cb"})
-    got = simhash.across(a, b, ["part", "value"])
-    assert got.count() == 2 * 3000 * 10 + 90 and got.where("ca = cb").isEmpty()
+    got = sorted((r.part, r.a, r.b) for r in simhash.across(a, b, ["part", "value"]).collect())
+    assert got == sorted((r[0], r[2], q[2]) for r in rows for q in rows if r[0] == q[0] and r[3] != q[3])
