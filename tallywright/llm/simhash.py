@@ -223,6 +223,7 @@ def across(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     if dense.isEmpty():
         return a.drop("crowded").join(b, keys).where(differ)
     meet = settle(classes[0].drop("n").join(dense, keys, "left_semi").join(classes[1].drop("n"), keys).where(differ), "simhash-meet")
+    meet = meet.hint("merge")  # compresses well, so its files are no bound for what a broadcast of it would hold
     return a.drop("crowded").join(dense, keys, "left_anti").join(b, keys).where(differ).unionByName(a.drop("crowded").join(meet, [*keys, "ca"]).join(b, [*keys, "cb"]))
 
 
