@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallywright.operators import generators, runlog
 from tallywright.operators.evaluation import Task, replayed
 from tallywright.plans.catalogue import ROLLOUTS, query
+from tallywright.session import shared_folder
 from tallywright.sources.tables import rollouts, table
 from tallywright.streaming import stages
 
@@ -140,8 +141,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """The windows again, by Structured Streaming; state and results are in the cluster's shared folder."""
     events = table(spark, d, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
     return stages.ended(spark, f"{d}/events.parquet*", schema, stages.tumbling, f"{base}/out", f"{base}/state")
 

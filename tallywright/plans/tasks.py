@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.plans.catalogue import query
+from tallywright.session import shared_folder
 from tallywright.sources import benchmarks
 from tallywright.sources.tables import table
 
@@ -145,8 +146,7 @@ def task_complex_constraints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/staged-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
