@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.operators import generators, runlog
+from tallywright.operators import generators, haystacks, runlog
 from tallywright.operators.evaluation import Task, replayed
 from tallywright.plans.catalogue import ROLLOUTS, query
 from tallywright.session import shared_folder
@@ -193,3 +193,23 @@ def qa_samples(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id")
     questions = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("gold"))
     return _flat(generators.with_distractors(questions, docs, 4), "context")
+
+
+#: Tokens of a text in SQL; what a needle's sample says around its haystack, by key and value.
+TOKENS = r"len(regexp_extract_all({x}, '[\p{{L}}\p{{M}}]+|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]'))"
+AROUND = """('A special magic number is hidden within the following text. Make sure to memorize it. I will quiz you about the number afterwards. One of the special magic numbers for ' || key || ' is: ' || value
+    || '. What is the special magic number for ' || key || ' mentioned in the provided text? The special magic number for ' || key || ' mentioned in the provided text is')"""
+
+
+@query("haystack_budgets", rf"""with k as (select doc_id, text, translate(md5('0:' || doc_id || ':key:0'), '0123456789abcdef', 'bcdfghjklmnpqrst') as code, ({DRAWN.format(x="'0:' || doc_id || ':value:0:0'")} % 9000000 + 1000000)::varchar as value from documents),
+  b as (select doc_id, value, coalesce(text, '') as text, substr(code, 1, 6) || '-' || substr(code, 7, 6) as key from k),
+  f as (select doc_id, value, text, {TOKENS.format(x=AROUND)} as fixed from b),
+  w as (select doc_id, i, {TOKENS.format(x='word')} as c from (select doc_id, unnest(s) as word, generate_subscripts(s, 1) as i from (select doc_id, regexp_extract_all(text, '\S+') as s from f))),
+  p as (select doc_id, sum(c) over (partition by doc_id order by i) as upto, sum(c) over (partition by doc_id) as total, count(*) over (partition by doc_id) as n from w where c > 0),
+  t as (select f.doc_id, any_value(value) as value, any_value(fixed) as fixed, greatest(512 - 128 - any_value(fixed), 0) as room, any_value(total)::bigint as total, any_value(n) as n, list(upto::bigint order by upto) as steps from f left join p using (doc_id) group by 1),
+  r as (select *, len(list_filter(steps, lambda x: x <= room % total)) as more from t)
+  select doc_id as sample_id, (case when total is null then 0 else (room // total) * n + more end)::int as n_items, (128 + fixed + case when total is null then 0 else (room // total) * total + coalesce(steps[more], 0) end)::int as length, value as outputs from r""")
+def haystack_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """A needle in every document: its words, repeated if need be, fill 512 tokens."""
+    samples = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.regexp_extract_all("text", F.lit(r"(\S+)")).alias("haystack"))
+    return _flat(haystacks.needle_samples(samples, haystacks.SUBTASKS["niah_single_2"], 512), "outputs").select("sample_id", "n_items", "length", "outputs")

@@ -15,6 +15,7 @@ import unicodedata
 import zipfile
 from base64 import b64decode
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -575,31 +576,53 @@ def ugmathbench(spark: SparkSession, folder: str, subjects: list[str] | None = N
 BUDGETS = {"niah": 128, "vt": 30, "cwe": 120, "fwe": 50, "qa": 32}
 
 
-@loader("ruler")
-def ruler(spark: SparkSession, folder: str, lengths: tuple[int, ...] = (4096, 8192), n: int = 100, seed: int = 0) -> Dataset:
-    """Generated samples of each subtask and length: needles (one, several keys, values or queries), chains, common and frequent words.
+def _essay(spark: SparkSession, folder: str, most: int) -> DataFrame | None:
+    """One row: the first words of the staged essays (a text, or JSON with a field ``text``), no more than a budget has tokens; None if nothing is staged."""
+    found = listed(spark, f"{folder}/PaulGrahamEssays.json*") or listed(spark, f"{folder}/essay.txt")
+    if not found:
+        return None
+    whole = spark.read.text(found[0], wholetext=True).select(F.coalesce(F.get_json_object("value", "$.text"), "value").alias("text"))
+    return whole.select(F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)")), 1, most).alias("haystack")).limit(1)
+
 
-    If the folder holds words.txt, common words are drawn from it; if it holds questions and documents (qa.parquet: sample_id, gold,
-    question, outputs; documents.parquet: doc_id, text), questions over drawn documents are made too. A length in tokens sets how
-    much filler, how many chains' hops and how many words there are, about four characters to a token.
+@loader("ruler")
+def ruler(spark: SparkSession, folder: str, lengths: tuple[int, ...] = (4096, 8192), n: int = 100, seed: int = 0, reserve: int = 0) -> Dataset:
+    """Generated samples of each subtask and length: needles (eight kinds), chains, common and frequent words, questions.
+
+    Needles and chains fill a length in tokens, less what is generated and what is in reserve for a model's template (see haystacks).
+    Essays are read from PaulGrahamEssays.json.gz or essay.txt; without them, needles of several keys, values or queries stand in noise
+    and the single ones in essays aren't made. If the folder holds words.txt, common words are drawn from it; if it holds questions
+    and documents ((hotpot)qa.parquet: sample_id, gold, question, outputs; (hotpot)documents.parquet: doc_id, text), questions over
+    drawn documents are made too. How many words and documents these have follows from a length at about four characters to a token.
     """
-    from tallywright.operators import generators
+    from tallywright.operators import generators, haystacks
 
     parts = []
     words = spark.read.text(f"{folder}/words.txt").select(F.col("value").alias("word")) if listed(spark, f"{folder}/words.txt") else spark.range(2000).select(F.concat(F.lit("w"), F.substring(F.md5(F.col("id").cast("string")), 1, 5)).alias("word"))
     for k, length in enumerate(lengths):
-        own, lines = seed + 100 * k, max(4, length // 25)
-        made = {
-            "niah_single_1": generators.needles(spark, n, lines, 1, 1, own), "niah_multikey_1": generators.needles(spark, n, lines, 4, 1, own + 1), "niah_multiquery": generators.needles(spark, n, lines, 4, 4, own + 2),
-            "vt": generators.chains(spark, n, max(1, length // 512), 4, own + 3), "cwe": generators.common_words(words, n, 10, max(10, length // 40), 30, 3, own + 4), "fwe": generators.frequent_words(spark, n, length // 3, 50, 2.0, own + 5),
-        }
-        if listed(spark, f"{folder}/qa.parquet"):
-            asked, documents = spark.read.parquet(f"{folder}/qa.parquet"), spark.read.parquet(f"{folder}/documents.parquet")
-            dealt = generators.with_distractors(asked.select("sample_id", "gold"), documents, max(1, length // 512), own + 6)
-            texts = dealt.select("sample_id", F.posexplode("context").alias("at", "doc_id")).join(documents.select("doc_id", "text"), "doc_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("all"))
-            body = F.array_join(F.transform("all", lambda x, i: F.concat(F.lit("Document "), i + 1, F.lit(":\n"), x["text"])), "\n\n")
-            made["qa_squad"] = texts.join(asked, "sample_id").select("sample_id", F.concat(body, F.lit("\n\nQuestion: "), "question").alias("input"), "outputs")
+        own, essay = seed + 100 * k, _essay(spark, folder, length)
+        ids = spark.range(n).select(F.col("id").alias("sample_id"))
+        made = {}
+        for j, (subtask, spec) in enumerate(haystacks.SUBTASKS.items()):
+            if spec.haystack != "essay":
+                made[subtask] = haystacks.needle_samples(ids, spec, length, BUDGETS["niah"], reserve, own + j)
+            elif essay is not None:  # one row, no longer than the budget
+                made[subtask] = haystacks.needle_samples(ids.crossJoin(F.broadcast(essay)), spec, length, BUDGETS["niah"], reserve, own + j)
+            elif spec.keys * spec.values > 1:
+                made[subtask] = haystacks.needle_samples(ids, replace(spec, haystack="noise"), length, BUDGETS["niah"], reserve, own + j)
+        chained = generators.chains(spark, n, 1, 4, own + 10).withColumn("value", generators.number_of(5, F.lit(own + 10), F.col("sample_id"), F.lit(0)))
+        made["vt"] = haystacks.chain_samples(chained, 5, length, BUDGETS["vt"], reserve, own + 10)
+        made["cwe"] = generators.common_words(words, n, 10, max(10, length // 40), 30, 3, own + 11)
+        made["fwe"] = generators.frequent_words(spark, n, length // 3, 50, 2.0, own + 12)
+        for subtask, prefix in (("qa_squad", ""), ("qa_hotpotqa", "hotpot")):
+            if listed(spark, f"{folder}/{prefix}qa.parquet"):
+                asked, documents = spark.read.parquet(f"{folder}/{prefix}qa.parquet"), spark.read.parquet(f"{folder}/{prefix}documents.parquet")
+                dealt = generators.with_distractors(asked.select("sample_id", "gold"), documents, max(1, length // 512), own + 13)
+                texts = dealt.select("sample_id", F.posexplode("context").alias("at", "doc_id")).join(documents.select("doc_id", "text"), "doc_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("all"))
+                body = F.array_join(F.transform("all", lambda x, i: F.concat(F.lit("Document "), i + 1, F.lit(":\n"), x["text"])), "\n\n")
+                made[subtask] = texts.join(asked, "sample_id").select("sample_id", F.concat(body, F.lit("\n\nQuestion: "), "question").alias("input"), "outputs")
         for subtask, rows in made.items():
-            budget = BUDGETS[subtask.split("_")[0]]
-            parts.append(rows.select(F.col("sample_id").alias("index"), "input", F.col("outputs").cast("array<string>").alias("outputs"), F.lit(length).alias("length"), F.lit("Answer:").alias("answer_prefix"), F.lit(subtask).alias("subtask"), F.lit(length).alias("context_length"), F.lit(budget).alias("gen_budget")))
+            others = {"length": F.lit(length), "answer_prefix": F.lit("Answer:"), "token_position_answer": F.lit(None).cast("int")}
+            filled = [(F.col(c) if c in rows.columns else other).alias(c) for c, other in others.items()]
+            parts.append(rows.select(F.col("sample_id").alias("index"), "input", F.col("outputs").cast("array<string>").alias("outputs"), *filled, F.lit(subtask).alias("subtask"), F.lit(length).alias("context_length"), F.lit(BUDGETS[subtask.split("_")[0]]).alias("gen_budget")))
     return Dataset({"test": united(parts)})

@@ -126,5 +126,17 @@ def test_hub_layouts(spark, tmp_path):
 
 def test_long_contexts(spark, tmp_path):
     got = rows(spark, "ruler", tmp_path, lengths=(1024,), n=2)
-    assert {r.subtask for r in got} == {"niah_single_1", "niah_multikey_1", "niah_multiquery", "vt", "cwe", "fwe"} and len(got) == 12
+    assert {r.subtask for r in got} == {"niah_single_1", "niah_multikey_1", "niah_multikey_2", "niah_multikey_3", "niah_multivalue", "niah_multiquery", "vt", "cwe", "fwe"} and len(got) == 18
     assert all(o in r.input for r in got if r.subtask.startswith(("niah", "vt")) for o in r.outputs)
+
+
+def test_long_contexts_of_all_subtasks(spark, tmp_path):
+    (tmp_path / "essay.txt").write_text("A mill stood by the river. It was old. Nobody knew who had built it! " * 3)
+    for prefix in ("", "hotpot"):
+        spark.createDataFrame([(1, 5, "Who?", ["x"])], "sample_id long, gold long, question string, outputs array<string>").write.parquet(f"{tmp_path}/{prefix}qa.parquet")
+        spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/{prefix}documents.parquet")
+    got = rows(spark, "ruler", tmp_path, lengths=(512, 1024), n=2)
+    assert len({r.subtask for r in got}) == 13 and len(got) == 2 * (11 * 2 + 2)
+    filled = [r for r in got if r.subtask.startswith(("niah", "vt"))]
+    assert all(r.context_length - 110 < r.length <= r.context_length and all(o in r.input for o in r.outputs) for r in filled)
+    assert all("mill" in r.input for r in filled if r.subtask in ("niah_single_2", "niah_single_3", "niah_multivalue"))
