@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.functions import algebra
+from tallywright.functions import algebra, deadline
 from tallywright.functions.words import stripped
 
 # canonical forms
@@ -327,6 +327,12 @@ def close(prediction: str, truth: str, precision: float = 1e-3) -> bool:
 
 
 def _tested(test) -> Column:  # noqa: ANN001
+    """The test as a column function; built inside ``deadline(seconds)``, it is null where the test wasn't done in time or failed."""
+    seconds = deadline.limit()
+    if seconds is not None:
+        in_time = deadline.graded(test, seconds)
+        return lambda prediction, truth: in_time(prediction, truth)["value"]
+
     @F.pandas_udf("boolean")
     def of(predictions: pd.Series, truths: pd.Series) -> pd.Series:
         return pd.Series([test(p, t) for p, t in zip(predictions, truths, strict=True)], dtype=bool)

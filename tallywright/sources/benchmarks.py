@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import io
 import re
-import unicodedata
 import zipfile
 from base64 import b64decode
 from collections.abc import Callable, Iterator
@@ -22,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions.words import stripped
+from tallywright.sources import archives
 from tallywright.sources.tables import Dataset
 
 Loader = Callable[..., Dataset]
@@ -129,26 +129,24 @@ def trimmed(*columns: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def unzipped(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """(name, text) of an archive's members whose name matches a pattern; names that lack the flag for UTF-8 are decoded as such, in composed form."""
-
-    def name_of(info: zipfile.ZipInfo) -> str:
-        name = info.filename
-        if not info.flag_bits & 0x800:
-            try:
-                name = name.encode("cp437").decode("utf-8")
-            except UnicodeError:
-                pass
-        return unicodedata.normalize("NFC", name)
-
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame.content:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for info in archive.infolist():
-                        if not info.is_dir() and re.search(member, name_of(info)):
-                            yield pd.DataFrame({"name": [name_of(info)], "text": [archive.read(info).decode("utf-8-sig")]})
+    """(name, text) of an archive's members whose name matches a pattern, a task a member.
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "name string, text string")
+    On storage that Arrow has no file system for, Spark hands the archive over in one row, which bounds it to 2 GB.
+    """
+    try:
+        archives.placed(path)
+    except ValueError:
+        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lambda frames: _of_archives(frames, member), "name string, text string")
+    return archives.members(spark, [path], member).select("name", "text")
+
+
+def _of_archives(frames: Iterator[pd.DataFrame], member: str) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for content in frame.content:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                for info in archive.infolist():
+                    if not info.is_dir() and re.search(member, archives.name_of(info)):
+                        yield pd.DataFrame({"name": [archives.name_of(info)], "text": [archive.read(info).decode("utf-8-sig")]})
 
 
 # competitions: a problem and a short answer

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import answers, constraints, ifbench, multi_if
+from tallywright.functions.deadline import limit
 from tallywright.functions.mathematics import canonical, canonical_value, math_equal, slots_equal, theorem_equal, verified, vote_key
 from tallywright.functions.text import exact_match_form, fenced_code, flexible_number, judge_confidence, judge_grade, judge_yes
 from tallywright.functions.words import stripped
@@ -30,8 +31,12 @@ def prompted(data: Dataset, prompt: Column, reference: Column, **more: Column) -
 
 
 def judged(rows: DataFrame, answer: Column, correct: Callable[[Column], Column], **more: Column) -> DataFrame:
-    """Verdicts of rollouts (text); what isn't extracted is wrong."""
+    """Verdicts of rollouts (text); what isn't extracted is wrong. Under a deadline, what wasn't decided in time is wrong and ``timed_out``."""
     found = rows.withColumn("answer", F.nullif(answer.cast("string"), F.lit("")))
+    if limit() is not None:
+        found = found.withColumn("correct", correct(F.col("answer"))).withColumn("extracted", F.col("answer").isNotNull())
+        found = found.withColumn("timed_out", F.col("extracted") & F.col("reference").isNotNull() & F.col("correct").isNull()).withColumn("correct", F.coalesce("correct", F.lit(False)))
+        return found.withColumns(more) if more else found
     out = found.withColumn("extracted", F.col("answer").isNotNull()).withColumn("correct", F.coalesce(correct(F.col("answer")), F.lit(False)))
     return out.withColumns(more) if more else out
 

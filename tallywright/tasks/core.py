@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywright.sources.tables import Dataset
+from tallywright.tasks.reports import timeouts
 
 REQUESTED, JUDGED = "requested", "judged"
 
@@ -39,7 +40,8 @@ def evaluate(task: Task, data: Dataset | DataFrame, responses: DataFrame, n: int
     """The report (metric, value) of a task over a dataset, or over its samples, and responses; samples without any count as failed."""
     samples = task.samples(data) if isinstance(data, Dataset) else data
     verdicts = task.judge(samples.join(responses, "sample_id"))
-    return task.report(samples, verdicts, n, k)
+    report = task.report(samples, verdicts, n, k)
+    return report.unionByName(timeouts(verdicts)) if "timed_out" in verdicts.columns else report
 
 
 def identified(df: DataFrame) -> DataFrame:

@@ -25,6 +25,11 @@ def rate(hits: Column, of: Column) -> Column:
     return F.coalesce(hits * 100 / F.nullif(of, F.lit(0)), F.lit(0.0))
 
 
+def timeouts(verdicts: DataFrame) -> DataFrame:
+    """n_timed_out of verdicts made under a deadline; no row without one."""
+    return metrics(verdicts.agg(F.count_if("timed_out").alias("v")), n_timed_out=F.col("v"))
+
+
 def first_only(verdicts: DataFrame) -> DataFrame:
     return verdicts.where("idx = 0")
 
