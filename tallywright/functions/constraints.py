@@ -6,6 +6,7 @@ Patterns are aware of Unicode and take only line feeds for line ends. Names and
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,44 +28,61 @@ def check(name: str) -> Callable[[Check], Check]:
     return add
 
 
-def related(count: Column, relation: str, n: int) -> Column:
-    if relation not in ("less than", "at least"):
+#: Parameters of checks: a value, or a column of such values, so that every text can have its own.
+Text, Texts, Whole, Share = Column | str, Column | tuple[str, ...], Column | int, Column | float
+
+
+def arg(value: object) -> Column:
+    """A parameter as a column."""
+    if isinstance(value, Column):
+        return value
+    return F.array(*map(F.lit, value)) if isinstance(value, tuple | list) else F.lit(value)
+
+
+def related(count: Column, relation: Text, n: Whole) -> Column:
+    """A relation that isn't known is an error as a value, and null in a column."""
+    if isinstance(relation, str) and relation not in ("less than", "at least"):
         raise ValueError(f"no relation named {relation}")
-    return count < n if relation == "less than" else count >= n
+    return F.when(arg(relation) == "less than", count < n).when(arg(relation) == "at least", count >= n)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def matches(text: Column, pattern: Text) -> Column:
+    return F.regexp_count(text, arg(pattern))
 
 
-def literal(word: str) -> str:
+def literal(word: Text) -> Column:
     """A pattern that matches the word as it is."""
-    return "".join("\\" + c if c in r".^$*+?{}[]\|()" else c for c in word)
+    return F.regexp_replace(arg(word), r"([.^$*+?{}\[\]\\|()])", r"\\$1")
+
+
+def pattern(*parts: Text) -> Column:
+    return F.concat(*map(arg, parts))
 
 
 @check("length_constraints:number_words")
-def number_of_words(t: Column, relation: str, num_words: int) -> Column:
+def number_of_words(t: Column, relation: Text, num_words: Whole) -> Column:
     return related(matches(t, WORD), relation, num_words)
 
 
 @check("length_constraints:word_range")
-def word_range(t: Column, min_words: int, max_words: int) -> Column:
+def word_range(t: Column, min_words: Whole, max_words: Whole) -> Column:
     return matches(t, WORD).between(min_words, max_words)
 
 
 @check("length_constraints:number_sentences")
-def number_of_sentences(t: Column, relation: str, num_sentences: int) -> Column:
+def number_of_sentences(t: Column, relation: Text, num_sentences: Whole) -> Column:
     return related(F.size(sentences(t)), relation, num_sentences)
 
 
 @check("language:response_language")
-def response_language(t: Column, language: str) -> Column:
+def response_language(t: Column, language: Text) -> Column:
     """A text whose language can't be told is let through."""
-    return F.coalesce(likely_language(t) == language.split("-")[0], F.lit(True))
+    wanted = F.substring_index(arg(language), "-", 1)
+    return F.coalesce(likely_language(t), wanted) == wanted
 
 
 @check("length_constraints:number_paragraphs")
-def paragraphs(t: Column, num_paragraphs: int) -> Column:
+def paragraphs(t: Column, num_paragraphs: Whole) -> Column:
     """Paragraphs stand between lines of ***; only the first and the last may be blank."""
     parts = F.transform(F.split(t, r"\s?\*\*\*\s?"), strip)
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
@@ -72,28 +90,28 @@ def paragraphs(t: Column, num_paragraphs: int) -> Column:
 
 
 @check("detectable_content:number_placeholders")
-def placeholders(t: Column, num_placeholders: int) -> Column:
+def placeholders(t: Column, num_placeholders: Whole) -> Column:
     return matches(t, r"\[.*?\]") >= num_placeholders
 
 
 @check("detectable_content:postscript")
-def postscript(t: Column, marker: str = "P.S.") -> Column:
-    pattern = {"P.P.S": r"p\.\s?p\.\s?s", "P.S.": r"p\.\s?s\."}.get(marker, literal(marker.lower()))
-    return F.lower(t).rlike(pattern)
+def postscript(t: Column, marker: Text = "P.S.") -> Column:
+    wanted = F.when(arg(marker) == "P.P.S", r"p\.\s?p\.\s?s").when(arg(marker) == "P.S.", r"p\.\s?s\.").otherwise(literal(F.lower(arg(marker))))
+    return F.rlike(F.lower(t), wanted)
 
 
 @check("detectable_format:number_bullet_lists")
-def bullets(t: Column, num_bullets: int) -> Column:
+def bullets(t: Column, num_bullets: Whole) -> Column:
     return matches(t, r"(?md)^\s*\*[^*].*$") + matches(t, r"(?md)^\s*-.*$") == num_bullets
 
 
 @check("detectable_format:constrained_response")
-def constrained_response(t: Column, options: tuple[str, ...] = ("My answer is yes.", "My answer is no.", "My answer is maybe.")) -> Column:
-    return F.exists(F.array(*map(F.lit, options)), lambda o: strip(t).contains(o))
+def constrained_response(t: Column, options: Texts = ("My answer is yes.", "My answer is no.", "My answer is maybe.")) -> Column:
+    return F.exists(arg(options), lambda o: strip(t).contains(o))
 
 
 @check("detectable_format:number_highlighted_sections")
-def highlights(t: Column, num_highlights: int) -> Column:
+def highlights(t: Column, num_highlights: Whole) -> Column:
     """Spans between single asterisks and spans between double ones, each kind found on its own; blank ones don't count."""
     single = F.regexp_extract_all(t, F.lit(r"(\*[^\n*]*\*)"))
     double = F.regexp_extract_all(t, F.lit(r"(\*\*[^\n*]*\*\*)"))
@@ -102,8 +120,8 @@ def highlights(t: Column, num_highlights: int) -> Column:
 
 
 @check("detectable_format:multiple_sections")
-def sections(t: Column, section_spliter: str, num_sections: int) -> Column:
-    return matches(t, rf"\s?{literal(section_spliter)}\s?\d+\s?") >= num_sections
+def sections(t: Column, section_spliter: Text, num_sections: Whole) -> Column:
+    return matches(t, pattern(r"\s?", literal(section_spliter), r"\s?\d+\s?")) >= num_sections
 
 
 @check("detectable_format:json_format")
@@ -119,49 +137,44 @@ def title(t: Column) -> Column:
 
 
 @check("detectable_format:rephrase")
-def rephrased(t: Column, original_message: Column | str) -> Column:
+def rephrased(t: Column, original_message: Text) -> Column:
     """Nothing but what stands between asterisks is changed; without any such change it isn't followed."""
-    original = F.lit(original_message) if isinstance(original_message, str) else original_message
     change = r"(?d)\*.*\*"
-    return t.rlike(change) & (F.regexp_replace(t, change, "") == F.regexp_replace(original, change, ""))
+    return t.rlike(change) & (F.regexp_replace(t, change, "") == F.regexp_replace(arg(original_message), change, ""))
 
 
 @check("detectable_content:rephrase_paragraph")
-def rephrased_paragraph(t: Column, original_paragraph: Column | str, low: int, high: int) -> Column:
+def rephrased_paragraph(t: Column, original_paragraph: Text, low: Whole, high: Whole) -> Column:
     """The words that both have, each as often as both have it, are from low to high."""
-    original = F.lit(original_paragraph) if isinstance(original_paragraph, str) else original_paragraph
-    mine, theirs = word_runs(F.lower(t)), word_runs(F.lower(original))
+    mine, theirs = word_runs(F.lower(t)), word_runs(F.lower(arg(original_paragraph)))
     shared = F.aggregate(F.array_intersect(mine, theirs), F.lit(0), lambda s, w: s + F.least(F.size(F.filter(mine, lambda x: x == w)), F.size(F.filter(theirs, lambda x: x == w))))
     return shared.between(low, high)
 
 
 @check("keywords:key_sentences")
-def key_sentences(t: Column, key_sentences: tuple[str, ...], num_sentences: int) -> Column:
-    return F.size(F.array_intersect(F.array(*map(F.lit, dict.fromkeys(key_sentences))), sentences(t))) == num_sentences
+def key_sentences(t: Column, key_sentences: Texts, num_sentences: Whole) -> Column:
+    return F.size(F.array_intersect(arg(key_sentences), sentences(t))) == num_sentences
 
 
 @check("keywords:existence")
-def keywords(t: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(True)
-    for w in words:
-        out = out & t.rlike("(?iu)" + literal(w))
-    return out
+def keywords(t: Column, words: Texts) -> Column:
+    return F.forall(arg(words), lambda w: F.rlike(t, pattern("(?iu)", literal(w))))
 
 
 @check("keywords:frequency")
-def keyword_frequency(t: Column, keyword: str, relation: str, frequency: int) -> Column:
-    return related(matches(t, "(?iu)" + literal(keyword)), relation, frequency)
+def keyword_frequency(t: Column, keyword: Text, relation: Text, frequency: Whole) -> Column:
+    return related(matches(t, pattern("(?iu)", literal(keyword))), relation, frequency)
 
 
 @check("keywords:forbidden_words")
-def forbidden(t: Column, words: tuple[str, ...]) -> Column:
-    return ~t.rlike(r"(?iuU)\b(?:" + "|".join(map(literal, words)) + r")\b")
+def forbidden(t: Column, words: Texts) -> Column:
+    return ~F.rlike(t, pattern(r"(?iuU)\b(?:", F.array_join(F.transform(arg(words), literal), "|"), r")\b"))
 
 
 @check("keywords:letter_frequency")
-def letter_frequency(t: Column, letter: str, relation: str, frequency: int) -> Column:
+def letter_frequency(t: Column, letter: Text, relation: Text, frequency: Whole) -> Column:
     """The letter is one character; what isn't from a to z is counted as it is."""
-    return related(occurrences(F.lower(t), letter.strip().lower()), relation, frequency)
+    return related(occurrences(F.lower(t), F.lower(strip(arg(letter)))), relation, frequency)
 
 
 def _english(t: Column) -> Column:
@@ -190,7 +203,7 @@ def uppercase(t: Column) -> Column:
 
 
 @check("change_case:capital_word_frequency")
-def capital_words(t: Column, relation: str, frequency: int) -> Column:
+def capital_words(t: Column, relation: Text, frequency: Whole) -> Column:
     return related(F.size(F.filter(tokens(t), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), relation, frequency)
 
 
@@ -203,14 +216,13 @@ def two_responses(t: Column) -> Column:
 
 
 @check("combination:repeat_prompt")
-def repeat_prompt(t: Column, prompt: Column | str) -> Column:
-    prompt = F.lit(prompt) if isinstance(prompt, str) else prompt
-    return F.lower(strip(t)).startswith(F.lower(strip(prompt)))
+def repeat_prompt(t: Column, prompt: Text) -> Column:
+    return F.lower(strip(t)).startswith(F.lower(strip(arg(prompt))))
 
 
 @check("startend:end_checker")
-def end_phrase(t: Column, phrase: str) -> Column:
-    return F.lower(F.regexp_replace(strip(t), '"+$', "")).endswith(phrase.strip().lower())
+def end_phrase(t: Column, phrase: Text) -> Column:
+    return F.lower(F.regexp_replace(strip(t), '"+$', "")).endswith(F.lower(strip(arg(phrase))))
 
 
 @check("startend:quotation")
@@ -220,8 +232,8 @@ def quotation(t: Column) -> Column:
 
 
 @check("startend:constrained_start")
-def constrained_start(t: Column, starter: str) -> Column:
-    return t.rlike(rf"(?mdU)^\s*{literal(starter)}.*$")
+def constrained_start(t: Column, starter: Text) -> Column:
+    return F.rlike(t, pattern(r"(?mdU)^\s*", literal(starter), ".*$"))
 
 
 @check("punctuation:no_comma")
@@ -235,19 +247,19 @@ def _first_word(paragraph: Column) -> Column:
 
 
 @check("length_constraints:nth_paragraph_first_word")
-def nth_paragraph(t: Column, num_paragraphs: int, nth_paragraph: int, first_word: str) -> Column:
+def nth_paragraph(t: Column, num_paragraphs: Whole, nth_paragraph: Whole, first_word: Text) -> Column:
     """Blank paragraphs don't count among all of them, but they do before the nth."""
     parts = F.transform(F.split(t, r"\n\n"), strip)
-    count, mine = F.size(F.filter(parts, lambda p: p != "")), F.get(parts, F.lit(nth_paragraph - 1))
+    count, mine = F.size(F.filter(parts, lambda p: p != "")), F.get(parts, arg(nth_paragraph) - 1)
     return (count == num_paragraphs) & (count >= nth_paragraph) & (mine != "") & (_first_word(mine) == first_word)
 
 
 @check("nth_paragraph:first_word")
-def repaired_nth_paragraph(t: Column, num_paragraphs: int, nth_paragraph: int, first_word: str) -> Column:
+def repaired_nth_paragraph(t: Column, num_paragraphs: Whole, nth_paragraph: Whole, first_word: Text) -> Column:
     """Blank paragraphs never count; a first "word" of several is compared with as many."""
     parts = F.filter(F.transform(F.split(t, r"\n\n"), strip), lambda p: p != "")
-    opening = F.slice(F.split(F.get(parts, F.lit(nth_paragraph - 1)), r"(?U)\s+"), 1, len(first_word.split()) or 1)
-    return (F.size(parts) == num_paragraphs) & (F.array_join(F.transform(opening, _first_word), " ") == first_word.lower())
+    opening = F.slice(F.split(F.get(parts, arg(nth_paragraph) - 1), r"(?U)\s+"), F.lit(1), F.size(F.split(strip(arg(first_word)), r"(?U)\s+")))
+    return (F.size(parts) == num_paragraphs) & (F.array_join(F.transform(opening, _first_word), " ") == F.lower(arg(first_word)))
 
 
 REPAIRED: dict[str, Check] = CHECKS | {"length_constraints:nth_paragraph_first_word": repaired_nth_paragraph}
@@ -271,20 +283,37 @@ def loose(name: str, text: Column, registry: dict[str, Check] | None = None, **k
     return F.coalesce(F.exists(forms, lambda t: (strip(t) != "") & test(t, **kwargs)), F.lit(False))
 
 
-def followed(rows: DataFrame, cases: dict[tuple[str, str], dict], registry: dict[str, Check] | None = None, keys: tuple[str, ...] = ("sample_id", "idx")) -> DataFrame:
+#: How the kinds of parameters are read from the texts of JSON values. Whole numbers may be written with a fraction of zero.
+READ: dict[str, Callable[[Column], Column]] = {
+    "Text": lambda v: v, "Texts": lambda v: F.from_json(v, "array<string>"), "Whole": lambda v: v.cast("double").cast("int"), "Share": lambda v: v.cast("double"),
+}
+
+
+def arguments(test: Check, given: Column, renamed: dict[str, str]) -> dict[str, Column]:
+    """A check's parameters from a map of texts, under their own names or those that a benchmark gives them; without one, the default."""
+    out = {}
+    for name, p in list(signature(test).parameters.items())[1:]:
+        if p.annotation in READ:
+            value = F.coalesce(*[READ[p.annotation](F.try_element_at(given, F.lit(k))) for k in (name, *(k for k, v in renamed.items() if v == name))])
+            out[name] = value if p.default is p.empty else F.coalesce(value, arg(p.default))
+    return out
+
+
+def followed(rows: DataFrame, registry: dict[str, Check] | None = None, renamed: dict[str, str] | None = None, keys: tuple[str, ...] = ("sample_id", "idx")) -> DataFrame:
     """rows (keys, text, instruction_id_list, kwargs as JSON) with two columns more: strict and loose, array<boolean> in order of the instructions.
 
-    ``cases`` holds the distinct (id, kwargs as JSON) that occur, with the kwargs as a dict: instructions are parameters of a
-    benchmark, so each distinct one becomes a branch of the plan. Each instruction is a row of its own, so that a text is tested for
-    its own instructions only; unknown ones are not followed. Rows without instructions get empty arrays.
+    Parameters stay columns: the plan has a branch a check of the registry, however many samples and parameters there are. Each
+    instruction is a row of its own, so that a text is tested for its own instructions only; unknown ones, and those that lack a
+    parameter, are not followed. Rows without instructions get empty arrays.
     """
+    tests = registry or CHECKS
     each = rows.select(*keys, "text", F.posexplode(F.arrays_zip("instruction_id_list", "kwargs")).alias("_at", "_of"))
-    key = F.concat_ws("|", F.col("_of.instruction_id_list"), F.col("_of.kwargs"))
+    each = each.withColumn("_name", F.col("_of.instruction_id_list")).withColumn("_given", F.from_json(F.coalesce("_of.kwargs", F.lit("{}")), "map<string,string>"))
     verdicts = []
     for way in (strict, loose):
         verdict = F.lit(False)
-        for (name, args), kwargs in sorted((c for c in cases.items() if c[0][0] in (registry or CHECKS)), key=lambda c: c[0], reverse=True):
-            verdict = F.when(key == f"{name}|{args}", way(name, F.col("text"), registry, **kwargs)).otherwise(verdict)
+        for name, test in sorted(tests.items(), reverse=True):
+            verdict = F.when(F.col("_name") == name, way(name, F.col("text"), tests, **arguments(test, F.col("_given"), renamed or {}))).otherwise(verdict)
         verdicts.append(verdict.alias(f"_{way.__name__}"))
     done = each.select(*keys, "_at", *verdicts).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_strict", "_loose"))).alias("_all"))  # a prompt's few instructions
     none = F.array().cast("array<boolean>")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.functions.constraints import Check, literal
+from tallywright.functions.constraints import Check, Share, Text, Whole, arg, literal, pattern
 from tallywright.functions.text import PUNCTUATION
 from tallywright.functions.words import all_pairs_next, bare, occurrences, plain, sentences, stop_word_count, stripped, tokens, word_runs, words
 
@@ -75,25 +75,25 @@ def _first(w: Column) -> Column:
     return F.substring(w, 1, 1)
 
 
-def _nth(items: Column, n: int) -> Column:
+def _nth(items: Column, n: Whole) -> Column:
     """The n-th from 1, or from the end if n is negative; null if there is none."""
-    return F.try_element_at(items, F.lit(n))
+    return F.try_element_at(items, arg(n))
 
 
 @check("count:word_count_range")
-def word_count_range(t: Column, min_words: int, max_words: int) -> Column:
+def word_count_range(t: Column, min_words: Whole, max_words: Whole) -> Column:
     return F.size(word_runs(t)).between(min_words, max_words)
 
 
 @check("count:unique_word_count")
-def unique_words(t: Column, N: int) -> Column:
+def unique_words(t: Column, N: Whole) -> Column:
     return F.size(F.array_distinct(F.transform(words(F.lower(t)), bare))) >= N
 
 
 @check("ratio:stop_words")
-def stop_word_share(t: Column, percentage: float) -> Column:
+def stop_word_share(t: Column, percentage: Share) -> Column:
     n = F.size(word_runs(t))
-    return (n > 0) & (stop_word_count(t) * 100 <= n * F.lit(percentage))
+    return (n > 0) & (stop_word_count(t) * 100 <= n * arg(percentage))
 
 
 def _ending(t: Column, sign: str) -> Column:
@@ -111,13 +111,13 @@ def sentence_balance(t: Column) -> Column:
 
 
 @check("count:conjunctions")
-def conjunctions(t: Column, small_n: int) -> Column:
+def conjunctions(t: Column, small_n: Whole) -> Column:
     """Words as they are written count as different; only what they mean is compared in lower case."""
     return F.size(F.array_distinct(F.filter(words(t), lambda w: F.lower(bare(w)).isin(*CONJUNCTIONS)))) >= small_n
 
 
 @check("count:person_names")
-def person_names(t: Column, N: int) -> Column:
+def person_names(t: Column, N: Whole) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, NAMES)), lambda name: F.array_contains(word_runs(t), name))) >= N
 
 
@@ -126,14 +126,14 @@ def _trigrams(t: Column) -> Column:
 
 
 @check("ratio:overlap")
-def trigram_overlap(t: Column, reference_text: Column | str, percentage: float) -> Column:
+def trigram_overlap(t: Column, reference_text: Text, percentage: Share) -> Column:
     mine = _trigrams(t)
-    share = F.size(F.array_intersect(mine, _trigrams(F.lit(reference_text) if isinstance(reference_text, str) else reference_text))) * 100 / F.nullif(F.size(mine), F.lit(0))
+    share = F.size(F.array_intersect(mine, _trigrams(arg(reference_text)))) * 100 / F.nullif(F.size(mine), F.lit(0))
     return (F.size(mine) > 0) & share.between(percentage - 2, percentage + 2)
 
 
 @check("count:numbers")
-def numbers(t: Column, N: int) -> Column:
+def numbers(t: Column, N: Whole) -> Column:
     return F.regexp_count(plain(t), F.lit(r"\p{Nd}+")) == N
 
 
@@ -221,13 +221,13 @@ def prime_lengths(t: Column) -> Column:
 
 
 @check("format:options")
-def options_response(t: Column, options: str) -> Column:
+def options_response(t: Column, options: Text) -> Column:
     """One of the options; lettered ones exactly, others without regard to case and signs around them."""
-    glue = "/" if "/" in options else "or" if "or" in options else ","
-    each = [o.strip() for o in options.split(glue)]
-    if re.match(r"\W*[aA]\W*[bB]\W*[cC]\W*", options):
-        return t.isin(*each)
-    return F.lower(bare(t)).isin(*[o.strip(PUNCTUATION + " ").lower() for o in each])
+    given = arg(options)
+    glue = F.when(given.contains("/"), "/").when(given.contains("or"), "or").otherwise(",")
+    each = F.transform(F.split(given, glue), stripped)
+    plain_ones = F.transform(each, lambda o: F.lower(F.btrim(o, F.lit(PUNCTUATION + " "))))
+    return F.when(given.rlike(r"(?U)\A\W*[aA]\W*[bB]\W*[cC]\W*"), F.array_contains(each, t)).otherwise(F.array_contains(plain_ones, F.lower(bare(t))))
 
 
 @check("format:newline")
@@ -251,8 +251,8 @@ def equal_sentences(t: Column) -> Column:
 
 
 @check("count:words_japanese")
-def japanese_words(t: Column, N: int) -> Column:
-    checked = F.transform(words(t), lambda w, i: ((i + 1) % N != 0) | (bare(w) == "") | bare(w).rlike(r"^\p{Nd}+\z") | w.rlike(r"[぀-ヿ一-鿿]"))
+def japanese_words(t: Column, N: Whole) -> Column:
+    checked = F.transform(words(t), lambda w, i: ((i + 1) % F.nullif(arg(N), F.lit(0)) != 0) | (bare(w) == "") | bare(w).rlike(r"^\p{Nd}+\z") | w.rlike(r"[぀-ヿ一-鿿]"))
     return F.forall(checked, lambda x: x)
 
 
@@ -263,19 +263,19 @@ def starts_with_verb(t: Column) -> Column:
 
 
 @check("words:repeats")
-def limited_repeats(t: Column, small_n: int) -> Column:
+def limited_repeats(t: Column, small_n: Whole) -> Column:
     """No word stands more often: among the words in order, none equals the one so many places before it."""
     inorder = F.array_sort(words(F.lower(plain(t))))
-    return F.forall(F.transform(inorder, lambda w, i: F.coalesce(w != F.get(inorder, i - small_n), F.lit(True))), lambda x: x)
+    return F.forall(F.transform(inorder, lambda w, i: F.coalesce(w != F.get(inorder, i - arg(small_n)), F.lit(True))), lambda x: x)
 
 
 @check("sentence:keyword")
-def sentence_keyword(t: Column, word: str, N: int) -> Column:
-    return F.coalesce(_nth(sentences(t), N).rlike(rf"(?iu)(?U)\b{literal(word)}\b"), F.lit(False))
+def sentence_keyword(t: Column, word: Text, N: Whole) -> Column:
+    return F.coalesce(F.rlike(_nth(sentences(t), N), pattern(r"(?iu)(?U)\b", literal(word), r"\b")), F.lit(False))
 
 
 @check("count:pronouns")
-def pronouns(t: Column, N: int) -> Column:
+def pronouns(t: Column, N: Whole) -> Column:
     return F.size(F.filter(tokens(F.lower(F.replace(t, F.lit("/"), F.lit(" ")))), lambda w: w.isin(*PRONOUNS))) >= N
 
 
@@ -308,7 +308,7 @@ def paragraph_ends(t: Column) -> Column:
 
 
 @check("sentence:increment")
-def sentence_increment(t: Column, small_n: int) -> Column:
+def sentence_increment(t: Column, small_n: Whole) -> Column:
     return all_pairs_next(F.transform(sentences(t), lambda s: F.size(words(plain(s)))), lambda a, b: b == a + small_n)
 
 
@@ -344,7 +344,7 @@ def quotes_explained(t: Column) -> Column:
 
 
 @check("format:list")
-def separators(t: Column, sep: str) -> Column:
+def separators(t: Column, sep: Text) -> Column:
     return occurrences(t, sep) >= 2
 
 
@@ -488,30 +488,30 @@ def dates(t: Column) -> Column:
 
 
 @check("count:keywords_multiple")
-def keyword_counts(t: Column, keyword1: str, keyword2: str, keyword3: str, keyword4: str, keyword5: str) -> Column:
+def keyword_counts(t: Column, keyword1: Text, keyword2: Text, keyword3: Text, keyword4: Text, keyword5: Text) -> Column:
     out = F.lit(True)
     for word, n in zip((keyword1, keyword2, keyword3, keyword4, keyword5), (1, 2, 3, 5, 7), strict=True):
-        out = out & (occurrences(F.lower(t), word.strip().lower()) == n)
+        out = out & (occurrences(F.lower(t), F.lower(stripped(arg(word)))) == n)
     return out
 
 
 @check("words:keywords_specific_position")
-def keyword_place(t: Column, keyword: str, n: int, m: int) -> Column:
+def keyword_place(t: Column, keyword: Text, n: Whole, m: Whole) -> Column:
     named = F.filter(tokens(_nth(sentences(t), n)), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    return F.coalesce(F.lower(_nth(named, m)) == keyword.strip().lower(), F.lit(False))
+    return F.coalesce(F.lower(_nth(named, m)) == F.lower(stripped(arg(keyword))), F.lit(False))
 
 
 @check("words:words_position")
-def second_words(t: Column, keyword: str) -> Column:
+def second_words(t: Column, keyword: Text) -> Column:
     """The second token and the second to last one, not counting one sign at the end."""
     found = F.transform(tokens(t), F.lower)
     last = F.when(_nth(found, -1).rlike(r"^\p{Punct}$"), _nth(found, -3)).otherwise(_nth(found, -2))
-    return F.coalesce((_nth(found, 2) == keyword.strip().lower()) & (last == keyword.strip().lower()), F.lit(False))
+    return F.coalesce((_nth(found, 2) == F.lower(stripped(arg(keyword)))) & (last == F.lower(stripped(arg(keyword)))), F.lit(False))
 
 
 @check("repeat:repeat_change")
-def repeated_but_first(t: Column, prompt_to_repeat: Column | str) -> Column:
-    prompt = F.lit(prompt_to_repeat) if isinstance(prompt_to_repeat, str) else prompt_to_repeat
+def repeated_but_first(t: Column, prompt_to_repeat: Text) -> Column:
+    prompt = arg(prompt_to_repeat)
     mine, theirs = words(t), words(prompt)
     return (t != prompt) & (F.slice(mine, 2, F.greatest(F.size(mine), F.lit(1))) == F.slice(theirs, 2, F.greatest(F.size(theirs), F.lit(1))))
 
@@ -522,9 +522,9 @@ def repeated_simply(t: Column) -> Column:
 
 
 @check("repeat:repeat_span")
-def repeated_span(t: Column, prompt_to_repeat: Column | str, n_start: int, n_end: int) -> Column:
-    prompt = F.lit(prompt_to_repeat) if isinstance(prompt_to_repeat, str) else prompt_to_repeat
-    return F.lower(stripped(t)) == F.lower(stripped(F.substring(prompt, F.lit(n_start + 1), F.lit(n_end - n_start + 1))))
+def repeated_span(t: Column, prompt_to_repeat: Text, n_start: Whole, n_end: Whole) -> Column:
+    prompt = arg(prompt_to_repeat)
+    return F.lower(stripped(t)) == F.lower(stripped(F.substring(prompt, arg(n_start) + 1, arg(n_end) - arg(n_start) + 1)))
 
 
 @check("format:title_case")
@@ -563,9 +563,9 @@ def repaired_sentence_types(t: Column) -> Column:
     return (asked >= 1) & (F.size(F.filter(ends, lambda c: c == ".")) == 2 * asked)
 
 
-def repaired_second_words(t: Column, keyword: str) -> Column:
+def repaired_second_words(t: Column, keyword: Text) -> Column:
     named = F.transform(F.filter(tokens(t), lambda w: ~w.rlike(r"^[\p{Punct}\p{P}]+$")), F.lower)
-    return (F.size(named) >= 2) & (_nth(named, 2) == keyword.strip().lower()) & (_nth(named, -2) == keyword.strip().lower())
+    return (F.size(named) >= 2) & (_nth(named, 2) == F.lower(stripped(arg(keyword)))) & (_nth(named, -2) == F.lower(stripped(arg(keyword))))
 
 
 def repaired_vowels(t: Column) -> Column:

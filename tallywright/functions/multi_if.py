@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallywright.functions import constraints
-from tallywright.functions.constraints import CHECKS, Check, related
+from tallywright.functions.constraints import CHECKS, Check, Text, Whole, related
 from tallywright.functions.ifbench import EMOJI
 from tallywright.functions.text import loose_forms
 from tallywright.functions.words import likely_language, sentences, stripped, word_runs, words
@@ -36,11 +36,11 @@ def sentence_count(t: Column) -> Column:
     return F.when(language.isin("zh", "ja"), eastern).when(language == "hi", hindi).when(language == "th", thai).otherwise(F.size(sentences(t)))
 
 
-def number_of_words(t: Column, relation: str, num_words: int) -> Column:
+def number_of_words(t: Column, relation: Text, num_words: Whole) -> Column:
     return related(word_count(t), relation, num_words)
 
 
-def number_of_sentences(t: Column, relation: str, num_sentences: int) -> Column:
+def number_of_sentences(t: Column, relation: Text, num_sentences: Whole) -> Column:
     return related(sentence_count(t), relation, num_sentences)
 
 

@@ -498,14 +498,6 @@ add("scitarc_0shot_gen", "scitarc", _tables, _table_verdicts, _table_report, "ac
 # instructions
 
 
-def instruction_cases(samples: DataFrame) -> dict[tuple[str, str], dict]:
-    """The distinct instructions (id, kwargs as JSON) of samples: parameters of a benchmark, each of which becomes an expression."""
-    import json
-
-    pairs = samples.select(F.explode(F.arrays_zip("instruction_id_list", "kwargs")).alias("x")).select("x.*").distinct().collect()
-    return {(r[0], r[1]): {k: v for k, v in json.loads(r[1] or "{}").items() if v is not None} for r in pairs}
-
-
 def _instructed(data: Dataset) -> DataFrame:
     """kwargs are kept as JSON without nulls, so that equal ones are equal texts."""
     rows = identified(data.test)
@@ -518,10 +510,9 @@ def _instructed(data: Dataset) -> DataFrame:
 RENAMED = {"keywords": "words", "forbidden_words": "words", "end_phrase": "phrase", "prompt_to_repeat": "prompt", "let_frequency": "frequency", "let_relation": "relation", "capital_frequency": "frequency", "capital_relation": "relation", "postscript_marker": "marker"}
 
 
-def _following(registry: dict, renamed: dict[str, str], empty: bool = False) -> Callable[[DataFrame], DataFrame]:
+def _following(registry: dict, renamed: dict[str, str]) -> Callable[[DataFrame], DataFrame]:
     def judge(rows: DataFrame) -> DataFrame:
-        cases = {case: {renamed.get(k, k): v for k, v in kwargs.items()} for case, kwargs in instruction_cases(rows).items()}
-        out = constraints.followed(judged(rows, text(), lambda a: F.lit(False)), cases, registry)
+        out = constraints.followed(judged(rows, text(), lambda a: F.lit(False)), registry, renamed)
         return out.withColumn("correct", F.forall("strict", lambda x: x))
 
     return judge
@@ -541,7 +532,7 @@ def _turns(data: Dataset) -> DataFrame:
 
 
 for _name, _registry in (("multi_if_0shot_gen", multi_if.MULTI_IF), ("multi_if_0shot_gen_fixed", multi_if.MULTI_IF_REPAIRED)):
-    add(_name, "multi_if", _turns, _following(_registry, RENAMED, empty=True), lambda s, v, n, k: reports.turns_followed(s, v), "all_turns_all_languages_overall", JUDGED)
+    add(_name, "multi_if", _turns, _following(_registry, RENAMED), lambda s, v, n, k: reports.turns_followed(s, v), "all_turns_all_languages_overall", JUDGED)
 
 
 def _inverse(data: Dataset) -> DataFrame:

@@ -1,5 +1,7 @@
 """Instruction checks of all families, each on texts that follow and texts that don't."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,13 +70,35 @@ def test_checks(spark, part):
 def test_loose_forms_and_whole_prompts(spark):
     rows = [("Sure!\nabc", ["format:no_whitespace", "custom:csv_city"], ["{}", "{}"]), ("a b", ["format:no_whitespace"], ["{}"])]
     frame = spark.createDataFrame([(i, 0, *r) for i, r in enumerate([*rows, ("x", [], [])])], "sample_id long, idx int, text string, instruction_id_list array<string>, kwargs array<string>")
-    cases = {("format:no_whitespace", "{}"): {}, ("custom:csv_city", "{}"): {}}
-    got = constraints.followed(frame, cases, IFBENCH).orderBy("sample_id").collect()
+    got = constraints.followed(frame, IFBENCH).orderBy("sample_id").collect()
     assert [(r.strict, r.loose) for r in got] == [([False, False], [True, False]), ([False], [False]), ([], [])]
     assert spark.createDataFrame([("Intro:\n" + CITY,)], "t string").select(constraints.loose("custom:csv_city", F.col("t"), IFBENCH)).first()[0] is True
     assert spark.createDataFrame([(" ",)], "t string").select(multi_if.strict("punctuation:no_comma", F.col("t")), constraints.strict("punctuation:no_comma", F.col("t"))).first()[:] == (True, False)
 
 
+def test_parameters_as_columns(spark):
+    """Every case again, all of a registry in one plan, with the parameters of each text in a column as JSON."""
+    for registry in (IFBENCH, IFBENCH_REPAIRED, CHECKS, REPAIRED, MULTI_IF):
+        cases = [(IFBENCH, *c) for c in CASES] + MORE
+        rows = [(want, t, [name], [json.dumps(kwargs)]) for r, name, kwargs, good, bad in cases if r is registry for want, ts in ((True, good), (False, bad)) for t in ts if t.strip()]
+        frame = spark.createDataFrame([(i, 0, *r) for i, r in enumerate(rows)], "sample_id long, idx int, want boolean, text string, instruction_id_list array<string>, kwargs array<string>")
+        got = constraints.followed(frame, registry).where(F.col("strict")[0] != F.col("want")).select("text", "instruction_id_list", "kwargs", "want").collect()
+        assert not got, got
+
+
+def test_parameters_that_benchmarks_write_otherwise(spark):
+    from tallywright.tasks.catalogue import RENAMED
+
+    rows = [
+        ("one two three", "length_constraints:number_words", '{"relation": "at least", "num_words": 3.0}', True), ("a+b", "keywords:existence", '{"keywords": ["A+B"], "num_words": null}', True), ("aab", "keywords:existence", '{"keywords": ["A+B"]}', False),
+        ("the end", "startend:end_checker", '{"end_phrase": " End "}', True), ("x", "length_constraints:number_words", "{}", False), ("x", "length_constraints:number_words", '{"relation": "no more", "num_words": 1}', False),
+        ("x P.S. y", "detectable_content:postscript", None, True), ("x", "no:such", "{}", False), ("a, b", "keywords:forbidden_words", '{"forbidden_words": ["c", "d"]}', True), ("x", "length_constraints:number_words", "no JSON", False),
+    ]
+    frame = spark.createDataFrame([(i, 0, t, [n], [k]) for i, (t, n, k, _) in enumerate(rows)], "sample_id long, idx int, text string, instruction_id_list array<string>, kwargs array<string>")
+    got = {r.sample_id: r.strict for r in constraints.followed(frame, CHECKS, RENAMED).collect()}
+    assert got == {i: [w] for i, (*_, w) in enumerate(rows)}
+
+
 def test_languages(spark):
     rows = [("the cat is on the mat", "en"), ("der Hund und die Katze", "de"), ("le chat est sur la table", "fr"), ("это кошка", "ru"), ("это 猫です", "ja"), ("1 2 3", None), ("नमस्ते", "hi")]
     got = spark.createDataFrame(rows, "t string, want string").where("t <> 'это 猫です'").select("want", words.likely_language(F.col("t")).alias("got")).collect()
