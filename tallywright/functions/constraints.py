@@ -82,9 +82,11 @@ def response_language(t: Column, language: Text) -> Column:
 
 
 @check("length_constraints:number_paragraphs")
-def paragraphs(t: Column, num_paragraphs: Whole) -> Column:
-    """Paragraphs stand between lines of ***; only the first and the last may be blank."""
+def paragraphs(t: Column, num_paragraphs: Whole, blank_ends: bool = True) -> Column:
+    """Paragraphs stand between lines of ***; only the first and the last may be blank, and don't count then. Without ``blank_ends`` all parts count, blank ones too."""
     parts = F.transform(F.split(t, r"\s?\*\*\*\s?"), strip)
+    if not blank_ends:
+        return F.size(parts) == num_paragraphs
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
     return (F.size(F.filter(parts, lambda p: p != "")) == num_paragraphs) & ~F.exists(inner, lambda p: p == "")
 
