@@ -23,8 +23,10 @@ def _in_loads(rows: DataFrame, load: Column, loads: int, schema: str, stream: Ca
     """Writes the rows load by load; after each, a stream that goes on from the last checkpoint takes in what is new."""
     spark, base = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
     columns = [part.split() for part in schema.split(", ")]
+    rows.select(*[F.col(name).cast(kind) for name, kind in columns], load.cast("int").alias("load")).write.partitionBy("load").parquet(f"{base}/all")  # made once
+    made = spark.read.schema(f"{schema}, load int").parquet(f"{base}/all")
     for k in range(loads):
-        rows.where(load == k).select(*[F.col(name).cast(kind) for name, kind in columns]).write.mode("append").parquet(f"{base}/in")
+        made.where(F.col("load") == k).drop("load").write.mode("append").parquet(f"{base}/in")
         fresh = spark.readStream.schema(schema).parquet(f"{base}/in")
         samples.kept(stream(fresh), f"{base}/out", f"{base}/state", each).awaitTermination()
     return samples.parts_of(spark, f"{base}/out", out)

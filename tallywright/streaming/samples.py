@@ -1,7 +1,7 @@
 """Samples as a stream: each one's way through the stages, and a report that follows from new records alone.
 
-Both keep state by sample_id, so work follows the records that come, not those that came before. A sample's state is small (a stage; or its
-rollouts, of which a run asks for n), but there are as many states as samples: for many millions set
+The log keeps a state a sample, the report one of up to 1,024 samples whose ids are neighbours, so work follows the records that come and
+what those hold, not all that came before. A sample's state is small (a stage; or its rollouts, of which a run asks for n): for many millions set
 ``spark.sql.streaming.stateStore.providerClass`` to Spark's RocksDB provider, as ``session()`` does.
 """
 
@@ -29,6 +29,9 @@ JUDGED = "sample_id long, idx long, seq long, correct boolean, vote string, extr
 #: What a report needs of a sample, and how many samples more (or, below zero, fewer) are like that.
 CHANGE = "n long, c long, majority int, top long, n_unextracted long, weight long"
 
+#: Ids of samples that are equal without so many low bits share one state in changes(): 1,024 samples at most.
+TOGETHER = 10
+
 
 class Progress(NamedTuple):
     """Where a sample stands."""
@@ -122,25 +125,36 @@ def changes(judged: DataFrame) -> DataFrame:
     """What a stream of judged rollouts (JUDGED) changes in a report (CHANGE): a sample's old standing is taken back, its new one is put in.
 
     A record replaces one of the same sample_id and idx with a smaller seq; one that comes again, or late, changes nothing. Null correct
-    and extracted are false; rows with a null sample_id, idx or seq are left out.
+    and extracted are false; rows with a null sample_id, idx or seq are left out. Samples whose ids are neighbours share a state and a call
+    of Python, and what they change is summed before it leaves.
     """
 
-    def moved(key: tuple[int], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def moved(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = json.loads(state.get[0]) if state.exists else {}
-        was = _standing(known) if known else None
-        for frame in rows:
-            for idx, seq, correct, vote, extracted in frame[["idx", "seq", "correct", "vote", "extracted"]].astype(object).itertuples(index=False, name=None):
-                if str(idx) not in known or known[str(idx)][0] < seq:
-                    known[str(idx)] = [int(seq), bool(correct), vote if isinstance(vote, str) else "", bool(extracted)]
-        state.update((json.dumps(known),))
-        now = _standing(known)
-        if now != was:
-            yield pd.DataFrame([(*now, 1)] + ([(*was, -1)] if was else []), columns=[c.split()[0] for c in CHANGE.split(", ")])
+        was: dict[str, tuple[int, ...] | None] = {}
+        for frame in frames:
+            for sample_id, idx, seq, correct, vote, extracted in zip(*[frame[c].tolist() for c in ("sample_id", "idx", "seq", "correct", "vote", "extracted")], strict=True):
+                sample, at = str(sample_id), str(idx)
+                rollouts = known.setdefault(sample, {})
+                if at not in rollouts or rollouts[at][0] < seq:
+                    if sample not in was:
+                        was[sample] = _standing(rollouts) if rollouts else None
+                    rollouts[at] = [int(seq), bool(correct), vote if isinstance(vote, str) else "", bool(extracted)]
+        if not was:
+            return
+        state.update((json.dumps(known, separators=(",", ":")),))
+        moves: Counter[tuple[int, ...]] = Counter()
+        for sample, before in was.items():
+            moves[_standing(known[sample])] += 1
+            if before is not None:
+                moves[before] -= 1
+        if any(moves.values()):
+            yield pd.DataFrame([(*standing, k) for standing, k in moves.items() if k], columns=[c.split()[0] for c in CHANGE.split(", ")])
 
     rows = judged.where("sample_id is not null and idx is not null and seq is not null").select(
-        "sample_id", "idx", "seq", F.coalesce("correct", F.lit(False)).alias("correct"), F.trim(F.coalesce("vote", F.lit(""))).alias("vote"), F.coalesce("extracted", F.lit(False)).alias("extracted")
+        F.shiftright("sample_id", TOGETHER).alias("block"), "sample_id", "idx", "seq", F.coalesce("correct", F.lit(False)).alias("correct"), F.trim(F.coalesce("vote", F.lit(""))).alias("vote"), F.coalesce("extracted", F.lit(False)).alias("extracted")
     )
-    return rows.groupBy("sample_id").applyInPandasWithState(moved, CHANGE, "rollouts string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("block").applyInPandasWithState(moved, CHANGE, "rollouts string", "append", GroupStateTimeout.NoTimeout)
 
 
 def summed(changed: DataFrame) -> DataFrame:
