@@ -10,7 +10,7 @@ from functools import cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.functions.constraints import literal
+from tallywright.functions.constraints import quoted
 from tallywright.functions.text import PUNCTUATION, exact_match_form, strict_number
 from tallywright.functions.words import stripped
 
@@ -358,9 +358,9 @@ def _theorem_form(t: Column, announced: Column) -> Column:
 def theorem_answer(t: Column, triggers: tuple[str, ...] = ("The answer is:", "The answer is", "the answer is")) -> Column:
     """What follows the last announcement as True, False, an option in brackets or a number; without one, the last number."""
     text = F.regexp_replace(t, r"\A\n+|\n+\z", "")
-    often = reduce(lambda a, b: a | b, [text.rlike(rf"(?s){literal(p)}.*{literal(p)}") for p in triggers])
+    often = reduce(lambda a, b: a | b, [text.rlike(rf"(?s){quoted(p)}.*{quoted(p)}") for p in triggers])
     text = F.when(often, F.substring_index(text, "\n\n", 1)).otherwise(text)
-    parts = F.split(text, "|".join(map(literal, triggers)))
+    parts = F.split(text, "|".join(map(quoted, triggers)))
     tail = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.try_element_at(parts, F.lit(-1)), r"\A\n+|\n+\z", ""), r"\.+\z", ""), r"/+\z", ""))
     return F.regexp_replace(F.regexp_replace(_theorem_form(tail, F.size(parts) > 1), r"\.+\z", ""), r"/+\z", "")
 
@@ -479,7 +479,7 @@ def turns(conversation: Column) -> Column:
 def object_slice(t: Column, start: str = "{", end: str = "}") -> Column:
     """The JSON object (as a string) in a text: behind a json fence, from the first start to the last end, with single quotes as double ones where that is needed; null if it can't be read."""
     inner = F.when(t.contains("```json"), F.regexp_replace(F.regexp_replace(t, r"(?s)\A.*?```json", ""), "^`+|`+$", "")).otherwise(t)
-    cut = F.regexp_extract(inner, rf"(?s)({literal(start)}.*{literal(end)})", 1)
+    cut = F.regexp_extract(inner, rf"(?s)({quoted(start)}.*{quoted(end)})", 1)
     doubled = F.replace(cut, F.lit("'"), F.lit('"'))
     return F.coalesce(F.when(F.try_parse_json(cut).isNotNull(), cut), F.when(F.try_parse_json(doubled).isNotNull(), doubled))
 

@@ -5,6 +5,7 @@ Patterns are aware of Unicode and take only line feeds for line ends. Names and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from inspect import signature
 
@@ -55,6 +56,11 @@ def literal(word: Text) -> Column:
     return F.regexp_replace(arg(word), r"([.^$*+?{}\[\]\\|()])", r"\\$1")
 
 
+def quoted(word: str) -> str:
+    """The same for a word that is known when the plan is made."""
+    return re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", word)
+
+
 def pattern(*parts: Text) -> Column:
     return F.concat(*map(arg, parts))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.constraints import literal
+from tallywright.functions.constraints import quoted
 from tallywright.functions.words import stripped
 
 #: The score from which a word is an abbreviation, the share of stops behind one, and how many abbreviations a splitter is built from at most.
@@ -46,7 +46,7 @@ def sentences(t: Column, known: list[str]) -> Column:
     A stop before a small letter ends none; one behind a number or letter of a list at a line's begin ends none either.
     """
     initials = r"(?<![\p{L}\p{N}])\p{Lu}"
-    words = "|".join(literal(w) for w in sorted(known, key=lambda w: (-len(w), w)))
+    words = "|".join(quoted(w) for w in sorted(known, key=lambda w: (-len(w), w)))
     kept = rf"(?iu:(?<![\p{{L}}\p{{N}}.])(?:{words}))|{initials}" if known else initials
     cut = F.regexp_replace(t, rf"({kept})\.(?=\s)", "$1\u0001")
     cut = F.regexp_replace(cut, r"(?m)^(\s*(?:\d{1,3}|\p{L}))\.(?=\s)", "$1\u0001")
