@@ -35,6 +35,12 @@ CROWDED = 64
 #: Documents in which common shingles are counted, and how many of those are told to all workers; results don't depend on them.
 SAMPLE_DOCS, SAMPLE_COMMON = 4096, 1 << 16
 
+#: How often nodes of crowded shingles look for a partner of another class before all their pairs are made; results don't depend on it.
+ROUNDS = 3
+
+#: Words of 64 bits in a sketch of a set of shingles: which of so many classes of hashes hold an odd number of them.
+SKETCH = [f"p{i}" for i in range(8)]
+
 #: Costs in units of a probe's row: comparing a candidate.
 CANDIDATE_COST = 0.05
 
@@ -80,14 +86,21 @@ def common_shingles(docs: DataFrame, words: int, sample: int = SAMPLE_DOCS, most
     return np.array([s for s, _ in rows], np.int64), np.array([k for _, k in rows], np.int64)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of a set's hashes by their lowest bits. Sets differ by as many hashes at least as their sketches by bits."""
+    n = 64 * len(SKETCH)
+    odd = np.bincount((hashes.view("<u8") % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefixes(text: Column, words: int, least: float, common: Broadcast) -> Column:
-    """struct of fp, node (hash of the set of shingles), n (its size) and prefix.
+    """struct of fp, node (hash of the set of shingles), n (its size), prefix and the set's sketch.
 
     The prefix is the set's first shingles in an order that all texts share. Two sets of a Jaccard similarity of ``least`` have
     ``least`` * n shingles in common at least, so one of them is in both prefixes, whatever the order.
     """
 
-    @F.pandas_udf("fp long, node long, n int, prefix array<long>")
+    @F.pandas_udf("fp long, node long, n int, prefix array<long>, " + ", ".join(f"{p} long" for p in SKETCH))
     def of(texts: pd.Series) -> pd.DataFrame:
         often, counts = common.value
         rows = []
@@ -99,8 +112,8 @@ def prefixes(text: Column, words: int, least: float, common: Broadcast) -> Colum
                 at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                 count = np.where(often[at] == s, counts[at], 0)
             prefix = s[np.lexsort((s, count))[: len(s) - _least_common(len(s), least) + 1]]
-            rows.append((_majority(hashes), xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63), len(s), prefix))
-        return pd.DataFrame(rows, columns=["fp", "node", "n", "prefix"])
+            rows.append((_majority(hashes), xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63), len(s), prefix, *sketch(s).tolist()))
+        return pd.DataFrame(rows, columns=["fp", "node", "n", "prefix", *SKETCH])
 
     return of(text)
 
@@ -283,23 +296,42 @@ def _open(placed: DataFrame, classes: DataFrame) -> DataFrame:
     return settle(known.join(settle(spread, "simhash-spread"), "token"), "simhash-open")
 
 
-def star_pairs(placed: DataFrame, least: float) -> DataFrame:
+def star_pairs(placed: DataFrame, least: float, central: bool = False) -> DataFrame:
     """(a, b): for each node of placed (token, node, at, n, class) the partner of another class that it meets most often, if that is often enough.
 
-    Of each shingle only the nodes of its first and its last class are partners, so rows grow with the nodes, not with pairs.
+    Of each shingle only the nodes of its first and its last class are partners, so rows grow with the nodes, not with pairs. With
+    ``central`` the node whose shared shingles begin earliest in its prefix comes before them, and any number of meetings is enough: of
+    edited copies of a text that is the one with the fewest shingles of its own, which is similar to most others.
     """
+    if central:
+        placed = placed.join(placed.groupBy("node").agg(F.min("at").alias("first")), "node")
     end = F.struct("class", "node", "at", "n")
-    ends = settle(placed.groupBy("token").agg(F.min(end).alias("low"), F.max(end).alias("high")), "simhash-ends")
-    met = placed.join(ends, "token").withColumn("to", F.when(F.col("class") != F.col("low.class"), F.col("low")).otherwise(F.col("high")))
+    firsts = [F.min(end).alias("low"), F.max(end).alias("high")] + ([F.min_by(end, F.struct("first", "node")).alias("mid")] if central else [])
+    ends = settle(placed.groupBy("token").agg(*firsts), "simhash-ends")
+    to = F.when(F.col("class") != F.col("low.class"), F.col("low")).otherwise(F.col("high"))
+    met = placed.join(ends, "token").withColumn("to", F.when(F.col("class") != F.col("mid.class"), F.col("mid")).otherwise(to) if central else to)
     met = met.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("to.node").alias("b"), F.col("to.n").alias("nb"), F.col("to.at").alias("j"))
-    return _met(met.where(_fit(least)), least).groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    met = met.where(_fit(least))
+    each = met.groupBy("a", "b").agg(F.count("*").alias("k")) if central else _met(met, least)
+    return each.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
 
+def _alike(least: float) -> Column:
+    """Whether sets of na and nb shingles can be similar by their sketches: similar ones differ by few hashes, so by no more bits."""
+    apart = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in SKETCH), F.lit(0))
+    return apart <= F.lit((1 - least) / (1 + least)) * (F.col("na") + F.col("nb")) + 1e-5
 
-def prefix_pairs(placed: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: of nodes in placed (token, node, at, n, class) all pairs of different classes that can have a Jaccard similarity of ``least``; each once."""
-    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("class").alias("ca"), "crowded")
-    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("class").alias("cb"), "crowded")
-    met = across(a, b, ["token"]).where((F.col("a") < F.col("b")) & _fit(least))
+
+def prefix_pairs(placed: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: of nodes in placed (token, node, at, n, class) all pairs of different classes that can have a Jaccard similarity of ``least``; each once.
+
+    Sketches (node, SKETCH) are compared as nodes meet: many edited copies of a text that aren't similar to each other share its
+    shingles, but their sketches are too far apart.
+    """
+    placed = settle(placed.join(sketches, "node"), "simhash-sketched")
+    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("class").alias("ca"), "crowded", *[F.col(p).alias(f"a_{p}") for p in SKETCH])
+    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("class").alias("cb"), "crowded", *[F.col(p).alias(f"b_{p}") for p in SKETCH])
+    met = across(a, b, ["token"]).where((F.col("a") < F.col("b")) & _fit(least) & _alike(least)).select("a", "b", "na", "nb", "i", "j")
     return _met(met, least).select("a", "b")
 
 
@@ -334,11 +366,11 @@ def _once(rows: DataFrame) -> DataFrame:
 
 
 def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, least: float) -> DataFrame:
-    """(node, component) of the nodes of rows (doc_id, key, fp, node, n, prefix) that are linked with others.
+    """(node, component) of the nodes of rows (doc_id, key, fp, node, n, prefix, SKETCH) that are linked with others.
 
     Each fingerprint is compared with the smallest one of its buckets, and each node with the partner of another group with which it
-    shares most of its prefix: a pair or two a node, which join most near copies however many there are of one text. Then the
-    prefixes give every pair of different components that can be similar. Texts of the nodes in pairs are read for each step.
+    shares most of its prefix: a pair or two a node, which join most near copies however many there are of one text. Nodes of crowded
+    shingles do so again, with the most central partners, until that links no more or ROUNDS times. Then the prefixes give every pair of different components that can be similar. Texts of the nodes in pairs are read for each step.
     """
     spark = rows.sparkSession
     firsts = settle(rows.groupBy("fp").agg(F.min("node").alias("node")), "simhash-firsts")
@@ -352,7 +384,17 @@ def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, le
     pairs = settle(near.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
     links = settle(_verified(pairs, rows, docs, words, least), "simhash-links")
     reclaim(spark)
-    rest = settle(prefix_pairs(_open(shared, components(links, "simhash-close")), least), "simhash-rest")
+    placed = _open(shared, components(links, "simhash-close"))
+    for _ in range(ROUNDS):
+        stars = settle(star_pairs(placed.where("crowded"), least, central=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-central")
+        more = settle(_verified(stars, rows, docs, words, least), "simhash-links")
+        reclaim(spark)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        placed = _open(shared, components(links, "simhash-close"))
+    sketches = rows.select("node", *SKETCH).dropDuplicates(["node"])
+    rest = settle(prefix_pairs(placed, sketches, least), "simhash-rest")
     if not rest.isEmpty():
         links = links.union(settle(_verified(rest, rows, docs, words, least), "simhash-links"))
         reclaim(spark)

@@ -51,3 +51,29 @@ def test_odd_rows_and_none(spark, tmp_path):
             if name != "mixing":
                 assert docs.count() <= before.count()
         assert docs.where("not exact").count() == 0 and (docs.count() > 0) == bool(rows)
+
+
+def test_edited_copies_of_a_text(spark):
+    """Most are similar to the one with the fewest edits, many to no other; sketches never say that similar sets are apart."""
+    import random
+
+    import numpy as np
+
+    from tallywright.llm import simhash
+
+    draw = random.Random(3)
+    base = [f"word{i}" for i in range(150)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for j in range(k % 5):
+            words[draw.randrange(150)] = f"own{k}x{j}"
+        texts.append(" ".join(words))
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(smallest(sorted(sets), linked).values())
+    bits = [simhash.sketch(simhash.shingles(t, 5)) for t in texts[:40]]
+    for a in range(40):
+        for b in range(a):
+            assert int(np.bitwise_count(bits[a] ^ bits[b]).sum()) <= len(sets[a] ^ sets[b])
