@@ -129,14 +129,21 @@ def needle_samples(samples: DataFrame, spec: Needles, length: int, generated: in
     fixed = count(F.concat(F.lit(head + "\n"), F.concat_ws("\n", *texts), "_tail", "answer_prefix"))
     rows = rows.select("*", (F.lit(length - generated - reserve) - fixed).alias("_left"))
     if essay:
-        items = F.filter(F.coalesce("haystack", F.array().cast("array<string>")), lambda w: w.isNotNull() & (count(w) > 0))
+        # items have a token or more, so no more than the budget are taken; all words are counted only where the first ones may not fill it
+        counted = lambda words: F.filter(F.transform(words, lambda w: F.struct(w.alias("w"), count(w).alias("c"))), lambda x: x["c"] > 0)
+        most = max(length - generated - reserve, 0) + 1
+        rows = rows.withColumn("_words", F.coalesce("haystack", F.array().cast("array<string>")))
+        rows = rows.withColumn("_head", counted(F.slice("_words", 1, 2 * most)))
+        rows = rows.withColumn("_counted", F.when((F.size("_head") >= most) | (F.size("_words") <= 2 * most), F.slice("_head", 1, most)).otherwise(counted(F.col("_words"))))
+        items = F.col("_counted")["w"]
     elif spec.haystack == "noise":
         items = F.array(F.lit(NOISE))
     else:  # every line has ten tokens or more, so that many are enough
         lines = F.sequence(F.lit(0), F.greatest(F.floor(F.col("_left") / 10), F.lit(0)).cast("int"))
         items = F.transform(lines, lambda i: _said(spec, _named(spec.key, F.lit(seed), sid, F.lit("other key"), i), _named(spec.value, F.lit(seed), sid, F.lit("other"), i)))
     rows = rows.select("*", items.alias("_items"))
-    rows = rows.select("*", fitted(F.transform("_items", lambda w: count(w)), F.col("_left")).alias("n_items"))
+    counts = F.col("_counted")["c"] if essay else F.transform("_items", lambda w: count(w))
+    rows = rows.select("*", fitted(counts, F.col("_left")).alias("n_items"))
     rows = rows.select("*", around(F.col("_items"), F.col("n_items")).alias("_taken"))
     k = len(texts)
     if essay:

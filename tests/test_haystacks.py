@@ -60,3 +60,16 @@ def test_chains_keep_their_order_in_the_noise(spark):
         assert r.length == count(r.input + r.answer_prefix) + 30 <= 600 < r.length + count(haystacks.NOISE)
         at = [r.input.index(f"VAR {name} =") for name in r.outputs]
         assert at == sorted(at) and len(at) == 4 and re.search(rf"VAR {r.outputs[0]} = (\d+)", r.input)[1] in r.answer_prefix
+
+
+def test_words_behind_the_budget_are_not_counted(spark):
+    from pyspark.sql import functions as F
+
+    from tallywright.operators import haystacks
+
+    def count(t):  # raises on words far behind the budget; single signs have no token
+        return F.when(t.contains("behind"), F.raise_error(F.lit("counted")).cast("int")).otherwise(F.size(F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 1)))
+
+    whole = [(1, ["ab"] * 900 + ["behind"]), (2, ["."] * 700 + ["ab"]), (3, None)]
+    got = {r.sample_id: r for r in haystacks.needle_samples(spark.createDataFrame(whole, "sample_id long, haystack array<string>"), haystacks.SUBTASKS["niah_single_2"], 300, 0, count=count).collect()}
+    assert got[1].length == got[2].length == 300 and got[1].n_items == got[2].n_items and got[3].n_items == 0
