@@ -53,3 +53,11 @@ def test_sentences_with_learned_abbreviations(spark):
     wrong = [(r.marked, r.s) for r in frame.select("marked", sentences(F.col("text"), [*known, "prof", "inc", "approx", "e.g"]).alias("s")).collect() if r.s != [x.strip() for x in r.marked.replace("1. Go home.\n2.", "1. Go home.|2.").split("|")]]
     assert not wrong, wrong
     assert sentences(F.col("text"), []) is not None and stop_scores(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_numbers_of_grams_rank_as_counted_grams_do():
+    from tallywright.functions import languages
+
+    text = "Zebra zoo Ärger " * 3 + " ".join(f"w{chr(0x4E00 + i)}{chr(97 + i % 26)}" for i in range(400)) + " \U0001D400x " + "y" * 50
+    want = [languages.code(g) for g in languages.ranked(languages.grams(text))]
+    assert languages.commonest(text).tolist() == want and len(want) == languages.MOST and len(languages.commonest("12")) == 0
