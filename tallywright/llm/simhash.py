@@ -9,7 +9,7 @@ join that finds them verifies all 64 bits.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import components, reclaim, settle
+from tallywright.llm.common import components, reclaim, release, scratch, settle
 
 BITS, WORDS, LINK_BITS, SEED = 64, 4, 4, 42
 
@@ -35,8 +35,11 @@ CROWDED = 64
 #: Documents in which common shingles are counted, and how many of those are told to all workers; results don't depend on them.
 SAMPLE_DOCS, SAMPLE_COMMON = 4096, 1 << 16
 
-#: How often nodes of crowded shingles look for a partner of another class before all their pairs are made; results don't depend on it.
-ROUNDS = 3
+#: How often nodes of crowded shingles that can be similar to none of another class are left out before pairs are made; results don't depend on it.
+ROUNDS = 2
+
+#: Ratio of the sizes of sets that count as one size when partners of a node are looked for; results don't depend on it.
+SIZE_STEP = 1.02
 
 #: Words of 64 bits in a sketch of a set of shingles: which of so many classes of hashes hold an odd number of them.
 SKETCH = [f"p{i}" for i in range(8)]
@@ -90,7 +93,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     """The parities of a set's hashes by their lowest bits. Sets differ by as many hashes at least as their sketches by bits."""
     n = 64 * len(SKETCH)
     odd = np.bincount((hashes.view("<u8") % np.uint64(n)).astype(np.int64), minlength=n) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def prefixes(text: Column, words: int, least: float, common: Broadcast) -> Column:
@@ -112,7 +115,7 @@ def prefixes(text: Column, words: int, least: float, common: Broadcast) -> Colum
                 at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                 count = np.where(often[at] == s, counts[at], 0)
             prefix = s[np.lexsort((s, count))[: len(s) - _least_common(len(s), least) + 1]]
-            rows.append((_majority(hashes), xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63), len(s), prefix, *sketch(s).tolist()))
+            rows.append((_majority(hashes), xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63), len(s), prefix, *sketch(s).view("<i8").tolist()))
         return pd.DataFrame(rows, columns=["fp", "node", "n", "prefix", *SKETCH])
 
     return of(text)
@@ -300,13 +303,11 @@ def star_pairs(placed: DataFrame, least: float, central: bool = False) -> DataFr
     """(a, b): for each node of placed (token, node, at, n, class) the partner of another class that it meets most often, if that is often enough.
 
     Of each shingle only the nodes of its first and its last class are partners, so rows grow with the nodes, not with pairs. With
-    ``central`` the node whose shared shingles begin earliest in its prefix comes before them, and any number of meetings is enough: of
-    edited copies of a text that is the one with the fewest shingles of its own, which is similar to most others.
+    ``central`` (placed has common, too) the node with the smallest share of shingles that no other class has comes before them, and any
+    number of meetings is enough: of edited copies of a text that is the one with the fewest edits, which is similar to most others.
     """
-    if central:
-        placed = placed.join(placed.groupBy("node").agg(F.min("at").alias("first")), "node")
     end = F.struct("class", "node", "at", "n")
-    firsts = [F.min(end).alias("low"), F.max(end).alias("high")] + ([F.min_by(end, F.struct("first", "node")).alias("mid")] if central else [])
+    firsts = [F.min(end).alias("low"), F.max(end).alias("high")] + ([F.max_by(end, F.struct(F.col("common") / F.col("n"), "node")).alias("mid")] if central else [])
     ends = settle(placed.groupBy("token").agg(*firsts), "simhash-ends")
     to = F.when(F.col("class") != F.col("low.class"), F.col("low")).otherwise(F.col("high"))
     met = placed.join(ends, "token").withColumn("to", F.when(F.col("class") != F.col("mid.class"), F.col("mid")).otherwise(to) if central else to)
@@ -316,6 +317,55 @@ def star_pairs(placed: DataFrame, least: float, central: bool = False) -> DataFr
     return each.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
+def own_shingles(placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, base, own) of the nodes of placed (token, node, at), and (s) of their centres.
+
+    A node's centre is the node that comes first in most of its shingles: of edited copies one with few edits. base is how many of the
+    node's shingles its centre has; own are the others, few for an edited copy.
+    """
+    first = settle(placed.groupBy("token").agg(F.min_by("node", F.struct("at", "node")).alias("centre")), "simhash-first")
+    of = placed.join(first, "token").groupBy("node", "centre").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "centre")).alias("best"))
+    of = settle(of.select("node", F.col("best.centre").alias("centre")), "simhash-centres")
+    both = of.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("s").alias("sc")), "centre").select("node", F.size("s").alias("size"), F.array_except("s", "sc").alias("own"))
+    own = settle(both.select("node", (F.col("size") - F.size("own")).alias("base"), "own"), "simhash-own")
+    hubs = settle(of.select(F.col("centre").alias("node")).distinct().join(sets, "node").select(F.explode("s").alias("s")).distinct(), "simhash-hubs")
+    return own, hubs
+
+
+def matchable(placed: DataFrame, own: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
+    """(node, common) of the nodes of placed (token, node, n, class) that can be similar to one of another class there; own and hubs are own_shingles() of them or more.
+
+    common is how many of a node's shingles a centre or another class has: no set of another class has more of them. So for a partner of
+    m shingles, both have ``least`` / (1 + ``least``) * (n + m) such at least. Rows grow with the shingles of the nodes, not with pairs.
+    """
+    nodes = settle(placed.select("node", "class").distinct().join(own, "node"), "simhash-live")
+    each = settle(nodes.select("node", "class", F.explode("own").alias("s")), "simhash-each")
+    often = each.groupBy("s").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("s")
+    spread = settle(often.union(hubs).distinct(), "simhash-spread")
+    more = each.join(spread, "s", "left_semi").groupBy("node").agg(F.count("*").alias("more"))
+    common = settle(nodes.join(more, "node", "left").select("node", (F.col("base") + F.coalesce("more", F.lit(0))).alias("common")), "simhash-common")
+    some = settle(placed.select("token", "node", "n", "class").join(common, "node").where(F.col("common") >= F.lit(least) * F.col("n") - 1e-6), "simhash-some")
+    size = F.floor(F.log("n") / log(SIZE_STEP))
+    kinds = some.groupBy("token", size.alias("size")).agg(F.min("n").alias("n"), F.max("common").alias("common"), F.min("class").alias("low"), F.max("class").alias("high"))
+    kinds = settle(kinds.groupBy("token").agg(F.collect_list(F.struct("n", "common", "low", "high")).alias("kinds")), "simhash-sizes")
+    c = F.col("class")
+    partner = F.exists("kinds", lambda k: ((k["low"] != c) | (k["high"] != c)) & (F.least("common", k["common"]) >= F.lit(least / (1 + least)) * (F.col("n") + k["n"]) - 1e-6))
+    return settle(some.join(kinds, "token").where(partner).select("node", "common").distinct(), "simhash-matchable")
+
+
+def _matched(placed: DataFrame, own: DataFrame, hubs: DataFrame, least: float, rounds: int) -> DataFrame:
+    """placed (token, node, at, n, class, crowded) with common, the most shingles that a set of another class can share.
+
+    Nodes that can be similar to none of another class are left out of crowded shingles, again and again, as without them others have
+    fewer shingles in common. Other shingles keep all their nodes, with n as common.
+    """
+    crowded = placed.where("crowded")
+    for _ in range(rounds):
+        live = matchable(crowded, own, hubs, least)
+        crowded = settle(placed.where("crowded").join(live, "node"), "simhash-crowded")
+    return placed.where("not crowded").withColumn("common", F.col("n").cast("long")).unionByName(crowded)
+
+
 def _alike(least: float) -> Column:
     """Whether sets of na and nb shingles can be similar by their sketches: similar ones differ by few hashes, so by no more bits."""
     apart = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in SKETCH), F.lit(0))
@@ -323,15 +373,22 @@ def _alike(least: float) -> Column:
 
 
 def prefix_pairs(placed: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: of nodes in placed (token, node, at, n, class) all pairs of different classes that can have a Jaccard similarity of ``least``; each once.
+    """(a, b), a < b: of nodes in placed (token, node, at, n, class, common) all pairs of different classes that can have a Jaccard similarity of ``least``; each once.
 
-    Sketches (node, SKETCH) are compared as nodes meet: many edited copies of a text that aren't similar to each other share its
-    shingles, but their sketches are too far apart.
+    Of two classes one at least isn't the largest of a shingle, so all its nodes meet those of the other classes alone: a class of many
+    is not compared with itself. What nodes have in common with other classes, and their sketches (node, SKETCH), are compared as they
+    meet: many edited copies of a text that aren't similar to each other share its shingles, but their sketches are too far apart.
     """
-    placed = settle(placed.join(sketches, "node"), "simhash-sketched")
-    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("class").alias("ca"), "crowded", *[F.col(p).alias(f"a_{p}") for p in SKETCH])
-    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("class").alias("cb"), "crowded", *[F.col(p).alias(f"b_{p}") for p in SKETCH])
-    met = across(a, b, ["token"]).where((F.col("a") < F.col("b")) & _fit(least) & _alike(least)).select("a", "b", "na", "nb", "i", "j")
+    sizes = placed.groupBy("token", "class").agg(F.count("*").alias("of"))
+    main = settle(sizes.groupBy("token").agg(F.max_by("class", F.struct("of", "class")).alias("main")), "simhash-main")
+    placed = settle(placed.join(main, "token").join(sketches, "node"), "simhash-sketched")
+    side = lambda x, at: placed.select("token", "main", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(at), F.col("class").alias(f"c{x}"), F.col("common").alias(f"m{x}"), *[F.col(p).alias(f"{x}_{p}") for p in SKETCH])
+    a, b = side("a", "i").where("ca <> main").drop("main"), side("b", "j")
+    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+    can = F.least("ma", "mb") >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
+    met = a.join(b, "token").where(once & _fit(least) & can & _alike(least))
+    low = F.col("a") < F.col("b")
+    met = met.select(*[F.when(low, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"), ("i", "j"), ("j", "i"))])
     return _met(met, least).select("a", "b")
 
 
@@ -368,9 +425,10 @@ def _once(rows: DataFrame) -> DataFrame:
 def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, least: float) -> DataFrame:
     """(node, component) of the nodes of rows (doc_id, key, fp, node, n, prefix, SKETCH) that are linked with others.
 
-    Each fingerprint is compared with the smallest one of its buckets, and each node with the partner of another group with which it
-    shares most of its prefix: a pair or two a node, which join most near copies however many there are of one text. Nodes of crowded
-    shingles do so again, with the most central partners, until that links no more or ROUNDS times. Then the prefixes give every pair of different components that can be similar. Texts of the nodes in pairs are read for each step.
+    Each fingerprint is compared with the smallest one of its buckets, and each node with the partner with which it shares most of its
+    prefix: a pair or two a node, which join most near copies however many there are of one text. Nodes of crowded shingles are then
+    compared with the most central partners. Then the prefixes give every pair of different components that can be similar. Texts of the
+    nodes in pairs are read for each step.
     """
     spark = rows.sparkSession
     firsts = settle(rows.groupBy("fp").agg(F.min("node").alias("node")), "simhash-firsts")
@@ -380,37 +438,50 @@ def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, le
     reclaim(spark)
     shared = settle(shared_prefixes(_once(rows).select("node", "n", "prefix")), "simhash-shared")
     reclaim(spark)
-    stars = settle(star_pairs(_open(shared, components(near, "simhash-first")), least), "simhash-stars")
+    stars = star_pairs(shared.withColumn("class", F.col("node")), least)
     pairs = settle(near.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    links = settle(_verified(pairs, rows, docs, words, least), "simhash-links")
-    reclaim(spark)
+    links = _verified(pairs, rows, docs, words, least)
     placed = _open(shared, components(links, "simhash-close"))
-    for _ in range(ROUNDS):
-        stars = settle(star_pairs(placed.where("crowded"), least, central=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-central")
-        more = settle(_verified(stars, rows, docs, words, least), "simhash-links")
+    crowded = settle(placed.where("crowded").select("node").distinct(), "simhash-dense")
+    if not crowded.isEmpty():
+        sets = settle(sets_of(crowded, rows, docs, words), "simhash-sets")
         reclaim(spark)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        placed = _open(shared, components(links, "simhash-close"))
-    sketches = rows.select("node", *SKETCH).dropDuplicates(["node"])
-    rest = settle(prefix_pairs(placed, sketches, least), "simhash-rest")
+        own, hubs = own_shingles(placed.where("crowded"), sets)
+        stars = star_pairs(_matched(placed, own, hubs, least, 1).where("crowded"), least, central=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = settle(similar(settle(stars, "simhash-central"), sets, least), "simhash-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            placed = _open(shared, components(links, "simhash-close"))
+        placed = _matched(placed, own, hubs, least, ROUNDS)
+    else:
+        placed = placed.withColumn("common", F.col("n").cast("long"))
+    rest = settle(prefix_pairs(placed, rows.select("node", *SKETCH).dropDuplicates(["node"]), least), "simhash-rest")
+    reclaim(spark)
     if not rest.isEmpty():
-        links = links.union(settle(_verified(rest, rows, docs, words, least), "simhash-links"))
-        reclaim(spark)
+        links = links.union(_verified(rest, rows, docs, words, least))
     return components(links, "simhash")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs that are similar; the texts of their nodes are shuffled once."""
-    sets = settle(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows, docs, words), "simhash-sets")
+    """Those of the pairs that are similar; the texts of their nodes are shuffled once, and their sets go afterwards."""
+    with scratch() as own:
+        sets = settle(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows, docs, words), "simhash-sets")
+    reclaim(pairs.sparkSession)
+    links = settle(similar(pairs, sets, least), "simhash-links")
+    release(pairs.sparkSession, own)
     reclaim(pairs.sparkSession)
-    return similar(pairs, sets, least)
+    return links
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, limit: int = NEAR_BITS, least: float = NEAR_JACCARD) -> DataFrame:
     """The rows of docs that stay, the one with the smallest id of each group, with all their columns; of repeated rows, one."""
-    groups = simhash_groups(docs, id_col, text_col, words, limit, least)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("_key")).withColumnRenamed("component_id", "_id")
+    with scratch() as own:
+        groups = simhash_groups(docs, id_col, text_col, words, limit, least)
+    of = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("_key"), F.count("*").alias("_n"))
+    stay = settle(of.withColumnRenamed("component_id", "_id"), "simhash-stay")
+    release(docs.sparkSession, own)
+    reclaim(docs.sparkSession)
+    repeated = (stay.agg(F.max("_n")).first()[0] or 0) > 1
     keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"))
-    return keyed.join(stay, keyed._own.eqNullSafe(stay._id) & (keyed._hash == stay._key), "left_semi").dropDuplicates(["_own", "_hash"]).select("_row.*")
+    kept = keyed.join(stay, keyed._own.eqNullSafe(stay._id) & (keyed._hash == stay._key), "left_semi")
+    return (kept.dropDuplicates(["_own", "_hash"]) if repeated else kept).select("_row.*")

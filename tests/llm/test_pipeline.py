@@ -77,3 +77,29 @@ def test_edited_copies_of_a_text(spark):
     for a in range(40):
         for b in range(a):
             assert int(np.bitwise_count(bits[a] ^ bits[b]).sum()) <= len(sets[a] ^ sets[b])
+
+
+def test_copies_edited_too_much_meet_few_others(spark):
+    """Copies that are similar to none leave crowded shingles before pairs are made; no similar pair of different classes goes with them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallywright.llm import simhash
+
+    draw = random.Random(5)
+    base = [f"word{i}" for i in range(150)]
+    texts = []
+    for k in range(240):
+        words = list(base)
+        for j in range(k % 8):
+            words[draw.randrange(150)] = f"own{k}x{j}"
+        texts.append(" ".join(words))
+    sets = [{int(x) for x in simhash.shingles(t, 5)} for t in texts]
+    alike = {(a, b) for a in range(240) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    placed = spark.createDataFrame([(1, i, i % 8, len(x), i) for i, x in enumerate(sets)], "token long, node long, at int, n int, class long").withColumn("crowded", F.lit(True))
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "node long, s array<long>")
+    own, hubs = simhash.own_shingles(placed, frame)
+    live = {r.node: r.common for r in simhash._matched(placed, own, hubs, 0.8, 2).collect()}
+    assert {i for pair in alike for i in pair} <= set(live) and len(live) < 200
+    assert all(live[a] >= len(sets[a] & sets[b]) and live[b] >= len(sets[a] & sets[b]) for a, b in alike)
