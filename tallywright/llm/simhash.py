@@ -32,6 +32,10 @@ SAMPLE = 2048
 #: Rows of one key from which its classes are counted before its members are joined.
 CROWDED = 64
 
+#: Nodes of one shingle that are compared with each other as they are; where there are more, those that can match no other class go first.
+#: Results don't depend on it.
+MANY = 256
+
 #: Documents in which common shingles are counted, and how many of those are told to all workers; results don't depend on them.
 SAMPLE_DOCS, SAMPLE_COMMON = 4096, 1 << 16
 
@@ -294,8 +298,12 @@ def _met(pairs: DataFrame, least: float) -> DataFrame:
 
 def _open(placed: DataFrame, classes: DataFrame) -> DataFrame:
     """placed (token, node, at, n) with each node's class, without shingles that one class alone has."""
-    known = settle(placed.join(classes, "node", "left").select("token", "node", "at", "n", F.coalesce("component", "node").alias("class")), "simhash-placed")
-    spread = known.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high").select("token", (F.col("n") > CROWDED).alias("crowded"))
+    return _marked(settle(placed.join(classes, "node", "left").select("token", "node", "at", "n", F.coalesce("component", "node").alias("class")), "simhash-placed"))
+
+
+def _marked(known: DataFrame) -> DataFrame:
+    """known (token, node, at, n, class) with crowded, whether many nodes have the shingle; without shingles that one class alone has."""
+    spread = known.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high").select("token", (F.col("n") > MANY).alias("crowded"))
     return settle(known.join(settle(spread, "simhash-spread"), "token"), "simhash-open")
 
 
@@ -317,6 +325,30 @@ def star_pairs(placed: DataFrame, least: float, central: bool = False) -> DataFr
     return each.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
+def promising(placed: DataFrame, least: float) -> DataFrame:
+    """placed (token, node, at, n, class, crowded) without the nodes of crowded shingles that by their prefixes can be similar to none of another class there; crowded is what still is.
+
+    The bounds are those of _met(): a node shares no more shingles of prefixes with another than it has in placed, and none before its
+    first there. Two similar nodes that share a crowded shingle both stay in all of theirs. Only prefixes are read, no texts.
+    """
+    seen = settle(placed.groupBy("node").agg(F.count("*").alias("k"), F.min("at").alias("first"), F.max("crowded").alias("_any")).where("_any").drop("_any"), "simhash-seen")
+    some = settle(placed.where("crowded").join(seen, "node"), "simhash-some")
+    size = F.floor(F.log("n") / log(SIZE_STEP))
+    kinds = some.groupBy("token", size.alias("size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("k").alias("k"), F.max(F.col("n") - F.col("first")).alias("behind"), F.min("class").alias("low"), F.max("class").alias("high"))
+    kinds = settle(kinds.groupBy("token").agg(F.collect_list(F.struct("least", "most", "k", "behind", "low", "high")).alias("kinds")), "simhash-sizes")
+    c, n, part = F.col("class"), F.col("n"), F.lit(least)
+
+    def partner(kind: Column) -> Column:
+        needed = F.lit(least / (1 + least)) * (n + kind["least"]) - 1e-6
+        fit = (n >= part * kind["least"] - 1e-6) & (kind["most"] >= part * n - 1e-6)
+        rest = F.ceil(part * F.greatest(n, kind["most"]) - 1e-6) - 1
+        return ((kind["low"] != c) | (kind["high"] != c)) & fit & (F.least("k", kind["k"]) + rest >= needed) & (F.least(n - F.col("first"), kind["behind"]) >= needed)
+
+    live = settle(some.join(kinds, "token").where(F.exists("kinds", partner)).select("node").distinct(), "simhash-promising")
+    stay = placed.where("not crowded").unionByName(placed.where("crowded").join(live, "node", "left_semi").select(*placed.columns))
+    return _marked(settle(stay.drop("crowded"), "simhash-placed"))
+
+
 def own_shingles(placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, base, own) of the nodes of placed (token, node, at), and (s) of their centres.
 
@@ -442,20 +474,28 @@ def similar_classes(rows: DataFrame, docs: DataFrame, words: int, limit: int, le
     pairs = settle(near.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
     links = _verified(pairs, rows, docs, words, least)
     placed = _open(shared, components(links, "simhash-close"))
-    crowded = settle(placed.where("crowded").select("node").distinct(), "simhash-dense")
-    if not crowded.isEmpty():
-        sets = settle(sets_of(crowded, rows, docs, words), "simhash-sets")
-        reclaim(spark)
-        own, hubs = own_shingles(placed.where("crowded"), sets)
-        stars = star_pairs(_matched(placed, own, hubs, least, 1).where("crowded"), least, central=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = settle(similar(settle(stars, "simhash-central"), sets, least), "simhash-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            placed = _open(shared, components(links, "simhash-close"))
-        placed = _matched(placed, own, hubs, least, ROUNDS)
-    else:
-        placed = placed.withColumn("common", F.col("n").cast("long"))
+    with scratch() as held:  # the sets of nodes of crowded shingles and what is made of them go when pairs are written
+        if not placed.where("crowded").isEmpty():
+            placed = promising(placed, least)
+        crowded = settle(placed.where("crowded").select("node").distinct(), "simhash-dense")
+        if not crowded.isEmpty():
+            sets = settle(sets_of(crowded, rows, docs, words), "simhash-sets")
+            reclaim(spark)
+            own, hubs = own_shingles(placed.where("crowded"), sets)
+            reclaim(spark)
+            stars = star_pairs(_matched(placed, own, hubs, least, 1).where("crowded"), least, central=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            more = settle(similar(settle(stars, "simhash-central"), sets, least), "simhash-links")
+            reclaim(spark)
+            if not more.isEmpty():
+                links = links.union(more)
+                placed = _open(placed.select("token", "node", "at", "n"), components(links, "simhash-close"))
+            placed = _matched(placed, own, hubs, least, ROUNDS)
+            reclaim(spark)
+        else:
+            placed = placed.withColumn("common", F.col("n").cast("long"))
     rest = settle(prefix_pairs(placed, rows.select("node", *SKETCH).dropDuplicates(["node"]), least), "simhash-rest")
+    links = settle(links, "simhash-links")
+    release(spark, held)
     reclaim(spark)
     if not rest.isEmpty():
         links = links.union(_verified(rest, rows, docs, words, least))

@@ -103,3 +103,29 @@ def test_copies_edited_too_much_meet_few_others(spark):
     live = {r.node: r.common for r in simhash._matched(placed, own, hubs, 0.8, 2).collect()}
     assert {i for pair in alike for i in pair} <= set(live) and len(live) < 200
     assert all(live[a] >= len(sets[a] & sets[b]) and live[b] >= len(sets[a] & sets[b]) for a, b in alike)
+
+
+def test_strangers_of_a_crowded_shingle_go_by_their_prefixes(spark, monkeypatch):
+    """Texts that only have a line in common leave its shingles before texts are read again; near copies that have it, too, stay and are found."""
+    import random
+
+    from tallywright.llm import simhash
+
+    monkeypatch.setattr(simhash, "MANY", 8)
+    monkeypatch.setattr(simhash, "common_shingles", lambda docs, words: ([], []))  # as in a sample that is too small for a line's shingles
+    read, of = [], simhash.sets_of
+    monkeypatch.setattr(simhash, "sets_of", lambda wanted, *rest: read.append(wanted.count()) or of(wanted, *rest))
+    draw = random.Random(7)
+    line = [f"line{i}" for i in range(12)]
+    base = [f"base{i}" for i in range(90)]
+    texts = [" ".join(line + [f"own{k}x{i}" for i in range(80)]) for k in range(200)]
+    for k in range(40):
+        words = line + base
+        for j in range(k % 5):
+            words[draw.randrange(12, 102)] = f"new{k}x{j}"
+        texts.append(" ".join(words))
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(smallest(sorted(sets), linked).values())
+    assert len(read) > 1 and max(read[1:]) < 120
